@@ -127,10 +127,11 @@ def _numbered(df: DataFrame, p: str, descending: bool) -> DataFrame:
 
 
 def _roc_vertices(counts: DataFrame) -> DataFrame:
-    """Leave out a threshold whose step equals the following one (same run of both counts)."""
+    """Leave out a threshold whose step equals the following one (a straight run); the
+    first and the last threshold stay."""
     numbered = _numbered(counts, "p", descending=True)
     following = numbered.select((F.col("i") - 1).alias("i"), F.col("pos").alias("_np"), F.col("neg").alias("_nn"))
-    keep = F.col("_np").isNull() | (F.col("pos") != F.col("_np")) | (F.col("neg") != F.col("_nn"))
+    keep = (F.col("i") == 0) | F.col("_np").isNull() | (F.col("pos") != F.col("_np")) | (F.col("neg") != F.col("_nn"))
     return (numbered.join(following, "i", "left").filter(keep).drop("i", "_np", "_nn"))
 
 
