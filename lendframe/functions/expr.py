@@ -52,12 +52,9 @@ def total(c: Column | str) -> Column:
 
 def number(c: Column | str) -> Column:
     """Tolerant numeric reading: unreadable text and NaN become NULL."""
-    c = col(c)
-    as_text = F.trim(c.cast("string"))
-    value = F.when(~as_text.rlike("[dDfF]$"), as_text.try_cast("double")).otherwise(
-        F.when(F.lower(as_text).isin("inf", "+inf", "-inf"), as_text.try_cast("double"))
-    )
-    return F.nullif(value, F.lit(float("nan")))
+    text = F.trim(col(c).cast("string"))
+    # the pattern keeps out the type suffixes ("12d") a plain cast would accept
+    return F.when(text.rlike(r"(?i)^[+-]?(inf|infinity|[0-9.]+(e[+-]?[0-9]+)?)$"), text.try_cast("double"))
 
 
 def clean_double(c: Column | str) -> Column:

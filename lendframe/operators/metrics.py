@@ -231,16 +231,17 @@ def period_metrics(df: DataFrame, y: str, p: str, period: str = "period",
 
 def performance_trend(history: DataFrame, order: Sequence[str] = ("period",), auc: str = "roc_auc",
                       limit: int = 100) -> DataFrame:
-    """Latest period against the mean of the earlier ones, over the last ``limit`` rows."""
-    recent = history.orderBy(*[F.desc(o) for o in order]).limit(limit)  # at most ``limit`` rows
+    """Latest period against the mean of the earlier ones, over the last ``limit`` rows.
+    Periods without an AUC (one class only) cannot be compared and are left out."""
+    recent = history.filter(F.col(auc).isNotNull()).orderBy(*[F.desc(o) for o in order]).limit(limit)  # at most ``limit`` rows
     w = W.orderBy(*order)
     staged = recent.select(
         "*", F.avg(auc).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"),
         F.row_number().over(W.orderBy(*[F.desc(o) for o in order])).alias("_rn"))
     last = staged.filter(F.col("_rn") == 1)
-    baseline = F.coalesce(F.col("_earlier"), F.col(auc), F.lit(0.0))
-    drop = baseline - F.coalesce(F.col(auc), F.lit(0.0))
-    below = F.coalesce(F.col(auc) < F.lit(v.MIN_AUC), F.lit(False))
+    baseline = F.coalesce(F.col("_earlier"), F.col(auc))
+    drop = baseline - F.col(auc)
+    below = F.col(auc) < F.lit(v.MIN_AUC)
     dropped = drop > F.lit(v.AUC_DROP)
     return last.select(
         *order, F.bround(baseline, 4).alias("baseline_auc"), F.col(auc).alias("latest_auc"),

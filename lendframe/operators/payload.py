@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocabulary as v
-from ..functions.expr import clip, first_match, names_where, number, recode, yes_no
+from ..functions.expr import clean_double, clip, first_match, names_where, number, recode, yes_no
 
 # canonical name -> path in the nested document
 NESTED = {
@@ -53,12 +53,12 @@ def derive_dti(debts: Column, income: Column, explicit: Column) -> Column:
     return clip(F.coalesce(explicit, derived), 0.0, 1.5)
 
 
-def _paths(schema: T.StructType) -> set[str]:
-    out = set()
+def _paths(schema: T.StructType) -> dict[str, T.DataType]:
+    out = {}
     for f in schema.fields:
-        out.add(f.name)
+        out[f.name] = f.dataType
         if isinstance(f.dataType, T.StructType):
-            out |= {f"{f.name}.{g.name}" for g in f.dataType.fields}
+            out |= {f"{f.name}.{g.name}": g.dataType for g in f.dataType.fields}
     return out
 
 
@@ -67,38 +67,43 @@ def normalise(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     For each field the canonical column wins, then the last listed alias, then the
     nested document; a NULL never overrides a value. ``keep`` are columns passed on.
+    Only fields with a text spelling pay for the tolerant number parse.
     """
     there = _paths(df.schema)
-    get = lambda p: F.col(p) if p in there else F.lit(None).cast("string")
 
-    def nested(name: str) -> Column:
-        if name == "HasDependents":
-            children = number(get("personalInfo.dependents"))
-            given = get("personalInfo.dependents").isNotNull()
-            return F.when(given, F.when(F.coalesce(children, F.lit(0.0)) != 0, "Yes").otherwise("No"))
+    def read(path: str) -> Column:
+        if path not in there:
+            return F.lit(None).cast("double")
+        return clean_double(path) if isinstance(there[path], T.NumericType) else number(path)
+
+    def nested(name: str) -> Column | None:
+        if name == "HasDependents" and "personalInfo.dependents" in there:
+            given = F.col("personalInfo.dependents").isNotNull()
+            some = F.coalesce(read("personalInfo.dependents"), F.lit(0.0)) != 0
+            return F.when(given, F.when(some, "Yes").otherwise("No"))
         if name == "DTIRatio":
-            return derive_dti(*[number(get(f"financialInfo.{c}"))
-                                for c in ("existingDebts", "income", "dtiRatio")])
-        if name not in NESTED:
-            return F.lit(None).cast("string")
-        raw = get(NESTED[name])
-        return number(raw) if name in v.NUMERIC_BOUNDS else level_of(name, raw)
-
-    merged = {}
-    for name in v.BASE:
-        spellings = [name, *reversed(v.PAYLOAD_ALIASES[name])]
-        given = [F.col(s).cast("string") for s in spellings if s in there]
-        merged[name] = F.coalesce(*given, nested(name).cast("string"))
-    staged = df.select(*(keep or []), *[c.alias(n) for n, c in merged.items()])
-
-    typed = {}
-    for name in v.BASE:
-        c = F.col(name)
-        typed[name] = (number(c) if name in v.NUMERIC_BOUNDS
-                       else yes_no(c) if name.startswith("Has") else level_of(name, c))
-    no_tenure = (typed["EmploymentType"] == "Unemployed") & typed["MonthsEmployed"].isNull()
-    typed["MonthsEmployed"] = first_match([(no_tenure, 0.0)], typed["MonthsEmployed"])
-    return staged.select(*(keep or []), *[c.alias(n) for n, c in typed.items()])
+            return derive_dti(*[read(f"financialInfo.{c}") for c in ("existingDebts", "income", "dtiRatio")])
+        path = NESTED.get(name)
+        if path not in there:
+            return None
+        return read(path) if name in v.NUMERIC_BOUNDS else F.col(path).cast("string")
+
+    def merged(name: str) -> Column:
+        spellings = [s for s in (name, *reversed(v.PAYLOAD_ALIASES[name])) if s in there]
+        numeric = name in v.NUMERIC_BOUNDS and all(isinstance(there[s], T.NumericType) for s in spellings)
+        kind = "double" if numeric else "string"
+        candidates = [F.col(s).cast(kind) for s in spellings]
+        deep = nested(name)
+        if deep is not None:
+            candidates.append(deep.cast(kind))
+        one = F.coalesce(*candidates) if candidates else F.lit(None).cast(kind)
+        if name in v.NUMERIC_BOUNDS:
+            return clean_double(one) if numeric else number(one)
+        return yes_no(one) if name.startswith("Has") else level_of(name, one)
+
+    typed = df.select(*(keep or []), *[merged(n).alias(n) for n in v.BASE])
+    no_tenure = (F.col("EmploymentType") == "Unemployed") & F.col("MonthsEmployed").isNull()
+    return typed.withColumn("MonthsEmployed", first_match([(no_tenure, 0.0)], F.col("MonthsEmployed")))
 
 
 def imputed_fields() -> Column:

@@ -26,8 +26,9 @@ def deduplicate(df: DataFrame, id_col: str, arrival: str) -> DataFrame:
     with_id = (df.filter(F.col(id_col).isNotNull()).groupBy(id_col)
                .agg(F.min_by(F.struct(F.col(arrival), row.alias("r")), order).alias("x"))
                .select(id_col, F.col(f"x.{arrival}").alias(arrival), "x.r.*"))
-    without = df.filter(F.col(id_col).isNull()).select(id_col, arrival, *rest)
-    return with_id.unionByName(without).groupBy(id_col, *rest).agg(F.min(arrival).alias(arrival))
+    without = (df.filter(F.col(id_col).isNull())
+               .groupBy(id_col, *rest).agg(F.min(arrival).alias(arrival)))
+    return with_id.unionByName(without)
 
 
 def retraining_dataset(historical: DataFrame, outcomes: DataFrame, id_col: str = v.ID,
