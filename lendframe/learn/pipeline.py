@@ -64,12 +64,18 @@ class Prepare(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
         nums, cats = self.getOrDefault(self.numeric), self.getOrDefault(self.categorical)
         fitted: dict[str, object] = {}
         if nums:
-            plain = quantile_constants(df, nums, [0.5])
-            fill = {c: (q[0] if q[0] is not None else 0.0) for c, q in plain.items()}
-            # the clipping bounds are taken after imputation, as the steps are chained
-            filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in nums])
-            bounds = quantile_constants(filled, nums, [self.low, self.high])
-            fitted |= {c: [fill[c], *bounds[c]] for c in nums}
+            rows = df.count()
+            fitted |= {c: [q[1] if q[1] is not None else 0.0, q[0], q[2]]
+                       for c, q in quantile_constants(df, nums, [self.low, 0.5, self.high]).items()}
+            # Imputation comes before clipping: a column with missing values has its
+            # bounds taken again with the median filled in.
+            present = df.agg(*[F.count(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))).alias(c)
+                               for c in nums]).first()
+            holes = [c for c in nums if present[c] < rows]
+            if holes:
+                filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fitted[c][0])).alias(c) for c in holes])
+                for c, (lo, hi) in quantile_constants(filled, holes, [self.low, self.high]).items():
+                    fitted[c] = [fitted[c][0], lo, hi]
         if cats:
             found = {r["feature"]: r["mode"] for r in modes(df, cats).collect()}  # one row per column
             fitted |= {c: found.get(c) or "unknown" for c in cats}

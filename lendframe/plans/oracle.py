@@ -719,3 +719,37 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY "Default" ORDER BY u, applicati
 SQL["strat_split"] = with_(APP, POS, """SELECT application_id, CASE WHEN r <= ceil(n * 0.15e0) THEN 'test' WHEN r <= ceil(n * 0.15e0) + ceil(n * 0.15e0) THEN 'val' ELSE 'train' END AS split FROM rn""")
 SQL["undersample"] = with_(APP, POS, """SELECT application_id, "Default" FROM rn WHERE r <= (SELECT min(n) FROM rn)""")
 SQL["stratified_folds"] = with_(APP, POS, """SELECT "Default", CAST(floor(u * 5e0 / 4294967296e0) AS INTEGER) AS fold, count(*) AS n FROM ps GROUP BY 1, 2""")
+
+# ---- streams: the batch equivalent of the finished stream ---------------------------------------
+
+SQL["stream_throughput"] = with_(PRED, f"""w AS (SELECT date_trunc('hour', timestamp) AS window_start, count(*) AS total_predictions, round(avg(value), 6) AS avg_latency_ms,
+  round(avg(risk_score), 6) AS mean_risk_score, {_nl}, count(*) FILTER (fraud_flag) AS fraud_flagged FROM pred GROUP BY 1)""",
+ """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, * EXCLUDE (window_start) FROM w
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM pred)""")
+SQL["stream_duplicates"] = """
+WITH s AS (SELECT event_id, ts, value, left(sha256(concat_ws('|', CAST(user_id AS VARCHAR), lower(event_type))), 32) AS fingerprint FROM events),
+w AS (SELECT *, row_number() OVER win AS n, lag(event_id) OVER win AS pid, lag(value) OVER win AS pv FROM s WINDOW win AS (PARTITION BY fingerprint ORDER BY ts, event_id))
+SELECT event_id AS application_id, fingerprint, n AS occurrence, pid AS previous_id, round_even(100e0 * (value - pv) / nullif(abs(pv), 0e0), 2) AS Income_change_pct,
+ round_even(100e0 * (value * 10e0 - pv * 10e0) / nullif(abs(pv * 10e0), 0e0), 2) AS LoanAmount_change_pct FROM w"""
+SQL["stream_drift"] = with_(
+    "ref AS (SELECT value, event_type FROM events WHERE ts < TIMESTAMP '2024-01-16')",
+    "cur AS (SELECT value, event_type, date_trunc('day', ts) AS d FROM events WHERE ts >= TIMESTAMP '2024-01-16')",
+    "e0 AS (SELECT list_sort(list_distinct(quantile_cont(value, [" + ", ".join(f"{i / 10!r}" for i in range(11)) + "]))) AS e FROM ref)",
+    "ei AS (SELECT unnest(e[2:len(e) - 1]) AS edge FROM e0)", """
+rb AS (SELECT 'value' AS feature, 'numeric' AS kind, CAST((SELECT count(*) FROM ei WHERE edge <= value) AS VARCHAR) AS bin FROM ref UNION ALL SELECT 'event_type', 'categorical', event_type FROM ref),
+cb AS (SELECT d, 'value' AS feature, 'numeric' AS kind, CAST((SELECT count(*) FROM ei WHERE edge <= value) AS VARCHAR) AS bin FROM cur UNION ALL SELECT d, 'event_type', 'categorical', event_type FROM cur),
+re AS (SELECT feature, kind, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY feature) AS DOUBLE) AS e FROM rb GROUP BY 1, 2, 3),
+ca AS (SELECT d, feature, kind, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY d, feature) AS DOUBLE) AS a FROM cb GROUP BY 1, 2, 3, 4),
+days AS (SELECT DISTINCT d FROM cur WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+grid AS (SELECT d, feature, kind, bin, greatest(e, 1e-6) AS e FROM days, re),
+j AS (SELECT coalesce(g.d, c.d) AS d, coalesce(g.feature, c.feature) AS feature, coalesce(g.kind, c.kind) AS kind, coalesce(e, 1e-6) AS e, greatest(coalesce(a, 0e0), 1e-6) AS a
+  FROM grid g FULL OUTER JOIN (SELECT * FROM ca WHERE d IN (SELECT d FROM days)) c ON g.d = c.d AND g.feature = c.feature AND g.bin = c.bin),
+o AS (SELECT d, feature, kind, round_even(sum((a - e) * ln(a / e)), 4) AS psi FROM j GROUP BY 1, 2, 3)""",
+    f"SELECT d AS window_start, feature, kind, psi, {STATUS.format(p='psi')} AS status FROM o")
+SQL["stream_decisions"] = with_(APP, "app2 AS (SELECT * REPLACE (2e0 AS NumCreditLines) FROM app)", scored("app2"), rules_cte("sc"), DEC,
+ "SELECT application_id, risk_score, fraud_probability, fraud_flag, ai_recommendation, status, final_decision FROM dec")
+SQL["nearest_neighbours"] = """
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT a.id, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM e a JOIN e b ON a.id <> b.id)
+SELECT id, neighbour, round(distance, 6) AS distance, rank FROM (
+ SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d) WHERE rank <= 5"""

@@ -61,28 +61,27 @@ class SeenBefore(StatefulProcessor):
         self.last = handle.getValueState("last", schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else None
-        n, pid, pts, inc, amt = state if state is not None else (0, None, None, None, None)
-        batches = list(rows)  # one key within one micro-batch; the trigger bounds it
-        new = pd.concat(batches).sort_values(["ts", "application_id"], kind="stable")
-        before = new.shift(1)
-        out = new[["application_id", "ts", "Income", "LoanAmount"]].copy()
-        out["fingerprint"] = key[0]
-        out["occurrence"] = range(n + 1, n + 1 + len(new))
-        out["previous_id"] = before["application_id"]
-        out["previous_ts"] = before["ts"]
-        out["previous_income"] = before["Income"]
-        out["previous_amount"] = before["LoanAmount"]
-        if state is not None:
-            first = out.index[0]
-            out.loc[out.index == first, ["previous_id", "previous_ts", "previous_income", "previous_amount"]] = [[
-                pid, pd.Timestamp(pts), inc, amt]]
-        out["previous_id"] = out["previous_id"].astype("Int64")
-        end = new.iloc[-1]
-        clean = lambda x: None if pd.isna(x) else float(x)
-        self.last.update((n + len(new), int(end["application_id"]), end["ts"].to_pydatetime(),
-                          clean(end["Income"]), clean(end["LoanAmount"])))
-        yield out
+        """Rows count in the order they arrive (by time within one Arrow batch). Only one
+        Arrow batch is held at a time, however many rows a key has."""
+        n, last = 0, (None, None, None, None)
+        if self.last.exists():
+            n, *last = self.last.get()
+        for rows_of_key in rows:
+            new = rows_of_key.sort_values(["ts", "application_id"], kind="stable")
+            out = new[["application_id", "ts", "Income", "LoanAmount"]].reset_index(drop=True)
+            out["fingerprint"] = key[0]
+            out["occurrence"] = range(n + 1, n + 1 + len(out))
+            for name, source, carried in zip(("previous_id", "previous_ts", "previous_income", "previous_amount"),
+                                             ("application_id", "ts", "Income", "LoanAmount"), last):
+                values = [carried, *out[source].tolist()[:-1]]
+                kind = {"previous_id": "Int64", "previous_ts": "datetime64[us]"}.get(name, "float64")
+                out[name] = pd.Series(values, dtype=kind)
+            n += len(out)
+            end = out.iloc[-1]
+            number = lambda x: None if pd.isna(x) else float(x)
+            last = (int(end["application_id"]), end["ts"].to_pydatetime(), number(end["Income"]), number(end["LoanAmount"]))
+            yield out
+        self.last.update((n, *last))
 
     def close(self) -> None:
         pass
@@ -188,8 +187,11 @@ def split_late(batch: DataFrame, ts: str, watermark: Column) -> tuple[DataFrame,
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet",
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int | None = None, only: str | None = None) -> DataFrame:
+    """A folder as a stream of files; ``only`` restricts it to matching file names."""
     r = spark.readStream.schema(schema)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    if only:
+        r = r.option("pathGlobFilter", only)
     return r.format(kind).load(path)
