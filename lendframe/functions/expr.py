@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -111,6 +111,14 @@ def names_where(conditions: Mapping[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in conditions.items()]))
 
 
+def values_of(one_row: DataFrame, *names: str) -> dict[str, Column]:
+    """Columns of a one-row table for use in another query: one scalar subquery, however
+    many of its fields are read, and no join."""
+    names = names or tuple(one_row.columns)
+    row = one_row.select(F.struct(*names)).scalar()
+    return {n: row[n] for n in names}
+
+
 def percent_change(old: Column | str, new: Column | str) -> Column:
     """Change in percent of the old magnitude, 2 places; NULL from zero or missing."""
     old, new = col(old), col(new)

@@ -20,7 +20,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], p: str, measures: Sequenc
                    cells: int = CELLS) -> DataFrame:
     """One row per (keys, distinct p) with sums of ``measures`` there and from the top.
 
-    Adds ``cum_<m>`` (sum over all rows with probability >= p) to each measure.
+    Adds ``cum_<m>`` (sum over all rows with probability >= p) to each measure, and
+    ``place``, the number of distinct probabilities >= p.
     Equal probabilities are first combined (map-side), so ties cost nothing. The axis
     is then cut into equal cells: one window runs inside each cell, another over the
     at most ``cells`` cell totals of a key, and the two are added. No window ever
@@ -28,7 +29,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], p: str, measures: Sequenc
     """
     keys = list(keys)
     cell = F.floor(F.least(F.col(p), F.lit(1.0)) * F.lit(float(cells))).alias("_cell")
-    counts = df.groupBy(*keys, cell, F.col(p)).agg(*[F.sum(m).alias(m) for m in measures])
+    counts = (df.groupBy(*keys, cell, F.col(p)).agg(*[F.sum(m).alias(m) for m in measures])
+              .withColumn("_one", F.lit(1).cast("long")))
+    asked, measures = list(measures), [*measures, "_one"]
 
     inside = W.partitionBy(*keys, "_cell").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
     local = counts.select("*", *[F.sum(m).over(inside).alias(f"_in_{m}") for m in measures])
@@ -39,8 +42,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], p: str, measures: Sequenc
                .select(*keys, "_cell",
                        *[F.coalesce(F.sum(m).over(above), F.lit(0)).alias(f"_up_{m}") for m in measures]))
     return local.join(offsets, [*keys, "_cell"]).select(
-        *keys, p, *measures,
-        *[(F.col(f"_in_{m}") + F.col(f"_up_{m}")).alias(f"cum_{m}") for m in measures])
+        *keys, p, *asked,
+        *[(F.col(f"_in_{m}") + F.col(f"_up_{m}")).alias("place" if m == "_one" else f"cum_{m}") for m in measures])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

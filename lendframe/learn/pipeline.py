@@ -138,6 +138,13 @@ def class_weights(df: DataFrame, target: str = v.TARGET, name: str = "weight") -
     return df.withColumn(name, F.when(F.col(target) == 1, w1).otherwise(F.lit(w0)))
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """Spread a table held in fewer partitions than there are cores: an iterative fit
+    passes over it many times. A table that is already wide enough is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- candidates and search ----------------------------------------------------------
 
 @dataclass

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
+from ..functions.expr import values_of
 from ..functions.ordered import quantile_constants
 from ..functions.scoring import psi_status
 
@@ -159,12 +160,11 @@ def log_drift_report(log: DataFrame, reference: DataFrame, edges: dict[str, list
         F.array_sort(F.collect_list(F.when(F.col("status") != "stable", F.col("feature")))).alias("drifted"))
     seen = recent.agg(F.count(F.lit(1)).alias("sample_size"), F.min(ts).alias("window_start"),
                       F.max(ts).alias("window_end"))
-    get = lambda c: worst.select(c).scalar()
     feature, score_psi = F.coalesce("feature_psi", F.lit(0.0)), F.coalesce("score_psi", F.lit(0.0))
     overall = (F.when(F.col("sample_size") < minimum, "insufficient_data")
                .when((feature >= v.PSI_ALERT) | (score_psi >= v.PSI_ALERT), "alert")
                .when(feature >= v.PSI_WARN, "warning").otherwise("stable"))
-    staged = seen.select("*", *[get(c).alias(c) for c in worst.columns])
+    staged = seen.select("*", *[c.alias(n) for n, c in values_of(worst).items()])
     return staged.select(
         overall.alias("status"), (overall == "alert").alias("drift_detected"), "sample_size",
         "window_start", "window_end", "feature_psi", "score_psi", "drifted",

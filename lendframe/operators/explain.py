@@ -161,37 +161,53 @@ def phrase_table() -> Column:
         F.lit(f"{f}|{i}"), F.struct(F.lit(a).alias("a"), F.lit(fmt).alias("f"), F.lit(b).alias("b")))])
 
 
-def clause(factor: Column) -> Column:
-    """Wording of one factor struct (raw_feature, feature, impact, value)."""
-    phrase = F.try_element_at(phrase_table(), F.concat_ws("|", factor["raw_feature"], factor["impact"]))
-    x = factor["value"].try_cast("double")
-    missing = first_match([(phrase["f"] == "pct", "a significant share"),
-                           (factor["raw_feature"].isin(*MONEY_FIELDS), "the amount provided")],
-                          "the value provided")
-    shown = first_match([
-        (phrase["f"] == "", ""), (phrase["f"] == "raw", F.coalesce(factor["value"], F.lit("None"))),
-        (x.isNull(), missing), (phrase["f"] == "pct", percent(x)), (phrase["f"] == "n1", fixed(x, 1)),
-        (phrase["f"] == "n2", fixed(x, 2))], fixed(x, 0))
-    label = F.lower(factor["feature"])
-    plain_words = F.when(factor["value"].isNull(), label).otherwise(F.concat(label, F.lit(" of "), factor["value"]))
-    return F.when(phrase.isNotNull(), F.concat(phrase["a"], shown, phrase["b"])).otherwise(plain_words)
-
-
-def narrative(factors: str = "factors", audience: str = "officer", fraud: bool = False) -> Column:
-    """Array of sentences from risk_score, risk_level, probability, confidence and factors
-    (and fraud_flag, fraud_reasons with ``fraud``)."""
+def clauses(items: Column) -> Column:
+    """Wording of an array of factor structs (raw_feature, feature, impact, value).
+
+    The phrase and the numeric value are looked up once per factor and carried in a
+    struct, because lambda bodies are evaluated as written."""
+    phrases = phrase_table()
+    found = F.transform(items, lambda f: F.struct(
+        f.alias("f"), f["value"].try_cast("double").alias("x"),
+        F.try_element_at(phrases, F.concat_ws("|", f["raw_feature"], f["impact"])).alias("p")))
+
+    def word(t: Column) -> Column:
+        f, x, phrase = t["f"], t["x"], t["p"]
+        missing = first_match([(phrase["f"] == "pct", "a significant share"),
+                               (f["raw_feature"].isin(*MONEY_FIELDS), "the amount provided")],
+                              "the value provided")
+        shown = first_match([
+            (phrase["f"] == "", ""), (phrase["f"] == "raw", F.coalesce(f["value"], F.lit("None"))),
+            (x.isNull(), missing), (phrase["f"] == "pct", percent(x)), (phrase["f"] == "n1", fixed(x, 1)),
+            (phrase["f"] == "n2", fixed(x, 2))], fixed(x, 0))
+        label = F.lower(f["feature"])
+        return F.when(phrase.isNotNull(), F.concat(phrase["a"], shown, phrase["b"])).when(
+            f["value"].isNull(), label).otherwise(F.concat(label, F.lit(" of "), f["value"]))
+
+    return F.transform(found, word)
+
+
+def with_narrative(df: DataFrame, factors: str = "factors", audience: str = "officer", fraud: bool = False,
+                   output: str = "sentences") -> DataFrame:
+    """Adds the sentences built from risk_score, risk_level, probability, confidence and
+    the factors (and fraud_flag, fraud_reasons with ``fraud``).
+
+    The clauses are a projection of their own below the sentences, so each is worded once.
+    """
+    of = lambda impact: clauses(F.slice(F.filter(F.col(factors), lambda f: f["impact"] == impact), 1, 3))
+    staged = df.withColumns({"_adverse": of("negative"), "_favourable": of("positive")})
     score, level, p, conf = (F.col(c) for c in ("risk_score", "risk_level", "probability", "confidence"))
-    of = lambda impact: F.slice(F.filter(F.col(factors), lambda f: f["impact"] == impact), 1, 3)
-    adverse, favourable = of("negative"), of("positive")
-    say = lambda items: sentence_list(F.transform(items, clause))
+    adverse, favourable = F.col("_adverse"), F.col("_favourable")
     words = first_match([(level == k, w) for k, w in LEVEL_WORDS.items()], F.concat(level, F.lit(" risk")))
     sure = percent(conf)
     tail = [F.when(level == k, F.lit(t)) for k, t in ADVICE_BY_LEVEL.items() if k != "medium"]
     parts = [
         F.concat(F.lit("This application scores "), plain(score), F.lit(" out of 100 and is classified as "), words,
                  F.lit(", corresponding to an estimated "), plain(p * 100.0, 1), F.lit("% probability of default.")),
-        F.when(F.size(adverse) > 0, F.concat(F.lit("The main factors increasing risk are "), say(adverse), F.lit("."))),
-        F.when(F.size(favourable) > 0, F.concat(F.lit("Working in the applicant's favour: "), say(favourable), F.lit("."))),
+        F.when(F.size(adverse) > 0, F.concat(
+            F.lit("The main factors increasing risk are "), sentence_list(adverse), F.lit("."))),
+        F.when(F.size(favourable) > 0, F.concat(
+            F.lit("Working in the applicant's favour: "), sentence_list(favourable), F.lit("."))),
         first_match([
             (conf >= F.lit(0.85), F.concat(F.lit("Model confidence is high ("), sure, F.lit(
                 "); the profile sits well clear of the boundaries between risk bands."))),
@@ -209,8 +225,8 @@ def narrative(factors: str = "factors", audience: str = "officer", fraud: bool =
     if audience == "applicant":
         parts.append(F.when(F.size(adverse) > 0, F.concat(
             F.lit("The most effective way to improve this assessment would be to address "),
-            clause(F.try_element_at(adverse, F.lit(1))), F.lit("."))))
-    return F.array_compact(F.array(*parts))
+            F.try_element_at(adverse, F.lit(1)), F.lit("."))))
+    return staged.withColumn(output, F.array_compact(F.array(*parts))).drop("_adverse", "_favourable")
 
 
 def factor_description(factor: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, percent, plain
+from ..functions.expr import first_match, percent, plain, values_of
 
 
 def approved_by_score(score: Column | str) -> Column:
@@ -103,9 +103,8 @@ def fairness_report(df: DataFrame, score: str, target: str | None = None,
     marked = df.withColumn("_approved", approved_by_score(score))
     per_attribute = audit(group_stats(marked, attributes, "_approved", target))
     totals = report_totals(df, score)
-    return per_attribute.select(
-        "*", alert_sentence().alias("alert"),
-        *[totals.select(c).scalar().alias(c) for c in totals.columns])
+    return per_attribute.select("*", alert_sentence().alias("alert"),
+                                *[c.alias(n) for n, c in values_of(totals).items()])
 
 
 def aligned(scores: DataFrame, outcomes: DataFrame, id_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import fixed, first_match, percent_change, plain
+from ..functions.expr import fixed, first_match, percent_change, plain, values_of
 
 
 def _value(name: str, default: float) -> Column:
@@ -81,26 +81,35 @@ def triggered(rules: Sequence[tuple[str, float, Column, Column]], extra: Sequenc
     return F.array_compact(F.array(*fired, *extra))
 
 
-def fraud_columns(rules: Column | str = "rules") -> dict[str, Column]:
-    """Probability, flag, tier and reasons from an array of fired rules."""
-    r = F.col(rules) if isinstance(rules, str) else rules
-    miss = F.aggregate(r, F.lit(1.0), lambda a, x: a * (F.lit(1.0) - x["weight"]))
-    p = F.bround(F.lit(1.0) - miss, 4)
-    reasons = F.transform(r, lambda x: x["reason"])
+def fraud_probability(rules: Sequence[tuple[str, float, Column, Column]], *more: Column) -> Column:
+    """1 - product of (1 - weight) over the firing rules; ``more`` are extra factors.
+
+    Taken from the conditions, not from the array of fired rules: a query that does not
+    ask for the reasons never builds them."""
+    miss = F.lit(1.0)
+    for factor in [*[F.when(cond, F.lit(1.0 - w)).otherwise(F.lit(1.0)) for _, w, cond, _ in rules], *more]:
+        miss = miss * factor
+    return F.bround(F.lit(1.0) - miss, 4)
+
+
+def _with_verdict(df: DataFrame) -> DataFrame:
+    """Flag, tier and texts from ``fraud_probability`` and ``rules``."""
+    p = F.col("fraud_probability")
     flag = p >= F.lit(v.FRAUD_FLAG_AT)
-    return {
-        "fraud_probability": p,
+    reasons = F.transform("rules", lambda x: x["reason"])
+    return df.withColumns({
         "fraud_flag": flag,
         "fraud_tier": first_match([(flag, "high"), (p >= F.lit(v.FRAUD_MEDIUM_AT), "medium")], "low"),
         "fraud_reasons": reasons,
         "fraud_reason": F.when(flag, F.array_join(reasons, " ")),
-    }
+    })
 
 
 def screen(df: DataFrame, missing_is_unknown: bool = False) -> DataFrame:
-    """Append the consistency screening; no shuffle."""
-    return (df.withColumn("rules", triggered(consistency_rules(missing_is_unknown)))
-            .withColumns(fraud_columns()))
+    """Append the consistency screening; no shuffle. Columns not selected later (the
+    rules with their texts above all) are pruned from the plan."""
+    rules = consistency_rules(missing_is_unknown)
+    return _with_verdict(df.withColumns({"fraud_probability": fraud_probability(rules), "rules": triggered(rules)}))
 
 
 # ---- identity and resubmission --------------------------------------------------
@@ -151,12 +160,19 @@ def previous_submissions(df: DataFrame, key: str, ts: str = "ts", id_col: str =
     }).drop("_segment", "_row", "_rank", "_lag", "_before", "_carried")
 
 
+def _inflated() -> Column:
+    return F.coalesce(F.col("Income_change_pct") > 20, F.lit(False))
+
+
+def _repeat_weight() -> Column:
+    return first_match([(_inflated(), 0.55), (F.col("occurrence") == 2, 0.25)], 0.40)
+
+
 def resubmission_rule() -> Column:
     """Struct (code, weight, reason) for a repeated application, NULL for a first one."""
-    n, change = F.col("occurrence"), F.col("Income_change_pct")
-    inflated = F.coalesce(change > 20, F.lit(False))
+    n, change, inflated = F.col("occurrence"), F.col("Income_change_pct"), _inflated()
     code = F.when(inflated, "DUPLICATE_WITH_INFLATED_INCOME").otherwise("DUPLICATE_APPLICATION")
-    weight = first_match([(inflated, 0.55), (n == 2, 0.25)], 0.40)
+    weight = _repeat_weight()
     reason = F.when(inflated, F.concat(
         F.lit("An application with matching applicant details was already submitted; "
               "declared income is now "), plain(change), F.lit("% higher."))).otherwise(F.concat(
@@ -169,8 +185,10 @@ def screen_with_history(df: DataFrame, fields: Sequence[str] = v.IDENTITY_FIELDS
                         **window) -> DataFrame:
     """Consistency rules and resubmission rules together."""
     seen = previous_submissions(df.withColumn("fingerprint", fingerprint(fields)), "fingerprint", **window)
-    return (seen.withColumn("rules", triggered(consistency_rules(), [resubmission_rule()]))
-            .withColumns(fraud_columns()))
+    rules, extra = consistency_rules(), resubmission_rule()
+    repeated = F.when(F.col("occurrence") > 1, F.lit(1.0) - _repeat_weight()).otherwise(F.lit(1.0))
+    return _with_verdict(seen.withColumns({"fraud_probability": fraud_probability(rules, repeated),
+                                           "rules": triggered(rules, [extra])}))
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str, members: int = 20,
@@ -193,5 +211,4 @@ def duplicate_groups(df: DataFrame, key: Column, id_col: str, members: int = 20,
              .groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("members")))
     return top.join(first, "key").select(
         "key", "occurrences", "members",
-        totals.select("duplicate_groups").scalar().alias("duplicate_groups"),
-        totals.select("duplicate_rows").scalar().alias("duplicate_rows"))
+        *[c.alias(n) for n, c in values_of(totals).items()])

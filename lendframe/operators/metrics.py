@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import first_match, percent, ratio
+from ..functions.expr import first_match, percent, ratio, values_of
 from ..functions.ordered import exact_quantiles, running_totals
+from ..session import cut_lineage
 
 
 def _outcomes(df: DataFrame, y: str, p: str, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +75,7 @@ def classification_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5
     a, b = confusion_metrics(df, y, p, threshold, keys), rank_metrics(df, y, p, keys)
     if keys:
         return a.join(b, list(keys))
-    return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
+    return a.select("*", *[c.alias(n) for n, c in values_of(b).items()])
 
 
 def curve_points(df: DataFrame, y: str, p: str, max_points: int = 200,
@@ -82,26 +83,26 @@ def curve_points(df: DataFrame, y: str, p: str, max_points: int = 200,
     """Rows (curve, i, x, y) with at most ``max_points`` evenly spaced points per curve.
 
     The ROC curve starts at the origin and leaves out points on a straight run; the
-    precision-recall curve runs from recall 1 down to the closing point (0, 1).
-    Positions come from the cumulative counts' own two-level order, so the thinning
-    filter is applied to numbered rows, not to a collected curve.
+    precision-recall curve runs from recall 1 down to the closing point (0, 1). The
+    cumulative counts are computed once and stored, since both curves read them often.
     """
-    base = _outcomes(df, y, p, [])
-    totals = base.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P, N = (totals.select(c).scalar().cast("double") for c in ("P", "N"))
-    counts = running_totals(base, [], "p", ["pos", "neg"])
+    counts = cut_lineage(cumulative_counts(df, y, p))
+    totals = counts.agg(F.sum("pos").cast("double"), F.sum("neg").cast("double"), F.count(F.lit(1))).toDF("n_pos", "n_neg", "n_points")
+    P, N, n = values_of(totals).values()
     out = []
     if "roc" in kinds:
-        pts = _numbered(_roc_vertices(counts), "p", descending=True)
-        xy = pts.select((F.col("i") + 1).alias("i"), (F.col("cum_neg") / N).alias("x"), (F.col("cum_pos") / P).alias("y"))
+        # a threshold is left out where the step to it equals the step after it
+        after = counts.select((F.col("place") - 1).alias("place"), F.col("pos").alias("_p"), F.col("neg").alias("_n"))
+        bend = (F.col("place") == 1) | F.col("_p").isNull() | (F.col("pos") != F.col("_p")) | (F.col("neg") != F.col("_n"))
+        kept = counts.join(after, "place", "left").filter(bend).select(
+            "p", F.lit(1).alias("i"), (F.col("cum_neg") / N).alias("x"), (F.col("cum_pos") / P).alias("y"))
+        numbered = cut_lineage(running_totals(kept, [], "p", ["x", "y"]).select(F.col("place").alias("i"), "x", "y"))
         origin = totals.select(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-        out.append(_thin(xy.unionByName(origin), max_points).withColumn("curve", F.lit("roc")))
+        out.append(_thin(numbered.unionByName(origin), max_points).withColumn("curve", F.lit("roc")))
     if "precision_recall" in kinds:
-        pts = _numbered(counts, "p", descending=False)
-        xy = pts.select("i", (F.col("cum_pos") / P).alias("x"),
-                        (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("y"))
-        size = counts.agg(F.count(F.lit(1)).alias("i"))
-        end = size.select("i", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
+        xy = counts.select((n - F.col("place")).alias("i"), (F.col("cum_pos") / P).alias("x"),
+                           (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("y"))
+        end = totals.select(F.col("n_points").alias("i"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
         out.append(_thin(xy.unionByName(end), max_points).withColumn("curve", F.lit("precision_recall")))
     points = out[0]
     for more in out[1:]:
@@ -109,32 +110,6 @@ def curve_points(df: DataFrame, y: str, p: str, max_points: int = 200,
     return points.select("curve", "i", "x", "y")
 
 
-def _cell(p: str) -> Column:
-    return F.floor(F.col(p) * F.lit(float(1 << 20)))
-
-
-def _numbered(df: DataFrame, p: str, descending: bool) -> DataFrame:
-    """Global row number from 0 along p: numbers within cells plus rows of earlier cells."""
-    order = F.desc if descending else F.asc
-    with_cell = df.withColumn("_c", _cell(p))
-    local = with_cell.withColumn("_r", F.row_number().over(W.partitionBy("_c").orderBy(order(p))))
-    before = with_cell.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 2^20 cells
-    w = W.partitionBy().orderBy(order("_c")).rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("_c", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_b"))
-    return (local.join(before, "_c").withColumn("i", F.col("_b") + F.col("_r") - 1)
-            .drop("_c", "_r", "_b", "_n"))
-
-
-def _roc_vertices(counts: DataFrame) -> DataFrame:
-    """Leave out a threshold whose step equals the following one (a straight run); the
-    first and the last threshold stay."""
-    numbered = _numbered(counts, "p", descending=True)
-    following = numbered.select((F.col("i") - 1).alias("i"), F.col("pos").alias("_np"), F.col("neg").alias("_nn"))
-    keep = (F.col("i") == 0) | F.col("_np").isNull() | (F.col("pos") != F.col("_np")) | (F.col("neg") != F.col("_nn"))
-    return (numbered.join(following, "i", "left").filter(keep).drop("i", "_np", "_nn"))
-
-
 def _thin(points: DataFrame, limit: int) -> DataFrame:
     """Keep ``limit`` evenly spaced positions. Position i is kept when it equals
     floor(k * (n - 1) / (limit - 1)) for some k."""
@@ -152,28 +127,35 @@ def tune_thresholds(df: DataFrame, y: str, p: str, target_recall: float = 0.95,
     low: highest cut that keeps the recall; high: lowest cut whose precision reaches
     ``lift`` times the base rate (at most 0.95); decision: lowest cut with the best F1.
     Missing cuts fall back to the 25th and 95th percentile of p; both are kept ordered.
+    Everything, the percentiles included, follows from the cumulative counts.
     """
-    base = _outcomes(df, y, p, [])
-    totals = base.agg(F.sum("pos").alias("P"), F.count(F.lit(1)).alias("n")).select(
-        F.col("P").cast("double").alias("P"), (F.col("P") / F.col("n")).alias("rate"))
-    P, rate = totals.select("P").scalar(), totals.select("rate").scalar()
-    cp, picked = F.col("cum_pos").cast("double"), (F.col("cum_pos") + F.col("cum_neg")).cast("double")
-    recall, precision = cp / P, cp / picked
-    wanted = F.least(F.lit(0.95), rate * F.lit(lift))
+    counts = cut_lineage(cumulative_counts(df, y, p))
+    totals = counts.agg(F.struct(F.sum("pos").cast("double").alias("P"), F.sum(F.col("pos") + F.col("neg")).alias("n"))).scalar()
+    P, n = totals["P"], totals["n"]
+    rate = F.try_divide(P, n.cast("double"))
+    cp, picked = F.col("cum_pos").cast("double"), F.col("cum_pos") + F.col("cum_neg")
+    recall, precision = F.try_divide(cp, P), cp / picked
     f1 = ratio(F.lit(2.0) * precision * recall, precision + recall)
-    c = running_totals(base, [], "p", ["pos", "neg"]).select(
-        "p", (recall >= F.lit(target_recall)).alias("keeps"), (precision >= wanted).alias("lifts"), f1.alias("f1"))
-    found = c.agg(
-        F.max(F.when(F.col("keeps"), F.col("p"))).alias("low"),
-        F.min(F.when(F.col("lifts"), F.col("p"))).alias("high"),
-        F.max_by("p", F.struct(F.col("f1"), -F.col("p"))).alias("decision"))
-    fallback = exact_quantiles(base, ["p"], [0.25, 0.95])
-    q = lambda x: fallback.filter(F.col("prob") == x).select("value").scalar()
-    low = F.least(F.greatest(F.coalesce("low", q(0.25)), F.lit(1e-4)), F.lit(0.98))
-    staged = found.select(low.alias("low"), F.coalesce("high", q(0.95)).alias("high"),
-                          F.coalesce("decision", F.lit(0.5)).alias("decision"), rate.alias("base_rate"))
-    return staged.select("low", F.least(F.greatest("high", F.col("low") + F.lit(1e-3)), F.lit(0.999)).alias("high"),
-                         "decision", "base_rate")
+    staged = counts.select("p", (F.col("pos") + F.col("neg")).alias("c"), (n - picked).alias("below"), n.alias("n"), rate.alias("rate"),
+                           recall.alias("recall"), precision.alias("precision"), f1.alias("f1"))
+
+    def at_rank(r: Column) -> Column:
+        return F.min(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("c")), F.col("p")))
+
+    def percentile(q: float) -> Column:
+        h = (F.col("n") - 1).cast("double") * F.lit(q)
+        lo, hi = at_rank(F.floor(h)), at_rank(F.ceil(h))
+        return lo + (hi - lo) * F.max(h - F.floor(h))
+
+    wanted = F.least(F.lit(0.95), F.col("rate") * F.lit(lift))
+    found = staged.agg(
+        F.coalesce(F.max(F.when(F.col("recall") >= F.lit(target_recall), F.col("p"))), percentile(0.25)).alias("low"),
+        F.coalesce(F.min(F.when(F.col("precision") >= wanted, F.col("p"))), percentile(0.95)).alias("high"),
+        F.coalesce(F.max_by("p", F.struct(F.col("f1"), -F.col("p"))), F.lit(0.5)).alias("decision"),
+        F.max("rate").alias("base_rate"))
+    low = F.least(F.greatest("low", F.lit(1e-4)), F.lit(0.98))
+    return found.withColumn("low", low).withColumn("high", F.least(
+        F.greatest("high", F.col("low") + F.lit(1e-3)), F.lit(0.999))).select("low", "high", "decision", "base_rate")
 
 
 def fit_cutoffs(df: DataFrame, y: str, p: str, **kw) -> scoring.Cutoffs:

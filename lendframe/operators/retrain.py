@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, plain
+from ..functions.expr import first_match, plain, values_of
 
 
 def deduplicate(df: DataFrame, id_col: str, arrival: str) -> DataFrame:
@@ -53,10 +53,10 @@ def retrain_triggers(drift: DataFrame, trend: DataFrame, outcomes: DataFrame,
     """One row: whether to retrain and why. Outcomes count since the last training."""
     new = outcomes if last_trained is None else outcomes.filter(F.col(recorded_at) > last_trained)
     n = F.col("new_outcomes")
+    t = values_of(trend, "alert", "recommendation")
     staged = new.agg(F.count(F.lit(1)).alias("new_outcomes")).select(
         "new_outcomes", drift.select("drift_detected").scalar().alias("drift"),
-        trend.select("alert").scalar().alias("degraded"),
-        trend.select("recommendation").scalar().alias("_advice"))
+        t["alert"].alias("degraded"), t["recommendation"].alias("_advice"))
     reasons = F.array_compact(F.array(
         F.when(F.col("drift"), F.lit("Data or prediction drift exceeded the alert threshold.")),
         F.when(F.col("degraded"), F.col("_advice")),
@@ -102,12 +102,12 @@ def compare_versions(registry: DataFrame, challenger: str, champion: str | None)
 def model_health(metrics: DataFrame, drift: DataFrame, trend: DataFrame, throughput: DataFrame,
                  fairness_alert: Column) -> DataFrame:
     """One row with metrics, drift, trend, throughput and the list of alerts."""
-    take = lambda d, c, name=None: d.select(c).scalar().alias(name or c)
+    d, t = values_of(drift, "status", "drift_detected"), values_of(trend, "status", "alert", "recommendation")
+    volume = values_of(throughput, "total_predictions", "avg_latency_ms")
     staged = metrics.select(
-        "*", take(drift, "status", "drift_status"), take(drift, "drift_detected"),
-        take(trend, "status", "trend_status"), take(trend, "alert", "_trend_alert"),
-        take(trend, "recommendation", "_advice"), take(throughput, "total_predictions"),
-        take(throughput, "avg_latency_ms"), fairness_alert.alias("_bias"))
+        "*", d["status"].alias("drift_status"), d["drift_detected"].alias("drift_detected"),
+        t["status"].alias("trend_status"), t["alert"].alias("_trend_alert"), t["recommendation"].alias("_advice"),
+        *[c.alias(n) for n, c in volume.items()], fairness_alert.alias("_bias"))
     low = F.coalesce("roc_auc", F.lit(0.0)) < v.MIN_AUC
     alerts = F.array_compact(F.array(
         F.when(F.col("drift_detected"), F.lit("Data or prediction drift exceeded the alert threshold.")),

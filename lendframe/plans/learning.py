@@ -30,8 +30,11 @@ def _frame(spark, sf) -> DataFrame:
 
 
 def _split(spark, sf) -> DataFrame:
-    """The frame with its split. Fitting reads it several times, so callers persist it."""
-    return stratified_split(_frame(spark, sf), "Default", "application_id", position="position")
+    return _divide(_frame(spark, sf))
+
+
+def _divide(frame: DataFrame) -> DataFrame:
+    return stratified_split(frame, "Default", "application_id", position="position")
 
 
 def _part(df: DataFrame, name: str) -> DataFrame:
@@ -40,8 +43,8 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 
 def train(spark, sf, candidate: str, **params) -> tuple[pipeline.RiskModel, DataFrame]:
     """Prepare, fit, calibrate and tune on train and validation; returns model and test rows."""
-    frame = _split(spark, sf)
-    held = frame.persist()
+    base = pipeline.parallel(_frame(spark, sf)).persist()  # read by every fit below
+    held = _divide(base).persist()
     try:
         fit_rows = _part(held, "train")
         prepared = pipeline.preprocessor(NUMERIC, CATEGORICAL).fit(fit_rows)
@@ -54,7 +57,8 @@ def train(spark, sf, candidate: str, **params) -> tuple[pipeline.RiskModel, Data
         cut = metrics.fit_cutoffs(pipeline.calibrate(calibrator, val), "Default", "p")
     finally:
         held.unpersist()
-    return pipeline.RiskModel(prepared, model, cut, calibrator), _part(frame, "test")
+        base.unpersist()
+    return pipeline.RiskModel(prepared, model, cut, calibrator), _part(_split(spark, sf), "test")
 
 
 def _score(spark, sf, candidate: str, **params) -> DataFrame:
@@ -127,11 +131,11 @@ def explained_scores(spark, sf):
     values = {c: F.col(c) for c in NUMERIC + CATEGORICAL}
     full = scored.withColumn("factors", explain.top_factors("contribs", values, 5))
     helping, hurting = explain.helping_and_hurting("contribs")
-    return full.select(
+    return explain.with_narrative(full, fraud=True).select(
         "application_id", "risk_score", "risk_level",
         F.transform("factors", lambda f: f["raw_feature"]).alias("top_features"),
         F.size(helping).alias("n_helping"), F.size(hurting).alias("n_hurting"),
-        explain.narrative(fraud=True).alias("sentences"))
+        "sentences")
 
 
 @query

@@ -240,9 +240,7 @@ def fraud_rules(spark, sf):
 @query
 def fraud_summary(spark, sf):
     df = features.derived(quality.repair(b.applications(spark, sf)))
-    return (df.withColumn("rules", fraud.triggered(fraud.consistency_rules()))
-            .withColumns({k: c for k, c in fraud.fraud_columns().items() if k in ("fraud_tier", "fraud_flag")})
-            .groupBy("fraud_tier").agg(F.count(F.lit(1)).alias("applications"),
+    return (fraud.screen(df).groupBy("fraud_tier").agg(F.count(F.lit(1)).alias("applications"),
                                        F.count_if("fraud_flag").alias("flagged"),
                                        r6(F.avg("LoanToIncomeRatio")).alias("mean_loan_to_income"),
                                        r6(F.avg("ThinFileScore")).alias("mean_thin_file")))
@@ -366,8 +364,8 @@ def scenario_table(spark, sf):
     def rescore(df: DataFrame) -> DataFrame:
         p = (F.lit(0.6) * F.least(F.try_divide(F.col("LoanAmount"), F.col("Income") + F.lit(1000.0)) / F.lit(20.0), F.lit(1.0))
              + F.lit(0.4) * (F.lit(850.0) - F.col("CreditScore")) / F.lit(550.0))
-        return df.withColumn("risk_score", F.bround(scoring.risk_score(p, b.CUT), 2)).withColumn(
-            "risk_level", scoring.risk_level("risk_score"))
+        return df.withColumn("_p", p).withColumn("risk_score", F.bround(scoring.risk_score("_p", b.CUT), 2)).withColumn(
+            "risk_level", scoring.risk_level("risk_score")).drop("_p")
 
     a = b.applications(spark, sf, lines=False)
     return scenarios.scenario_table(a, {
@@ -659,9 +657,9 @@ def _explained(spark, sf):
 
 @query
 def narrative(spark, sf):
-    out = _explained(spark, sf).withColumn("description", F.array_join(
+    out = explain.with_narrative(_explained(spark, sf), audience="applicant").withColumn("description", F.array_join(
         F.transform(explain.describe_factors(), lambda f: f["description"]), " "))
-    return out.select("application_id", F.array_join(explain.narrative(audience="applicant"), " ").alias("sentences"),
+    return out.select("application_id", F.array_join("sentences", " ").alias("sentences"),
                       F.regexp_replace("description", r" \(value: [^)]*\)", "").alias("description"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expr import values_of
+
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("version", T.StringType(), False),
     T.StructField("created_at", T.StringType()),
@@ -44,8 +46,8 @@ def active_pointer(activations: DataFrame) -> DataFrame:
 def versions_view(registry: DataFrame, activations: DataFrame) -> DataFrame:
     """Registry rows, newest first, with the active and the previous one marked."""
     p = active_pointer(activations)
-    get = lambda c: p.select(c).scalar()
-    same = lambda c: F.coalesce(F.col("version") == get(c), F.lit(False))
+    now = values_of(p, "active_version", "previous_version")
+    same = lambda c: F.coalesce(F.col("version") == now[c], F.lit(False))
     return registry.withColumns({"is_active": same("active_version"), "is_previous": same("previous_version")}
                                 ).orderBy(F.desc("version"))
 
