@@ -119,15 +119,22 @@ def values_of(one_row: DataFrame, *names: str) -> dict[str, Column]:
     return {n: row[n] for n in names}
 
 
+def half_even(c: Column | str, places: int = 0) -> Column:
+    """Round half to even on the double itself, as the numeric libraries do (Spark's own
+    ``bround`` works on the printed decimal and differs where that ends in a 5)."""
+    scale = float(10 ** places)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale) if places else F.rint(col(c))
+
+
 def percent_change(old: Column | str, new: Column | str) -> Column:
     """Change in percent of the old magnitude, 2 places; NULL from zero or missing."""
     old, new = col(old), col(new)
-    return F.bround(F.try_divide(F.lit(100.0) * (new - old), F.abs(old)), 2)
+    return half_even(F.try_divide(F.lit(100.0) * (new - old), F.abs(old)), 2)
 
 
 def fixed(c: Column, places: int = 0) -> Column:
-    """Number text with thousands separators."""
-    return F.format_number(F.bround(c, places), places)
+    """Number text with thousands separators (rounds half to even)."""
+    return F.format_number(c, places)
 
 
 def plain(c: Column, places: int = 0) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import clip
+from ..functions.expr import half_even, clip
 from ..functions.ordered import quantile_constants
 from .preprocess import fold_column, modes, sample_by_hash
 
@@ -261,9 +261,9 @@ class RiskModel:
         staged = out.withColumn("_score", scoring.risk_score(p, self.cutoffs))
         # the level follows the unrounded score
         return staged.select(
-            *keep, "features", F.bround(p, 6).alias("probability"), F.bround("_score", 2).alias("risk_score"),
+            *keep, "features", half_even(p, 6).alias("probability"), half_even("_score", 2).alias("risk_score"),
             scoring.risk_level("_score").alias("risk_level"),
-            F.bround(scoring.confidence(p, self.cutoffs), 4).alias("confidence"))
+            half_even(scoring.confidence(p, self.cutoffs), 4).alias("confidence"))
 
     def weights(self) -> list[float]:
         """Coefficients of a linear model, importances of a tree model."""
@@ -288,5 +288,5 @@ def reference_sample(df: DataFrame, position: str, n: int = 5000) -> DataFrame:
 
 def batch_summary(scored: DataFrame) -> DataFrame:
     return scored.agg(
-        F.bround(F.avg("risk_score"), 2).alias("mean_risk_score"),
+        half_even(F.avg("risk_score"), 2).alias("mean_risk_score"),
         *[F.count_if(F.col("risk_level") == x).alias(x) for x in v.RISK_LEVELS])

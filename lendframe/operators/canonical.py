@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import clip, holds, ratio, recode, share, total
+from ..functions.expr import half_even, clip, holds, ratio, recode, share, total
 
 PERSON, LOAN, PREVIOUS = "SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV"
 
@@ -92,7 +92,7 @@ def credit_score(*sources: Column) -> Column:
     present = F.array_compact(F.array(*sources))
     mean = F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, x: a + x),
                         F.size(present).cast("double"))
-    return F.bround(F.lit(300.0) + clip(mean, 0.0, 1.0) * F.lit(550.0), 0)
+    return half_even(F.lit(300.0) + clip(mean, 0.0, 1.0) * F.lit(550.0), 0)
 
 
 def application_fields(app: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def application_fields(app: DataFrame) -> DataFrame:
     return app.select(
         F.col(PERSON),
         F.col("TARGET").cast("int").alias(v.TARGET),
-        F.bround(-F.col("DAYS_BIRTH") / F.lit(365.25), 1).alias("Age"),
+        half_even(-F.col("DAYS_BIRTH") / F.lit(365.25), 1).alias("Age"),
         clip(-employed / F.lit(30.44), lo=0.0).alias("MonthsEmployed"),
         income.alias("Income"),
         credit.alias("LoanAmount"),
         credit_score(*[F.col(f"EXT_SOURCE_{i}").cast("double") for i in (1, 2, 3)]).alias("CreditScore"),
         F.lit(0.0).alias("InterestRate"),
-        clip(F.bround(F.try_divide(credit, annuity), 0), 1.0, 480.0).alias("LoanTerm"),
+        clip(half_even(F.try_divide(credit, annuity), 0), 1.0, 480.0).alias("LoanTerm"),
         clip(F.try_divide(annuity, income), 0.0, 1.5).alias("DTIRatio"),
         recode("NAME_EDUCATION_TYPE", v.SOURCE_EDUCATION).alias("Education"),
         recode("NAME_INCOME_TYPE", v.SOURCE_EMPLOYMENT).alias("EmploymentType"),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import values_of
+from ..functions.expr import half_even, values_of
 from ..functions.ordered import quantile_constants
 from ..functions.scoring import psi_status
 
@@ -86,8 +86,8 @@ def psi_rows(reference: DataFrame, current: DataFrame, edges: dict[str, list[flo
         none = reference.sparkSession.createDataFrame([(f, "numeric", 0.0) for f in flat],
                                                       "feature string, kind string, psi double")
         rows = rows.unionByName(none)
-    return rows.select("feature", "kind", F.bround("psi", 4).alias("psi"),
-                       psi_status(F.bround("psi", 4)).alias("status"), F.col("psi").alias("psi_raw"))
+    return rows.select("feature", "kind", half_even("psi", 4).alias("psi"),
+                       psi_status(half_even("psi", 4)).alias("status"), F.col("psi").alias("psi_raw"))
 
 
 def psi_numeric(reference: DataFrame, current: DataFrame, feature: str, bins: int = 10) -> DataFrame:
@@ -114,7 +114,7 @@ def drift_summary(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("features_checked"),
         F.array_sort(F.collect_list(F.when(hit, F.col("feature")))).alias("drifted"),
         F.array_sort(F.collect_list(F.when(F.col("status") == "alert", F.col("feature")))).alias("alerting"),
-        worst.alias("max_psi"), F.bround(F.coalesce(F.avg("psi"), F.lit(0.0)), 4).alias("mean_psi"),
+        worst.alias("max_psi"), half_even(F.coalesce(F.avg("psi"), F.lit(0.0)), 4).alias("mean_psi"),
         psi_status(worst).alias("status"),
         (F.count_if(F.col("status") == "alert") > 0).alias("drift_detected"))
 
@@ -130,8 +130,8 @@ def prediction_drift(reference: DataFrame, current: DataFrame, score: str,
         F.when(F.col("sample_size") > 0, psi_status(psi)).otherwise("no_data").alias("status"),
         F.when(F.col("sample_size") > 0, psi).otherwise(0.0).alias("psi"),
         ((F.col("sample_size") > 0) & (psi >= v.PSI_ALERT)).alias("drift_detected"),
-        F.bround(ref_mean, 2).alias("reference_mean"), F.bround("_m", 2).alias("current_mean"),
-        F.bround(F.col("_m") - ref_mean, 2).alias("mean_shift"), "sample_size")
+        half_even(ref_mean, 2).alias("reference_mean"), half_even("_m", 2).alias("current_mean"),
+        half_even(F.col("_m") - ref_mean, 2).alias("mean_shift"), "sample_size")
 
 
 def last_events(log: DataFrame, n: int, ts: str = "timestamp", tie: str | None = None,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, fixed, percent, plain, sentence_list
+from ..functions.expr import half_even, first_match, fixed, percent, plain, sentence_list
 
 
 def source_groups(encoded: Sequence[str]) -> dict[str, list[int]]:
@@ -65,8 +65,8 @@ def top_factors(contribs: Column | str, values: Mapping[str, Column] | None = No
         F.coalesce(F.try_element_at(labels, f["feature"]), f["feature"]).alias("feature"),
         f["feature"].alias("raw_feature"),
         F.when(f["contribution"] > 0, "negative").otherwise("positive").alias("impact"),
-        F.coalesce(F.bround(F.try_divide(F.abs(f["contribution"]), total), 4), F.lit(0.0)).alias("weight"),
-        F.bround(f["contribution"], 6).alias("contribution"),
+        F.coalesce(half_even(F.try_divide(F.abs(f["contribution"]), total), 4), F.lit(0.0)).alias("weight"),
+        half_even(f["contribution"], 6).alias("contribution"),
         (F.try_element_at(value_map, f["feature"]) if value_map is not None
          else F.lit(None).cast("string")).alias("value")))
 
@@ -82,8 +82,8 @@ def global_importance(df: DataFrame, contribs: str, k: int = 15) -> DataFrame:
     means = (df.select(F.inline(contribs)).groupBy("feature")
              .agg(F.avg(F.abs("contribution")).alias("importance")))
     total = means.agg(F.sum("importance")).scalar()
-    return means.select("feature", F.bround("importance", 6).alias("importance"),
-                        F.coalesce(F.bround(F.try_divide(F.col("importance"), total), 4),
+    return means.select("feature", half_even("importance", 6).alias("importance"),
+                        F.coalesce(half_even(F.try_divide(F.col("importance"), total), 4),
                                    F.lit(0.0)).alias("relative_importance")
                         ).orderBy(F.desc("importance"), "feature").limit(k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, percent, plain, values_of
+from ..functions.expr import half_even, first_match, percent, plain, values_of
 
 
 def approved_by_score(score: Column | str) -> Column:
@@ -75,9 +75,9 @@ def audit(stats: DataFrame) -> DataFrame:
         "attribute", "usable_groups",
         when(most["group"]).alias("most_favoured"), when(hi).alias("most_favoured_rate"),
         when(least["group"]).alias("least_favoured"), when(lo).alias("least_favoured_rate"),
-        when(F.bround(impact, 4)).alias("disparate_impact_ratio"),
-        when(F.bround(parity, 4)).alias("parity_difference"),
-        when(F.when(F.col("_n_ok") >= 2, F.bround(F.col("_hi") - F.col("_lo"), 4))).alias("equal_opportunity_gap"),
+        when(half_even(impact, 4)).alias("disparate_impact_ratio"),
+        when(half_even(parity, 4)).alias("parity_difference"),
+        when(F.when(F.col("_n_ok") >= 2, half_even(F.col("_hi") - F.col("_lo"), 4))).alias("equal_opportunity_gap"),
         when(impact >= F.lit(v.IMPACT_FLOOR)).alias("passes_four_fifths"),
         alert.alias("bias_alert"))
 

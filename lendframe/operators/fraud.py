@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import fixed, first_match, percent_change, plain, values_of
+from ..functions.expr import half_even, fixed, first_match, percent_change, plain, values_of
 
 
 def _value(name: str, default: float) -> Column:
@@ -89,7 +89,7 @@ def fraud_probability(rules: Sequence[tuple[str, float, Column, Column]], *more:
     miss = F.lit(1.0)
     for factor in [*[F.when(cond, F.lit(1.0 - w)).otherwise(F.lit(1.0)) for _, w, cond, _ in rules], *more]:
         miss = miss * factor
-    return F.bround(F.lit(1.0) - miss, 4)
+    return half_even(F.lit(1.0) - miss, 4)
 
 
 def _with_verdict(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import first_match, percent, ratio, values_of
+from ..functions.expr import half_even, first_match, percent, ratio, values_of
 from ..functions.ordered import exact_quantiles, running_totals
 from ..session import cut_lineage
 
@@ -226,8 +226,8 @@ def performance_trend(history: DataFrame, order: Sequence[str] = ("period",), au
     below = F.col(auc) < F.lit(v.MIN_AUC)
     dropped = drop > F.lit(v.AUC_DROP)
     return last.select(
-        *order, F.bround(baseline, 4).alias("baseline_auc"), F.col(auc).alias("latest_auc"),
-        F.bround(drop, 4).alias("auc_degradation"), below.alias("below_minimum"),
+        *order, half_even(baseline, 4).alias("baseline_auc"), F.col(auc).alias("latest_auc"),
+        half_even(drop, 4).alias("auc_degradation"), below.alias("below_minimum"),
         dropped.alias("significant_drop"), (below | dropped).alias("alert"),
         F.when(below | dropped, "degraded").otherwise("healthy").alias("status"),
         F.when(below, "Trigger retraining: performance has fallen below the acceptable threshold.")
@@ -252,7 +252,7 @@ def officer_agreement(decisions: DataFrame, recommended: str = "ai_recommendatio
         (ar > ra, " Officers overturn approvals more often than declines, which suggests the "
                   "model is too permissive.")], "")
     return one.select(
-        F.bround(rate, 4).alias("agreement_rate"), "sample_size",
+        half_even(rate, 4).alias("agreement_rate"), "sample_size",
         (ra + ar).alias("override_count"), ra, ar,
         first_match([(rate.isNull(), "no_data"), (rate >= 0.80, "healthy"), (rate >= 0.65, "review")],
                     "concerning").alias("status"),
@@ -265,9 +265,9 @@ def throughput(recent: DataFrame, ts: str, latency: str, score: str, level: str,
     """Volume, latency and score summary of an already limited set of predictions."""
     return recent.agg(
         F.count(F.lit(1)).alias("total_predictions"),
-        F.bround(F.avg(F.coalesce(F.col(latency), F.lit(0.0))), 2).alias("avg_latency_ms"),
-        F.bround(F.percentile(F.coalesce(F.col(latency), F.lit(0.0)), 0.95), 2).alias("p95_latency_ms"),
-        F.bround(F.avg(F.coalesce(F.col(score), F.lit(0.0))), 2).alias("mean_risk_score"),
+        half_even(F.avg(F.coalesce(F.col(latency), F.lit(0.0))), 2).alias("avg_latency_ms"),
+        half_even(F.percentile(F.coalesce(F.col(latency), F.lit(0.0)), 0.95), 2).alias("p95_latency_ms"),
+        half_even(F.avg(F.coalesce(F.col(score), F.lit(0.0))), 2).alias("mean_risk_score"),
         *[F.count_if(F.col(level) == x).alias(f"n_{x}") for x in v.RISK_LEVELS],
         F.count_if(F.col(fraud)).alias("fraud_flagged"),
         F.min(ts).alias("window_start"), F.max(ts).alias("window_end"))

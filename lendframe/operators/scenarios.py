@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import fixed, first_match, plain
+from ..functions.expr import half_even, fixed, first_match, plain
 
 
 def scenario_table(applications: DataFrame, scenarios: Mapping[str, Mapping[str, Column | float | str]],
@@ -51,7 +51,7 @@ def scenario_table(applications: DataFrame, scenarios: Mapping[str, Mapping[str,
         for f in fields]))
     return out.select(
         *kept, "scenario", "baseline_score", "baseline_level", "risk_score", "risk_level",
-        F.bround(delta, 2).alias("score_change"), (delta < 0).alias("improved"),
+        half_even(delta, 2).alias("score_change"), (delta < 0).alias("improved"),
         changed.alias("changed_fields"), movement_sentence(
             F.col("baseline_score"), F.col("risk_score"), changed).alias("narrative"))
 

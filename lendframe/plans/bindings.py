@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.expr import first_match
+from ..functions.expr import half_even, first_match
 
 CUT = scoring.Cutoffs(low=0.05, high=0.30, decision=0.20)
 KEY, CUST = F.col, F.col
@@ -70,7 +70,7 @@ def applications(spark: SparkSession, sf_dir: str, lines: bool = True, income: b
 
 def scored(df: DataFrame) -> DataFrame:
     """Score, level and confidence from ``probability``."""
-    return (df.withColumn("risk_score", F.bround(scoring.risk_score("probability", CUT), 2))
+    return (df.withColumn("risk_score", half_even(scoring.risk_score("probability", CUT), 2))
             .withColumns({"risk_level": scoring.risk_level("risk_score"),
                           "confidence": scoring.confidence("probability", CUT)}))
 
@@ -101,7 +101,7 @@ def score_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.pmod(F.col("l_orderkey") * 31 + F.col("l_linenumber") * 17, F.lit(1000))).cast("double") / F.lit(1000.0)
     return li.select(F.col("l_orderkey").alias("application_id"), F.col("l_shipdate").alias("scored_at"),
                      F.col("l_linenumber").alias("seq"),
-                     F.bround(scoring.risk_score(p, CUT), 2).alias("risk_score")
+                     half_even(scoring.risk_score(p, CUT), 2).alias("risk_score")
                      ).withColumn("risk_level", scoring.risk_level("risk_score"))
 
 
@@ -130,7 +130,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     p = (F.col("event_id") % 1000).cast("double") / F.lit(1000.0)
     return e.select(F.col("ts").alias("timestamp"), "event_id", "user_id", "event_type", "value",
-                    F.bround(scoring.risk_score(p, CUT), 2).alias("risk_score"),
+                    half_even(scoring.risk_score(p, CUT), 2).alias("risk_score"),
                     (F.col("event_id") % 37 == 0).alias("fraud_flag")
                     ).withColumn("risk_level", scoring.risk_level("risk_score"))
 

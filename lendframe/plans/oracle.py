@@ -140,7 +140,7 @@ def rules_cte(source: str, name: str = "fr") -> str:
         ("CREDIT_SCORE_AGE_MISMATCH", 0.30, "ag < 21 AND cs > 780",
          "'A credit score of ' || CAST(cs AS BIGINT) || ' is not attainable with the credit history length available to an applicant aged ' || CAST(ag AS BIGINT) || '.'"),
         ("IMPLAUSIBLE_LOAN_TO_INCOME", 0.25, "inc > 0 AND loan / inc > 8",
-         "'Requested amount is ' || printf('%.1f', round_even(loan / inc, 1)) || 'x declared annual income.'"),
+         "'Requested amount is ' || printf('%.1f', loan / inc) || 'x declared annual income.'"),
         ("ZERO_INCOME_WITH_LOAN_REQUEST", 0.35, "inc <= 0 AND loan > 0", "'A loan is requested against zero declared income.'"),
         ("DTI_CREDIT_SCORE_CONTRADICTION", 0.20, "dti > 0.85e0 AND cs > 760",
          "'A debt-to-income ratio of ' || printf('%.2f', dti) || ' is not consistent with a credit score of ' || CAST(cs AS BIGINT) || '.'"),
@@ -518,8 +518,8 @@ g3 AS (SELECT *, pool * (1e0 - pool) * (1e0 / mn + 1e0 / lnn) AS var FROM g2),
 aud AS (SELECT *, usable_groups >= 2 AND (di < 0.8e0 OR pd > 0.1e0) AND CASE WHEN mr = lr THEN false WHEN var <= 0 THEN true ELSE abs(mr - lr) / sqrt(greatest(var, 0e0)) >= 1.959964e0 END AS bias_alert FROM g3)"""
 SQL["fairness_audit"] = with_(*FAIRS, AUDIT, """SELECT attribute, usable_groups, mg AS most_favoured, round(mr, 6) AS most_favoured_rate, lg AS least_favoured,
  round(lr, 6) AS least_favoured_rate, round_even(di, 4) AS disparate_impact_ratio, round_even(pd, 4) AS parity_difference, eo AS equal_opportunity_gap, di >= 0.8e0 AS passes_four_fifths, bias_alert,
- CASE WHEN bias_alert THEN attribute || ': approval rate for ''' || lg || ''' is ' || printf('%.1f', round_even(lr * 100e0, 1)) || '% vs ' || printf('%.1f', round_even(mr * 100e0, 1)) || '% for ''' || mg
-  || ''' (disparate impact ratio ' || printf('%.2f', round_even(round_even(di, 4), 2)) || ').' END AS alert,
+ CASE WHEN bias_alert THEN attribute || ': approval rate for ''' || lg || ''' is ' || printf('%.1f', lr * 100e0) || '% vs ' || printf('%.1f', mr * 100e0) || '% for ''' || mg
+  || ''' (disparate impact ratio ' || printf('%.2f', round_even(di, 4)) || ').' END AS alert,
  (SELECT count(*) FROM au) AS n_applications, (SELECT round(avg(CASE WHEN risk_score < 25 THEN 1e0 ELSE 0e0 END), 6) FROM au) AS overall_approval_rate,
  (SELECT round(avg(risk_score), 6) FROM au) AS overall_mean_score FROM aud""")
 SQL["aligned_outcomes"] = """SELECT d.doc_id IS NULL OR l.doc_id IS NULL AS unmatched, count(*) AS n, CAST(sum(quality) AS BIGINT) AS positives
@@ -627,7 +627,7 @@ SQL["risk_report"] = with_(APP, SC, """rr AS (SELECT sc.* REPLACE (CASE WHEN app
     _line("details", 4, "Employment", "coalesce(EmploymentType, 'N/A')"), _line("details", 5, "Tenure", "CAST(LoanTerm AS INT) || ' months'"),
     _line("details", 6, "Status", "upper(status)"), _line("details", 7, "Submitted", "strftime(ts, '%Y-%m-%d')"),
     _line("risk", 0, "Risk Score", "CAST(risk_score AS VARCHAR) || '/100 (' || upper(risk_level) || ')'", "risk_score IS NOT NULL"),
-    _line("risk", 1, "Confidence", "printf('%.1f', round_even(confidence * 100e0, 1)) || '%'", "risk_score IS NOT NULL"),
+    _line("risk", 1, "Confidence", "printf('%.1f', confidence * 100e0) || '%'", "risk_score IS NOT NULL"),
     _line("risk", 2, "FRAUD FLAG", "'Suspicious patterns detected'", "risk_score IS NOT NULL AND fraud_flag"),
     _line("risk", 0, "Risk Score", "'Risk assessment has not been completed yet.'", "risk_score IS NULL")]))
 
@@ -648,8 +648,8 @@ f0 AS (SELECT application_id, unnest(['CreditScore', 'LoanToIncomeRatio', 'DTIRa
 f1 AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY abs(c) DESC, f) AS rn, round_even(abs(c) / sum(abs(c)) OVER (PARTITION BY application_id), 4) AS w FROM f0),
 f2 AS (SELECT *, CASE WHEN f = 'CreditScore' AND c > 0 THEN 'a credit score of ' || CAST(cs AS INT) || ', which is below the level associated with reliable repayment'
   WHEN f = 'CreditScore' THEN 'a credit score of ' || CAST(cs AS INT) || ', which indicates a solid repayment record'
-  WHEN f = 'LoanToIncomeRatio' AND c > 0 THEN 'a requested amount worth ' || printf('%.1f', round_even(lti, 1)) || 'x annual income'
-  WHEN f = 'LoanToIncomeRatio' THEN 'a requested amount of only ' || printf('%.1f', round_even(lti, 1)) || 'x annual income'
+  WHEN f = 'LoanToIncomeRatio' AND c > 0 THEN 'a requested amount worth ' || printf('%.1f', lti) || 'x annual income'
+  WHEN f = 'LoanToIncomeRatio' THEN 'a requested amount of only ' || printf('%.1f', lti) || 'x annual income'
   WHEN f = 'DTIRatio' AND c > 0 THEN 'a debt-to-income ratio of ' || printf('%.2f', dti) || ', meaning a large share of income already services existing debt'
   WHEN f = 'DTIRatio' THEN 'a manageable debt-to-income ratio of ' || printf('%.2f', dti)
   WHEN c > 0 THEN 'a ''' || lp || ''' loan purpose, which carries higher historical loss rates' ELSE 'a ''' || lp || ''' loan purpose, which carries lower historical loss rates' END AS say,
@@ -659,7 +659,7 @@ f3 AS (SELECT application_id, list(say ORDER BY rn) FILTER (c > 0) AS bad, list(
 f4 AS (SELECT *, CASE len(bad) WHEN 1 THEN bad[1] WHEN 2 THEN bad[1] || ' and ' || bad[2] WHEN 3 THEN bad[1] || ', ' || bad[2] || ' and ' || bad[3] END AS bads,
   CASE len(good) WHEN 1 THEN good[1] WHEN 2 THEN good[1] || ' and ' || good[2] WHEN 3 THEN good[1] || ', ' || good[2] || ' and ' || good[3] END AS goods FROM f3)""", """
 SELECT sc.application_id, concat_ws(' ', 'This application scores ' || CAST(round_even(risk_score, 0) AS INT) || ' out of 100 and is classified as '
-  || CASE risk_level WHEN 'low' THEN 'low risk' WHEN 'medium' THEN 'moderate risk' ELSE 'high risk' END || ', corresponding to an estimated ' || printf('%.1f', round_even(probability * 100e0, 1)) || '% probability of default.',
+  || CASE risk_level WHEN 'low' THEN 'low risk' WHEN 'medium' THEN 'moderate risk' ELSE 'high risk' END || ', corresponding to an estimated ' || printf('%.1f', probability * 100e0) || '% probability of default.',
  'The main factors increasing risk are ' || bads || '.', 'Working in the applicant''s favour: ' || goods || '.',
  CASE WHEN confidence >= 0.85e0 THEN 'Model confidence is high (' || CAST(round_even(confidence * 100e0, 0) AS INT) || '%); the profile sits well clear of the boundaries between risk bands.'
   WHEN confidence >= 0.7e0 THEN 'Model confidence is moderate (' || CAST(round_even(confidence * 100e0, 0) AS INT) || '%).'

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import first_match, names_where
+from ..functions.expr import half_even, first_match, names_where
 from ..functions.ordered import exact_quantiles, hash_order_cuts, hash_position
 from ..operators import (canonical, drift, explain, fairness, features, fraud, metrics, payload, portfolio,
                          quality, retrain, scenarios)
@@ -301,7 +301,7 @@ def risk_distribution(spark, sf):
 @query
 def batch_summary(spark, sf):
     df = fraud.screen(b.scored(b.applications(spark, sf)))
-    return df.agg(F.bround(F.avg("risk_score"), 2).alias("mean_risk_score"),
+    return df.agg(half_even(F.avg("risk_score"), 2).alias("mean_risk_score"),
                   *[F.count_if(F.col("risk_level") == x).alias(x) for x in v.RISK_LEVELS],
                   F.count_if("fraud_flag").alias("flagged_for_fraud"))
 
@@ -334,7 +334,7 @@ def _manual(spark, sf):
         k.alias("application_id"), F.col("o_custkey").alias("applicant_id"), (k % 7).alias("officer_id"),
         b.pick(k % 5, "approve", "reject", "review", "approve", "escalate").alias("decision"),
         F.when(k % 3 != 0, F.concat(F.lit("note "), k.cast("string"))).alias("override_reason"))
-    scores = o.select(k.alias("application_id"), F.when(k % 8 != 0, F.bround(scoring.risk_score(
+    scores = o.select(k.alias("application_id"), F.when(k % 8 != 0, half_even(scoring.risk_score(
         (k % 1000).cast("double") / F.lit(1000.0), b.CUT), 2)).alias("risk_score"))
     return portfolio.manual_decide(requests, scores)
 
@@ -364,7 +364,7 @@ def scenario_table(spark, sf):
     def rescore(df: DataFrame) -> DataFrame:
         p = (F.lit(0.6) * F.least(F.try_divide(F.col("LoanAmount"), F.col("Income") + F.lit(1000.0)) / F.lit(20.0), F.lit(1.0))
              + F.lit(0.4) * (F.lit(850.0) - F.col("CreditScore")) / F.lit(550.0))
-        return df.withColumn("_p", p).withColumn("risk_score", F.bround(scoring.risk_score("_p", b.CUT), 2)).withColumn(
+        return df.withColumn("_p", p).withColumn("risk_score", half_even(scoring.risk_score("_p", b.CUT), 2)).withColumn(
             "risk_level", scoring.risk_level("risk_score")).drop("_p")
 
     a = b.applications(spark, sf, lines=False)
@@ -440,7 +440,7 @@ def _audited(spark, sf):
     a = b.scored(features.derived(b.applications(spark, sf, lines=False)))
     # a score that leans against one segment, so that an alert is there to be found
     lean = F.when(F.col("segment") == "BUILDING", F.least(F.col("probability") * 3, F.lit(1.0))).otherwise(F.col("probability") * F.lit(0.2))
-    return a.withColumn("risk_score", F.bround(scoring.risk_score(lean, b.CUT), 2))
+    return a.withColumn("risk_score", half_even(scoring.risk_score(lean, b.CUT), 2))
 
 
 @query

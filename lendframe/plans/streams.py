@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import half_even
 from ..functions import scoring
 from ..operators import drift
 from ..session import shared_folder
@@ -35,7 +36,7 @@ def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
 def _predictions(events: DataFrame) -> DataFrame:
     p = (F.col("event_id") % 1000).cast("double") / F.lit(1000.0)
     return events.select(F.col("ts").alias("timestamp"), "event_id", "event_type", "value",
-                         F.bround(scoring.risk_score(p, b.CUT), 2).alias("risk_score"),
+                         half_even(scoring.risk_score(p, b.CUT), 2).alias("risk_score"),
                          (F.col("event_id") % 37 == 0).alias("fraud_flag")
                          ).withColumn("risk_level", scoring.risk_level("risk_score"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import vocabulary as v
-from ..functions.expr import percent_change
+from ..functions.expr import half_even, percent_change
 from ..operators import drift, fraud, portfolio
 
 LATE = "10 minutes"
@@ -166,7 +166,7 @@ def window_psi(counts: DataFrame, reference: DataFrame) -> DataFrame:
     grid = a.select("window_start", "feature").distinct().join(e, "feature")
     both = grid.join(a, ["window_start", "feature", "kind", "bin"], "full_outer")
     term = drift._term(F.coalesce("e", F.lit(0.0)), F.coalesce("a", F.lit(0.0)))
-    psi = F.bround(F.sum(term), 4)
+    psi = half_even(F.sum(term), 4)
     return both.groupBy("window_start", "feature", "kind").agg(
         psi.alias("psi"), drift.psi_status(psi).alias("status"))
 
