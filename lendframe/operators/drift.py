@@ -59,7 +59,9 @@ def histogram(df: DataFrame, edges: dict[str, list[float]], categorical: Sequenc
     cells += [F.when(F.col(c).isNotNull(), F.struct(
         F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),
         F.col(c).cast("string").alias("bin"))) for c in categorical]
-    return (df.select(*by, F.explode(F.array_compact(F.array(*cells))).alias("s"))
+    found = F.array_compact(F.array(*cells)) if cells else F.array().cast(
+        "array<struct<feature:string,kind:string,bin:string>>")
+    return (df.select(*by, F.explode(found).alias("s"))
             .groupBy(*by, "s.feature", "s.kind", "s.bin").agg(F.count(F.lit(1)).alias("n")))
 
 
