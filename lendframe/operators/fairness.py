@@ -55,15 +55,13 @@ def audit(stats: DataFrame) -> DataFrame:
     # ties go to the group that comes first in label order
     grouped = stats.groupBy("attribute").agg(
         F.count_if(enough).alias("usable_groups"),
-        F.array_sort(F.collect_list(who), lambda a, b: first_match([
-            (a["approval_rate"] > b["approval_rate"], -1), (a["approval_rate"] < b["approval_rate"], 1),
-            (a["group"] < b["group"], -1)], 1)).alias("_ranked"),
+        F.min_by(who, F.when(enough, F.struct(-F.col("approval_rate"), F.col("group")))).alias("_most"),
         F.min_by(F.struct("approval_rate", "group", "count"),
                  F.when(enough, F.struct("approval_rate", "group"))).alias("_least"),
         F.max(F.when(enough, F.col("creditworthy_approval_rate"))).alias("_hi"),
         F.min(F.when(enough, F.col("creditworthy_approval_rate"))).alias("_lo"),
         F.count(F.when(enough, F.col("creditworthy_approval_rate"))).alias("_n_ok"))
-    most, least = F.try_element_at("_ranked", F.lit(1)), F.col("_least")
+    most, least = F.col("_most"), F.col("_least")
     shown = F.col("usable_groups") >= 2
     hi, lo = most["approval_rate"], least["approval_rate"]
     impact = F.coalesce(F.try_divide(lo, hi), F.lit(1.0))

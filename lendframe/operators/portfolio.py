@@ -146,19 +146,27 @@ def review_queue(applications: DataFrame, users: DataFrame, scores: DataFrame |
     return queue.join(who, "applicant_id", "left")
 
 
+def case_decisions(applications: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decision history as rows, one per decision of the given applications. Rows, not an
+    array per application: no task has to hold one application's whole history."""
+    return decisions.join(applications.select("application_id"), "application_id", "left_semi")
+
+
 def case_file(applications: DataFrame, scores: DataFrame, decisions: DataFrame,
               users: DataFrame | None = None) -> DataFrame:
-    """Each application with its latest score and its decisions, newest first."""
+    """Each application with its latest score, the number of its decisions and the last
+    one. Both satellites are reduced by partial aggregation before they are joined."""
     latest = latest_per(scores.select("application_id", "scored_at", "risk_score", "risk_level"),
                         "application_id", "scored_at", "risk_score")
     history = decisions.groupBy("application_id").agg(
-        F.sort_array(F.collect_list(F.struct("decided_at", "final_decision", "decided_by")),
-                     asc=False).alias("history"))
+        F.count(F.lit(1)).alias("n_decisions"),
+        F.max(F.struct("decided_at", "final_decision", "decided_by")).alias("_last")).select(
+        "application_id", "n_decisions", F.col("_last.decided_at").alias("last_decided_at"),
+        F.col("_last.final_decision").alias("last_decision"), F.col("_last.decided_by").alias("last_officer"))
     out = applications.join(latest, "application_id", "left").join(history, "application_id", "left")
     if users is not None:
         out = out.join(users.select(F.col("user_id").alias("applicant_id"), "name"), "applicant_id", "left")
-    return out.withColumn("history", F.coalesce("history", F.array().cast(
-        "array<struct<decided_at:timestamp_ntz,final_decision:string,decided_by:string>>")))
+    return out.withColumn("n_decisions", F.coalesce("n_decisions", F.lit(0)))
 
 
 def decision_history(decisions: DataFrame, applications: DataFrame, users: DataFrame,

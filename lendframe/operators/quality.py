@@ -33,8 +33,8 @@ def validation_report(df: DataFrame, require_target: bool = True,
                       require_all: bool = True) -> DataFrame:
     """Rows (column, check, n, detail, severity), one per finding.
 
-    All counts come from one aggregation over one scan. Column-presence findings need
-    no scan; an empty table is reported as such.
+    The per-column counts come from one aggregation over one scan, unknown levels from a
+    second one. Column-presence findings need no scan; an empty table is reported as such.
     """
     have = set(df.columns)
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
@@ -50,15 +50,10 @@ def validation_report(df: DataFrame, require_target: bool = True,
         picks += [(name, "non_numeric", F.col(f"c{i}"), none, F.lit("error")),
                   (name, "missing", F.col(f"m{i}"), none, F.lit("info")),
                   (name, "out_of_range", F.col(f"r{i}"), none, F.lit("warning"))]
-    for i, (name, levels) in enumerate(v.LEVELS.items()):
-        if name not in have:
-            continue
-        text = F.col(name).cast("string")
-        aggs += [F.count_if(text.isNull()).alias(f"x{i}"),
-                 F.array_sort(F.collect_set(F.when(~text.isin(*levels), text))).alias(f"u{i}")]
-        picks += [(name, "missing", F.col(f"x{i}"), none, F.lit("info")),
-                  (name, "unknown_level", F.size(f"u{i}").cast("long"),
-                   F.array_join(f"u{i}", ", "), F.lit("warning"))]
+    for i, name in enumerate(v.LEVELS):
+        if name in have:
+            aggs.append(F.count_if(F.col(name).isNull()).alias(f"x{i}"))
+            picks.append((name, "missing", F.col(f"x{i}"), none, F.lit("info")))
     if require_target and v.TARGET in have:
         y = F.col(v.TARGET)
         aggs += [F.count_if(~y.isin(0, 1)).alias("bad_target"), F.avg(y.cast("double")).alias("rate")]
@@ -79,7 +74,23 @@ def validation_report(df: DataFrame, require_target: bool = True,
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("check"),
                               F.coalesce(n, F.lit(0)).cast("long").alias("n"), d.alias("detail"),
                               s.alias("severity")) for c, k, n, d, s in picks])
-    return df.agg(*aggs).select(F.inline(rows)).filter(F.col("n") > 0)
+    counted = df.agg(*aggs).select(F.inline(rows)).filter(F.col("n") > 0)
+    return counted.unionByName(unknown_levels(df))
+
+
+def unknown_levels(df: DataFrame) -> DataFrame:
+    """One finding per unknown level of a categorical column, with its number of rows.
+
+    Only unknown values leave the map side, and they are counted, not gathered: a column
+    of free text yields many rows, never one large cell."""
+    cells = []
+    for name, levels in v.LEVELS.items():
+        if name in df.columns:
+            text = F.col(name).cast("string")
+            cells.append(F.when(~text.isin(*levels), F.struct(F.lit(name).alias("column"), text.alias("detail"))))
+    found = F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<column:string,detail:string>>")
+    return (df.select(F.inline(found)).groupBy("column", "detail").agg(F.count(F.lit(1)).alias("n"))
+            .select("column", F.lit("unknown_level").alias("check"), "n", "detail", F.lit("warning").alias("severity")))
 
 
 def require_valid(report: DataFrame) -> None:

@@ -21,11 +21,8 @@ def deduplicate(df: DataFrame, id_col: str, arrival: str) -> DataFrame:
     part of the comparison.
     """
     rest = [c for c in df.columns if c not in (id_col, arrival)]
-    row = F.struct(*rest)
-    order = F.struct(F.col(arrival), F.to_json(row))
     with_id = (df.filter(F.col(id_col).isNotNull()).groupBy(id_col)
-               .agg(F.min_by(F.struct(F.col(arrival), row.alias("r")), order).alias("x"))
-               .select(id_col, F.col(f"x.{arrival}").alias(arrival), "x.r.*"))
+               .agg(F.min(F.struct(arrival, *rest)).alias("x")).select(id_col, "x.*"))
     without = (df.filter(F.col(id_col).isNull())
                .groupBy(id_col, *rest).agg(F.min(arrival).alias(arrival)))
     return with_id.unionByName(without)

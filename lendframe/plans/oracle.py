@@ -317,8 +317,7 @@ for _c, (_lo, _hi) in v.NUMERIC_BOUNDS.items():
 for _c, _x in v.LEVELS.items():
     if _c != "HasCoSigner":
         _f.append(_finding(_c, "missing", f"count(*) FILTER ({_c} IS NULL)", "info"))
-        _f.append(_finding(_c, "unknown_level", f"count(DISTINCT {_c}) FILTER ({_c} NOT IN {in_list(_x)})", "warning",
-                           f"string_agg(DISTINCT {_c}, ', ' ORDER BY {_c}) FILTER ({_c} NOT IN {in_list(_x)})"))
+        _f.append(_finding(_c, "unknown_level", "count(*)", "warning", _c) + f" WHERE {_c} NOT IN {in_list(_x)} GROUP BY {_c}")
 _f.append(_finding("Default", "not_binary", "count(*) FILTER (\"Default\" NOT IN (0, 1))", "error"))
 _f += [f"SELECT '{c}', 'missing_column', 1, NULL, 'error'" for c in ("NumCreditLines", "InterestRate", "HasCoSigner")]
 SQL["validation_report"] = with_(APP, MESSY, "SELECT * FROM (" + " UNION ALL ".join(_f) + ") WHERE n > 0")
@@ -606,6 +605,7 @@ HIST = f"""hs AS (SELECT *, {level('risk_score')} AS risk_level FROM (SELECT l_o
 SQL["case_history"] = with_(APP, HIST, DECI, """lt AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY scored_at DESC, risk_score DESC) = 1)""",
  """SELECT app.application_id, applicant_id, status, lt.risk_score, lt.risk_level, c_name AS name, CAST(1 AS BIGINT) AS n_decisions, final_decision AS last_decision, decided_by AS last_officer
 FROM app LEFT JOIN lt USING (application_id) LEFT JOIN deci USING (application_id) LEFT JOIN customer ON c_custkey = applicant_id""")
+SQL["case_decisions"] = with_(DECI, """SELECT d.* FROM deci d JOIN orders ON o_orderkey = application_id WHERE o_orderstatus NOT IN ('F', 'P')""")
 SQL["decision_history"] = with_(APP, DECI, """SELECT d.application_id, decided_at, final_decision, applicant_id, LoanAmount, c_name AS name FROM
  (SELECT * FROM deci WHERE decided_by = 'officer-3' ORDER BY decided_at DESC, application_id DESC LIMIT 50) d LEFT JOIN app USING (application_id) LEFT JOIN customer ON c_custkey = applicant_id""")
 AUD_LOG = f"alog AS (SELECT event_id AS log_id, ts AS timestamp, {pick('user_id % 4', 'AI', 'Officer', 'Admin', 'System')} AS actor_type, event_type AS action, value FROM events)"

@@ -588,10 +588,14 @@ def applicant_search(spark, sf):
 def case_history(spark, sf):
     a = b.applications(spark, sf, lines=False, income=False).select("application_id", "applicant_id", "status")
     out = portfolio.case_file(a, b.score_history(spark, sf), b.decisions(spark, sf), b.users(spark, sf))
-    first = F.try_element_at("history", F.lit(1))
     return out.select("application_id", "applicant_id", "status", "risk_score", "risk_level", "name",
-                      F.size("history").cast("long").alias("n_decisions"),
-                      first["final_decision"].alias("last_decision"), first["decided_by"].alias("last_officer"))
+                      "n_decisions", "last_decision", "last_officer")
+
+
+@query
+def case_decisions(spark, sf):
+    a = b.applications(spark, sf, lines=False, income=False)
+    return portfolio.case_decisions(portfolio.where_equal(a, status="under_review"), b.decisions(spark, sf))
 
 
 @query

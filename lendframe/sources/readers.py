@@ -140,13 +140,14 @@ def flat_predictions(log: DataFrame) -> DataFrame:
 
 # ---- fingerprints ---------------------------------------------------------------
 
-def source_fingerprint(df: DataFrame) -> str:
-    """Digest of name, size and modification time of the files behind a file scan.
-
-    Planned from the file listing plus one row per file; no content is hashed."""
-    files = df.select("_metadata.file_name", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    one = F.sha2(F.concat_ws(":", "file_name", F.col("file_size").cast("string"),
-                             F.unix_micros("file_modification_time").cast("string")), 256)
+def source_fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of name, size and modification time of the files below a path.
+
+    The file listing is read as a table whose content column is pruned: no file is opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select("path", "length", "modificationTime"))
+    one = F.sha2(F.concat_ws(":", "path", F.col("length").cast("string"),
+                             F.unix_micros("modificationTime").cast("string")), 256)
     # order-free: the digests are added as exact decimals
     total = F.sum(F.conv(F.left(one, F.lit(15)), 16, 10).cast("decimal(38,0)"))
     r = files.agg(total.alias("t"), F.count(F.lit(1)).alias("n")).first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +38,13 @@ def cached_canonical(spark: SparkSession, source_dir: str, cache_dir: str, kind:
     of an old build are not disturbed.
     """
     tables = readers.read_sources(spark, source_dir, kind)
-    digest = "_".join(readers.source_fingerprint(readers_raw(spark, source_dir, name, kind)) for name in tables)
-    import hashlib
+    digest = "_".join(readers.source_fingerprint(spark, readers.table_path(source_dir, name, kind)) for name in tables)
     target = f"{cache_dir.rstrip('/')}/canonical-{hashlib.sha256(digest.encode()).hexdigest()[:24]}"
     if not (use_cache and readers._exists(spark, target + "/_SUCCESS")):
         canonical.canonical_table(tables).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
-def readers_raw(spark: SparkSession, source_dir: str, name: str, kind: str) -> DataFrame:
-    path = readers.table_path(source_dir, name, kind)
-    return spark.read.text(path) if kind == "csv" else spark.read.parquet(path)
-
-
 # ---- versioned snapshots --------------------------------------------------------
 
 def save_snapshot(df: DataFrame, root: str, version: str, source: str, now: Column | None = None,
@@ -156,7 +153,6 @@ def set_active(spark: SparkSession, root: str, version: str, now: str | None = N
     current = registry.active_pointer(log).first()
     if current is not None and current["active_version"] == version:
         return
-    import datetime as dt
     at = now or dt.datetime.now(dt.timezone.utc).isoformat()
     spark.createDataFrame([(version, at)], registry.ACTIVATION_SCHEMA).write.mode("append").parquet(f"{root}/activations")
 
