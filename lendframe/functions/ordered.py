@@ -77,26 +77,30 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             (low if small or p - slack <= 0 else near[p - slack],
              high if small or p + slack >= 1 else near[p + slack]) for p in probs])
 
-    below = [F.count_if(F.col(c) < F.lit(lo)).alias(f"b{i}_{j}")
-             for i, c in enumerate(columns) for j, (lo, _) in enumerate(brackets[i])]
-    struct = lambda i, j, x: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.alias("x"))
+    # many columns times many percentiles: the expressions are written as SQL text, which
+    # Spark parses in one go
+    def lit(x: float) -> str:
+        return f"double('{'-' if x < 0 else ''}Infinity')" if abs(x) == high else f"{x!r}D"
+
+    name = [f"`{c}`" for c in columns]
+    below = [F.expr(f"count_if({name[i]} < {lit(lo)}) AS b{i}_{j}")
+             for i in range(len(columns)) for j, (lo, _) in enumerate(brackets[i])]
     # identical brackets (every one, for small tables) are read once and shared
     kept: dict[tuple[int, float, float], int] = {}
     shared = [[kept.setdefault((i, *b), j) for j, b in enumerate(bs)] for i, bs in enumerate(brackets)]
-    inside = [F.when((F.col(columns[i]) >= F.lit(lo)) & (F.col(columns[i]) <= F.lit(hi)),
-                     struct(i, j, F.col(columns[i]))) for (i, lo, hi), j in kept.items()]
-    found = (clean.select(F.explode(F.array_compact(F.array(*inside))).alias("s"))
-             .groupBy("s.i", "s.j", "s.x").agg(F.count(F.lit(1)).alias("c")))
+    inside = ", ".join(f"CASE WHEN {name[i]} >= {lit(lo)} AND {name[i]} <= {lit(hi)} THEN "
+                       f"named_struct('i', {i}, 'j', {j}, 'x', {name[i]}) END" for (i, lo, hi), j in kept.items())
+    found = (clean.select(F.expr(f"inline(array_compact(array({inside})))"))
+             .groupBy("i", "j", "x").agg(F.count(F.lit(1)).alias("c")))
     upto = W.partitionBy("i", "j").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     found = found.withColumn("to", F.sum("c").over(upto))
 
     below_row = clean.agg(*below)
-    spec = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(shared[i][j]).alias("j"), F.lit(c).alias("feature"),
-                 F.lit(p).alias("prob"), F.lit(row[f"n{i}"]).cast("long").alias("n"),
-                 F.lit(p * (row[f"n{i}"] - 1)).alias("h"), F.col(f"b{i}_{j}").alias("b"))
-        for i, c in enumerate(columns) for j, p in enumerate(probs)])
-    wanted = below_row.select(F.inline(spec))
+    spec = ", ".join(
+        f"named_struct('i', {i}, 'j', {shared[i][j]}, 'feature', '{c}', 'prob', {lit(p)}, 'n', {row[f'n{i}']}L, "
+        f"'h', {lit(p * (row[f'n{i}'] - 1))}, 'b', b{i}_{j})"
+        for i, c in enumerate(columns) for j, p in enumerate(probs))
+    wanted = below_row.select(F.expr(f"inline(array({spec}))"))
     lo_rank, hi_rank = F.floor("h"), F.ceil("h")
     at = lambda r: (F.col("b") + F.col("to") > r) & (F.col("b") + F.col("to") - F.col("c") <= r)
     # ``wanted`` has one row per (column, prob): a table of fixed, known size

@@ -139,10 +139,9 @@ def class_weights(df: DataFrame, target: str = v.TARGET, name: str = "weight") -
 
 
 def parallel(df: DataFrame) -> DataFrame:
-    """Spread a table held in fewer partitions than there are cores: an iterative fit
-    passes over it many times. A table that is already wide enough is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Even partitions for a table that iterative fits pass over many times; AQE chooses
+    their number from the data's size and the cores."""
+    return df.hint("rebalance")
 
 
 # ---- candidates and search ----------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions.ordered import hash_position
+from ..session import cut_lineage
 from ..learn import neighbours, pipeline
 from ..learn.preprocess import stratified_split
 from ..operators import explain, fairness, features, fraud, metrics, portfolio, quality
@@ -30,11 +31,9 @@ def _frame(spark, sf) -> DataFrame:
 
 
 def _split(spark, sf) -> DataFrame:
-    return _divide(_frame(spark, sf))
-
-
-def _divide(frame: DataFrame) -> DataFrame:
-    return stratified_split(frame, "Default", "application_id", position="position")
+    """The frame with its split, written once: every fit below reads it several times."""
+    base = cut_lineage(pipeline.parallel(_frame(spark, sf)))
+    return cut_lineage(stratified_split(base, "Default", "application_id", position="position"))
 
 
 def _part(df: DataFrame, name: str) -> DataFrame:
@@ -43,22 +42,17 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 
 def train(spark, sf, candidate: str, **params) -> tuple[pipeline.RiskModel, DataFrame]:
     """Prepare, fit, calibrate and tune on train and validation; returns model and test rows."""
-    base = pipeline.parallel(_frame(spark, sf)).persist()  # read by every fit below
-    held = _divide(base).persist()
-    try:
-        fit_rows = _part(held, "train")
-        prepared = pipeline.preprocessor(NUMERIC, CATEGORICAL).fit(fit_rows)
-        enc = pipeline.class_weights(pipeline.encode(prepared, fit_rows)).select("features", "Default", "weight")
-        est = {c.name: c for c in pipeline.candidates()}[candidate].estimator
-        model = est.copy({est.getParam(k): x for k, x in params.items()}).fit(enc)
-        val = model.transform(pipeline.encode(prepared, _part(held, "val"))).select(
-            "Default", pipeline.raw_probability().alias("p"))
-        calibrator = pipeline.fit_calibrator(val)
-        cut = metrics.fit_cutoffs(pipeline.calibrate(calibrator, val), "Default", "p")
-    finally:
-        held.unpersist()
-        base.unpersist()
-    return pipeline.RiskModel(prepared, model, cut, calibrator), _part(_split(spark, sf), "test")
+    held = _split(spark, sf)
+    fit_rows = _part(held, "train")
+    prepared = pipeline.preprocessor(NUMERIC, CATEGORICAL).fit(fit_rows)
+    enc = cut_lineage(pipeline.class_weights(pipeline.encode(prepared, fit_rows)).select("features", "Default", "weight"))
+    est = {c.name: c for c in pipeline.candidates()}[candidate].estimator
+    model = est.copy({est.getParam(k): x for k, x in params.items()}).fit(enc)
+    val = cut_lineage(model.transform(pipeline.encode(prepared, _part(held, "val"))).select(
+        "Default", pipeline.raw_probability().alias("p")))
+    calibrator = pipeline.fit_calibrator(val)
+    cut = metrics.fit_cutoffs(pipeline.calibrate(calibrator, val), "Default", "p")
+    return pipeline.RiskModel(prepared, model, cut, calibrator), _part(held, "test")
 
 
 def _score(spark, sf, candidate: str, **params) -> DataFrame:
@@ -84,21 +78,16 @@ def fit_score_boosted(spark, sf):
 @query
 def search_candidates(spark, sf):
     """Cross-validated draws per candidate on the training split, then the champion."""
-    held = _split(spark, sf).persist()
-    try:
-        fit_rows = _part(held, "train")
-        prepared = pipeline.preprocessor(NUMERIC, CATEGORICAL).fit(fit_rows)
-        enc = pipeline.class_weights(pipeline.encode(prepared, fit_rows)).select(
-            "features", "Default", "weight", "position").persist()
-        rows = []
-        for c in pipeline.candidates():
-            if c.name == "logistic_regression":
-                c.estimator.setMaxIter(10)
-                _, s = pipeline.search(enc, c, folds=3, draws=2)
-                rows.append((s["candidate"], s["cv_roc_auc_mean"], s["cv_roc_auc_std"], s["n_folds"]))
-        enc.unpersist()
-    finally:
-        held.unpersist()
+    fit_rows = _part(_split(spark, sf), "train")
+    prepared = pipeline.preprocessor(NUMERIC, CATEGORICAL).fit(fit_rows)
+    enc = cut_lineage(pipeline.class_weights(pipeline.encode(prepared, fit_rows)).select(
+        "features", "Default", "weight", "position"))
+    rows = []
+    for c in pipeline.candidates():
+        if c.name == "logistic_regression":
+            c.estimator.setMaxIter(10)
+            _, s = pipeline.search(enc, c, folds=3, draws=2)
+            rows.append((s["candidate"], s["cv_roc_auc_mean"], s["cv_roc_auc_std"], s["n_folds"]))
     found = spark.createDataFrame(rows, "candidate string, roc_auc double, roc_auc_std double, n_folds int")
     return pipeline.choose_champion(found)
 

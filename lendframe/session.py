@@ -56,10 +56,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The table computed once and stored in the shared folder, for operators that read
-    an intermediate result several times. Lost executors cost nothing: the blocks are
-    read back from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The table computed once and written to the shared folder, for work that reads an
+    intermediate result several times. Lost executors cost nothing, and later reads still
+    prune columns."""
+    path = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
