@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import half_even, clip
+from ..functions.expr import clip, half_even
 from ..functions.ordered import quantile_constants
 from .preprocess import fold_column, modes, sample_by_hash
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import half_even, clip, holds, ratio, recode, share, total
+from ..functions.expr import clip, half_even, holds, recode, share, total
 
 PERSON, LOAN, PREVIOUS = "SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV"
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import half_even, first_match, fixed, percent, plain, sentence_list
+from ..functions.expr import first_match, fixed, half_even, percent, plain, sentence_list
 
 
 def source_groups(encoded: Sequence[str]) -> dict[str, list[int]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import half_even, first_match, percent, plain, values_of
+from ..functions.expr import first_match, half_even, percent, plain, values_of
 
 
 def approved_by_score(score: Column | str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import half_even, fixed, first_match, percent_change, plain, values_of
+from ..functions.expr import first_match, fixed, half_even, percent_change, plain, values_of
 
 
 def _value(name: str, default: float) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import half_even, first_match, percent, ratio, values_of
+from ..functions.expr import first_match, half_even, percent, ratio, values_of
 from ..functions.ordered import exact_quantiles, running_totals
 from ..session import cut_lineage
 

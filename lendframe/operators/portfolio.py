@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import vocabulary as v
 from ..functions import scoring
 from ..functions.expr import first_match, fixed, percent, ratio
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import half_even, fixed, first_match, plain
+from ..functions.expr import first_match, fixed, half_even, plain
 
 
 def scenario_table(applications: DataFrame, scenarios: Mapping[str, Mapping[str, Column | float | str]],

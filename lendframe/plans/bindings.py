@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.expr import half_even, first_match
+from ..functions.expr import first_match, half_even
 
 CUT = scoring.Cutoffs(low=0.05, high=0.30, decision=0.20)
 KEY, CUST = F.col, F.col

@@ -10,8 +10,7 @@ from ..functions.ordered import hash_position
 from ..session import cut_lineage
 from ..learn import neighbours, pipeline
 from ..learn.preprocess import stratified_split
-from ..operators import explain, fairness, features, fraud, metrics, portfolio, quality
-from ..functions import scoring
+from ..operators import explain, fairness, features, fraud, metrics, quality
 from . import bindings as b
 from .queries import query, rounded
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import half_even, first_match, names_where
-from ..functions.ordered import exact_quantiles, hash_order_cuts, hash_position
+from ..functions.expr import first_match, half_even
+from ..functions.ordered import exact_quantiles, hash_position
 from ..operators import (canonical, drift, explain, fairness, features, fraud, metrics, payload, portfolio,
                          quality, retrain, scenarios)
 from . import bindings as b

@@ -7,7 +7,6 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import vocabulary as v
 from ..operators import canonical, payload, retrain
