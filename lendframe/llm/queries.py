@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, lines, shards
+from . import chat, encode, exact, language, lines, shards
+
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +64,53 @@ fin AS (SELECT d.doc_id, n_lines, n_spread, is_copy, CASE WHEN is_copy OR n_spre
         FROM documents d JOIN per USING (doc_id))
 SELECT doc_id, n_lines, n_spread, CASE WHEN is_copy THEN 0 ELSE n_spread END AS n_removed, is_copy,
        length(text) AS n_chars, sha256(text) AS text_sha256 FROM fin"""
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode.encode(docs, vocabulary_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn_documents(docs)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.preference_examples(chat.swapped_reply_pairs(table(spark, sf_dir, "conversations")))
+    plain = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["length"])), ",")
+    return out.select("conv_id", "n_prompt", "prompt", "chosen", "rejected", plain(F.col("chosen_spans")).alias("chosen_spans"),
+                      plain(F.col("rejected_spans")).alias("rejected_spans"), "usable")
+
+
+SQL["op8_preferences"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nr
+           FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(nr) AS last FROM t WHERE role = 'assistant' GROUP BY 1),
+r AS (SELECT conv_id, last, text AS reply, conv_id // 64 AS block FROM t JOIN l USING (conv_id) WHERE nr = last),
+p AS (SELECT conv_id, last, reply, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other,
+        count(*) OVER (PARTITION BY block) AS n FROM r WINDOW w AS (PARTITION BY block ORDER BY conv_id)),
+s AS (SELECT p.conv_id, nr, last, role, reply, other, reply = other AS same,
+        '<|im_start|>' || replace(role, '<|im_', '< |im_') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS shown
+      FROM p JOIN t USING (conv_id) WHERE nr <= last AND n > 1),
+q AS (SELECT conv_id, any_value(same) AS same, CASE WHEN any_value(same) THEN count(*) ELSE count(*) - 1 END AS n_prompt,
+        coalesce(string_agg(shown, '' ORDER BY nr) FILTER (same OR nr < last), '') AS prompt,
+        replace(any_value(reply), '<|im_', '< |im_') AS c, replace(any_value(other), '<|im_', '< |im_') AS r
+      FROM s GROUP BY conv_id)
+SELECT conv_id, n_prompt, prompt,
+  CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || c || '<|im_end|>' || chr(10) END AS chosen,
+  CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || r || '<|im_end|>' || chr(10) END AS rejected,
+  CASE WHEN same THEN '' ELSE '22:' || (length(c) + 10) END AS chosen_spans,
+  CASE WHEN same THEN '' ELSE '22:' || (length(r) + 10) END AS rejected_spans, NOT same AND c <> r AS usable FROM q"""
