@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, encode, exact, language, lines, shards
+from . import chat, encode, exact, html, language, lines, mixing, shards
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -114,3 +114,17 @@ SELECT conv_id, n_prompt, prompt,
   CASE WHEN same THEN '' ELSE '<|im_start|>assistant' || chr(10) || r || '<|im_end|>' || chr(10) END AS rejected,
   CASE WHEN same THEN '' ELSE '22:' || (length(c) + 10) END AS chosen_spans,
   CASE WHEN same THEN '' ELSE '22:' || (length(r) + 10) END AS rejected_spans, NOT same AND c <> r AS usable FROM q"""
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    out = mixing.planned_mix(docs, F.col("size"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"),
+                      F.array_join(F.transform("draws", lambda d: d["shard"]), ",").alias("shards"))
+
+
+@query
+def op1_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
