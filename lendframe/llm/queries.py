@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, encode, exact, html, language, lines, mixing, shards
+from . import chat, encode, exact, html, language, lines, mixing, nearby, shards
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -128,3 +128,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+@query
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
