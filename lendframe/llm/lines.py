@@ -25,10 +25,12 @@ def _lines(text: Column) -> Column:
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites; ``lines`` has ``hash`` and ``site``.
 
-    Lines of one site are left out first (smallest and largest site are equal). For the others
+    A line counts once per site from the start, so a very common line is a few rows. Lines of one
+    site are left out first (smallest and largest site are equal). For the others
     HyperLogLog sketches merge by aggregation. Four standard errors round the limit, one site at
     least, an estimate decides nothing: those lines, and only those, are counted exactly.
     """
+    lines = lines.select("hash", "site").distinct()
     several = lines.groupBy("hash").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).filter("lo <> hi").select("hash")
     sketches = (lines.join(several, "hash", "left_semi").groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("s"))
                 .select("hash", F.hll_sketch_estimate("s").alias("sites")))
