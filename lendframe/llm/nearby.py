@@ -80,7 +80,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.n
             own = rolled[at:at + c - width + 1]
             out.append(np.unique(own) if len(own) > 1 else own)
         elif c:
-            out.append(mixed(np.array([(words[at:at + c] * SPREAD[:c]).sum(dtype=np.uint64) + SPREAD[8 + c]], dtype=np.uint64)))
+            out.append(mixed((words[at:at + c] * SPREAD[:c]).sum(dtype=np.uint64, keepdims=True) + SPREAD[8 + c:9 + c]))
         else:
             out.append(words[:0])
         at += c

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, encode, exact, html, language, lines, mixing, nearby, shards
+from . import chat, encode, exact, forest, html, language, lines, mixing, nearby, shards
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -133,3 +133,8 @@ def op1_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearby.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4)
+
+
+@query
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
