@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendframe.llm import encode, language, lines, mixing, nearby, queries
+from lendframe.llm.rows import unused
 from lendframe.session import cut_lineage
 
 
@@ -44,10 +45,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id stay unless they repeat each other; of repeated rows one stays; rows
     that share an id but not their text stay or go together.
     """
-    kept = nearby.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    of, nr = unused("_of", docs.columns), unused("_nr", docs.columns)
+    kept = nearby.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias(of)).distinct()
+    staying = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
     same = Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy("doc_id")
-    return staying.withColumn("_nr", F.row_number().over(same)).filter("_nr = 1").select(*docs.columns)
+    return staying.withColumn(nr, F.row_number().over(same)).filter(F.col(nr) == 1).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

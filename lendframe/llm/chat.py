@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import pack, unpack
+
 OPEN, CLOSE, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
 
 
@@ -66,13 +68,13 @@ def preference_examples(pairs: DataFrame, chosen_col: str = "chosen", rejected_c
     """
     made = ("n_prompt", "prompt", "chosen", "rejected", "chosen_spans", "rejected_spans", "usable")
     empty = F.array().cast("array<struct<role:string,text:string>>")
-    rest = [F.col(c) for c in pairs.columns if c not in (*made, chosen_col, rejected_col)]
-    both = pairs.select(*rest, F.coalesce(F.col(chosen_col), empty).alias("_c"), F.coalesce(F.col(rejected_col), empty).alias("_r"))
+    rest = [c for c in pairs.columns if c not in (*made, chosen_col, rejected_col)]
+    both = pairs.select(pack(rest).alias("_row"), F.coalesce(F.col(chosen_col), empty).alias("_c"), F.coalesce(F.col(rejected_col), empty).alias("_r"))
     cut = both.withColumn("n_prompt", shared_turns(F.col("_c"), F.col("_r")))
     after = lambda c: F.slice(c, (F.col("n_prompt") + 1).cast("int"), F.greatest(F.size(c), F.lit(1)))
     cut = (cut.withColumn("_prompt", F.slice("_c", F.lit(1), F.col("n_prompt").cast("int")))
            .withColumn("_c", after("_c")).withColumn("_r", after("_r")))
-    out = cut.select(*rest, "n_prompt",
+    out = cut.select(*unpack("_row", rest), "n_prompt",
                      render(F.col("_prompt")).alias("prompt"), render(F.col("_c")).alias("chosen"),
                      render(F.col("_r")).alias("rejected"), trained_spans(F.col("_c")).alias("chosen_spans"),
                      trained_spans(F.col("_r")).alias("rejected_spans"))

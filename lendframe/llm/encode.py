@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import unused
+
 NEVER = 1 << 40
 SLICE_CHARS = 1_000_000
 CACHED_WORDS = 300_000
@@ -213,7 +215,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text",
     with open(vocabulary, encoding="utf-8") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
     own = [c for c in docs.columns if c not in outputs and (keep_text or c != text_col)]
-    given = docs.select(*[F.col(c) for c in own], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.drop("_text").schema.fields]
+    given = docs.select(*[F.col(c) for c in own], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(unused("_text", own)))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]]
     schema = ", ".join(fields + [f"{c} {OUTPUTS[c]}" for c in outputs])
     return given.mapInArrow(encoder(source, len(own), list(outputs), list(range(len(own)))), schema)

@@ -7,12 +7,14 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rows import unused
+
 # Element names by role, and words in class or id that name a part of a page.
 BREAKING = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot
@@ -179,7 +181,7 @@ def tree_rule(model: DecisionTreeClassificationModel, block: Column) -> Column:
 
 
 def main_text(pages: DataFrame, html_col: str = "html", model: DecisionTreeClassificationModel | None = None) -> DataFrame:
-    """Adds ``text``, the page's main text: the blocks that the tree accepts, one per line in page order.
+    """Puts ``text``, the page's main text, in place of the markup: the blocks that the tree accepts, one per line in page order.
 
     The whole markup is read, whatever its length; unclosed and crossed tags end where their
     parent ends, what a cut-off tag or script at the end holds is no text. Null and empty pages,
@@ -187,19 +189,21 @@ def main_text(pages: DataFrame, html_col: str = "html", model: DecisionTreeClass
     rows give the same text; an empty table stays empty; columns of these names are replaced.
     """
     model = model or fit_tree(pages.sparkSession, list(labelled_pages()))
-    kept = [c for c in pages.columns if c not in ("text", "n_blocks")]
-    given = pages.select(*kept)
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["_blocks"] = [[dict(zip(["text", *FEATURES], b)) for b in text_blocks(h)] for h in frame["_html"]]
-            yield frame.drop(columns=["_html"])
+    kept = [c for c in pages.columns if c not in ("text", "n_blocks", html_col)]
+    markup, found = unused("_html", kept), unused("_blocks", kept)
+    light = pages.select(*kept, F.col(html_col).cast("string").alias(markup))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.string()), *[(c, pa.float64()) for c in FEATURES]]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = pa.array([[tuple(b) for b in text_blocks(h.as_py())] for h in part.column(len(kept))], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], found])
 
     # A page's markup is several times its blocks; only the blocks come back.
-    light = given.withColumn("_html", F.col(html_col)).drop(html_col) if html_col in kept else given
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.drop("_html").schema.fields)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in light.schema.fields[:-1])
     block = "struct<text:string," + ",".join(f"{c}:double" for c in FEATURES) + ">"
-    blocks = light.mapInPandas(cut, f"{fields}, _blocks array<{block}>")
-    accepted = F.transform(F.filter("_blocks", lambda b: tree_rule(model, b)), lambda b: b["text"])
-    return blocks.select(*[c for c in kept if c != html_col], F.array_join(accepted, "\n").alias("text"),
-                         F.size("_blocks").cast("long").alias("n_blocks"))
+    blocks = light.mapInArrow(cut, f"{fields}`{found}` array<{block}>")
+    accepted = F.transform(F.filter(found, lambda b: tree_rule(model, b)), lambda b: b["text"])
+    return blocks.select(*kept, F.array_join(accepted, "\n").alias("text"), F.size(found).cast("long").alias("n_blocks"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .rows import pack, unpack
 
 MIN_SITES = 5
 COPY_SHARE = 0.5
@@ -57,23 +58,26 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names are replaced.
     """
     added = ("n_lines", "n_spread", "n_removed", "is_copy")
-    docs = docs.drop(*[c for c in added if c != text_col])
-    site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-"))
-    exploded = docs.select(F.col(id_col).alias("_id"), site.alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
+    own = [c for c in docs.columns if c not in added or c == text_col]
+    carried = [c for c in own if c != text_col]
+    docs = docs.select(pack(carried).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"),
+                       F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("-")).alias("site"))
+    exploded = docs.select("_id", "site", F.explode(_lines(F.col("_text"))).alias("line"))
     lines = exploded.select("_id", "site", F.trim("line").alias("line")).filter("line <> ''").select("_id", "site", line_hash(F.col("line")).alias("hash"))
     spread = cut_lineage(spread_lines(lines.select("hash", "site"), min_sites, lg_k))
-    found = lines.join(spread, "hash", "left_semi").groupBy("_id").agg(F.collect_set("hash").alias("_spread"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    found = lines.join(spread, "hash", "left_semi").groupBy(F.col("_id").alias("_of")).agg(F.collect_set("hash").alias("_spread"))
+    joined = docs.join(found, F.col("_id").eqNullSafe(F.col("_of")), "left")
     hit = lambda x: F.array_contains(F.col("_spread"), line_hash(F.trim(x)))
     blank = lambda x: F.trim(x) == ""
     chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(F.trim(x)))
-    cut = joined.withColumn("_all", _lines(F.col(text_col))).withColumn(
+    cut = joined.withColumn("_all", _lines(F.col("_text"))).withColumn(
         "_in", F.when(F.col("_spread").isNull(), F.array().cast("array<string>")).otherwise(
             F.filter("_all", lambda x: ~blank(x) & hit(x))))
     cut = (cut.withColumn("n_lines", F.size(F.filter("_all", lambda x: ~blank(x))).cast("long"))
            .withColumn("n_spread", F.size("_in").cast("long"))
            .withColumn("is_copy", chars(F.col("_in")) > chars(F.col("_all")) * F.lit(copy_share))
            .withColumn("n_removed", F.when(F.col("is_copy"), F.lit(0)).otherwise(F.col("n_spread")).cast("long")))
-    text = F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(
+    text = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(
         F.array_join(F.filter("_all", lambda x: blank(x) | ~hit(x)), "\n"))
-    return cut.withColumn(text_col, text).select(*docs.columns, *added)
+    back = dict(zip(carried, unpack("_row", carried))) | {text_col: text.alias(text_col)}
+    return cut.select(*[back[c] for c in own], *added)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .rows import pack, unpack
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -119,7 +120,7 @@ def planned_mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     """
     added = ("size", "source_size", "target", "draws")
     own = [c for c in docs.columns if c not in added]
-    rows = docs.select(*own, size.alias("size"), F.col(source_col).cast("string").alias("_s"),
+    rows = docs.select(pack(own).alias("_row"), size.alias("size"), F.col(source_col).cast("string").alias("_s"),
                        F.coalesce(F.concat(F.lit("k"), F.col(id_col).cast("string")), F.lit("-")).alias("_key"))
     sums = rows.groupBy(F.col("_s").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     blocks = F.least(F.lit(MOST_BLOCKS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1), F.col("_n") / BLOCK_DOCS)))))
@@ -164,10 +165,12 @@ def planned_mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     joined = placed.join(drawn, one, "left").withColumn("_draws", F.filter("_draws", lambda d: F.col("_part").isNull() | (
         d["draw"] < F.col("_rounds") * F.col("_of")) | F.array_contains("_part", F.col("_key"))))
     place = F.transform("_draws", lambda d: F.struct(d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), d["draw"], F.col("_key")).alias("position")))
-    return joined.withColumn("draws", place).select(*own, *added)
+    return joined.select(*unpack("_row", own), "size", "source_size", "target", place.alias("draws"))
 
 
 def mix(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each draw, with ``shard`` and ``position`` in it."""
-    rows = planned_mix(docs, size, **options).withColumn("_draw", F.explode("draws"))
-    return rows.select(*[c for c in docs.columns if c not in ("shard", "position")], "_draw.shard", "_draw.position")
+    kept = [c for c in docs.columns if c not in ("shard", "position")]
+    packed = docs.select(pack(kept).alias("_doc"), size.alias("_words"), *[F.col(c) for c in {options.get("id_col", "doc_id"), options.get("source_col", "source")}])
+    drawn = planned_mix(packed, F.col("_words"), **options).select("_doc", F.explode("draws").alias("_draw"))
+    return drawn.select(*unpack("_doc", kept), "_draw.shard", "_draw.position")
