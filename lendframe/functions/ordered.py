@@ -129,7 +129,10 @@ def hash_position(id_col: Column | str, seed: int | None = None) -> Column:
     """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     if seed is None:
-        return F.pmod(c.cast("long") * F.lit(2654435761), F.lit(4294967296))
+        # only the lower 32 bits of the id matter; in two halves no product leaves a long
+        low = F.pmod(c.cast("long"), F.lit(4294967296))
+        upper = F.shiftright(low, 16) * F.lit(2654435761) % F.lit(65536) * F.lit(65536)
+        return (upper + low % F.lit(65536) * F.lit(2654435761)) % F.lit(4294967296)
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(4294967296))
 
 

@@ -53,20 +53,22 @@ class Prepare(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
 
     numeric = Param(Params._dummy(), "numeric", "numeric columns", TypeConverters.toListString)
     categorical = Param(Params._dummy(), "categorical", "text columns", TypeConverters.toListString)
+    low = Param(Params._dummy(), "low", "lower clipping percentile", TypeConverters.toFloat)
+    high = Param(Params._dummy(), "high", "upper clipping percentile", TypeConverters.toFloat)
 
     def __init__(self, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
                  low: float = 0.005, high: float = 0.995):
         super().__init__()
-        self.low, self.high = low, high
-        self._set(numeric=list(numeric), categorical=list(categorical))
+        self._set(numeric=list(numeric), categorical=list(categorical), low=low, high=high)
 
     def _fit(self, df: DataFrame) -> PrepareModel:
         nums, cats = self.getOrDefault(self.numeric), self.getOrDefault(self.categorical)
+        low, high = self.getOrDefault(self.low), self.getOrDefault(self.high)
         fitted: dict[str, object] = {}
         if nums:
             rows = df.count()
             fitted |= {c: [q[1] if q[1] is not None else 0.0, q[0], q[2]]
-                       for c, q in quantile_constants(df, nums, [self.low, 0.5, self.high]).items()}
+                       for c, q in quantile_constants(df, nums, [low, 0.5, high]).items()}
             # Imputation comes before clipping: a column with missing values has its
             # bounds taken again with the median filled in.
             present = df.agg(*[F.count(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))).alias(c)
@@ -74,7 +76,7 @@ class Prepare(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
             holes = [c for c in nums if present[c] < rows]
             if holes:
                 filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fitted[c][0])).alias(c) for c in holes])
-                for c, (lo, hi) in quantile_constants(filled, holes, [self.low, self.high]).items():
+                for c, (lo, hi) in quantile_constants(filled, holes, [low, high]).items():
                     fitted[c] = [fitted[c][0], lo, hi]
         if cats:
             found = {r["feature"]: r["mode"] for r in modes(df, cats).collect()}  # one row per column
@@ -162,15 +164,15 @@ def candidates(target: str = v.TARGET, weight: str | None = "weight", seed: int
         common["weightCol"] = weight
     log_u = lambda lo, hi: lambda r: float(math.exp(r.uniform(math.log(lo), math.log(hi))))
     whole = lambda lo, hi: lambda r: int(r.integers(lo, hi))
-    lr = LogisticRegression(maxIter=100, **common)
+    lr = LogisticRegression(maxIter=2000, **common)
     rf = RandomForestClassifier(seed=seed, **common)
     gbt = GBTClassifier(seed=seed, **common)
     return [
         Candidate("logistic_regression", lr, 8, {lr.regParam: log_u(1e-6, 1e-1)}, baseline=True),
         Candidate("random_forest", rf, 12, {
-            rf.numTrees: whole(50, 200), rf.maxDepth: whole(5, 15), rf.minInstancesPerNode: whole(10, 120)}),
+            rf.numTrees: whole(200, 500), rf.maxDepth: whole(6, 20), rf.minInstancesPerNode: whole(10, 120)}),
         Candidate("boosted_trees", gbt, 25, {
-            gbt.maxIter: whole(20, 100), gbt.maxDepth: whole(3, 8), gbt.stepSize: log_u(0.01, 0.25),
+            gbt.maxIter: whole(250, 700), gbt.maxDepth: whole(3, 9), gbt.stepSize: log_u(0.01, 0.25),
             gbt.subsamplingRate: lambda r: float(r.uniform(0.6, 1.0)), gbt.minInstancesPerNode: whole(1, 40)}),
     ]
 
@@ -198,7 +200,7 @@ def search(train: DataFrame, c: Candidate, target: str = v.TARGET, position: str
                         foldCol="_fold", parallelism=parallelism, seed=seed)
     fitted = cv.fit(data)
     best = int(np.argmax(fitted.avgMetrics))
-    model = c.estimator.copy(maps[best]).fit(train)
+    model = c.estimator.copy(maps[best]).fit(train) if sample else fitted.bestModel
     summary = {"candidate": c.name, "best_params": {p.name: x for p, x in maps[best].items()},
                "cv_roc_auc_mean": float(fitted.avgMetrics[best]),
                "cv_roc_auc_std": float(fitted.stdMetrics[best]), "n_folds": folds}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions.expr import first_match, fixed, half_even, percent_change, plain, values_of
+from ..session import cut_lineage
 
 
 def _value(name: str, default: float) -> Column:
@@ -122,25 +123,22 @@ def fingerprint(fields: Sequence[str] = v.IDENTITY_FIELDS, width: int = 32) -> C
 
 
 def previous_submissions(df: DataFrame, key: str, ts: str = "ts", id_col: str = "application_id",
-                         carry: Sequence[str] = ("Income", "LoanAmount"),
-                         segment: str = "month") -> DataFrame:
+                         carry: Sequence[str] = ("Income", "LoanAmount")) -> DataFrame:
     """Occurrence number and previous submission of the same ``key``.
 
     Five coarse attributes collide often, so one key may own a large part of the
-    table. The window therefore runs per (key, calendar segment); what precedes a
-    segment comes from a table with one row per (key, segment): its running count
-    and last submission. The result equals one window over the whole key. Choose a
-    finer ``segment`` ("day", "hour") when a month of the hottest key is too much.
+    table. The rows are therefore dealt by range of (key, time, id) into partitions of
+    even size, which split a hot key wherever it is too large, a busy month or rows
+    without a time included. The window runs per (key, partition); what precedes a
+    partition comes from a table with one row per key and partition: its running count
+    and last submission. The result equals one window over the whole key. The dealt
+    rows are written once, so that every reader sees the same ranges.
     ``key`` must not be NULL (a fingerprint never is).
     """
     snapshot = F.struct(F.col(ts).alias("ts"), F.col(id_col).alias("id"),
                         *[F.col(c).alias(c) for c in carry])
-    # rows without a time form their own, first segment; the plain equality below then
-    # joins on the window's own partitioning, so the rows are shuffled only once
-    start = F.lit("0001-01-01").cast("timestamp")
-    rows = df.withColumns({
-        "_segment": F.coalesce(F.date_trunc(segment, F.col(ts)).cast("timestamp"), start),
-        "_row": snapshot})
+    dealt = df.withColumn("_row", snapshot).repartitionByRange(key, F.col(ts).asc_nulls_first(), id_col)
+    rows = cut_lineage(dealt.withColumn("_segment", F.spark_partition_id()))
     inside = W.partitionBy(key, "_segment").orderBy(F.col(ts).asc_nulls_first(), id_col)
     local = rows.withColumns({"_rank": F.row_number().over(inside),
                               "_lag": F.lag("_row").over(inside)})

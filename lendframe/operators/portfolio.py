@@ -103,11 +103,21 @@ def matches(c: str | Column, pattern: str) -> Column:
     return c.rlike("(?i)" + pattern)
 
 
+def page_after(df: DataFrame, keys: Sequence[str], last: Sequence[object] | None = None, size: int = 20,
+               newest_first: bool = True) -> DataFrame:
+    """The page behind the row whose ``keys`` are ``last`` (the first page without): a task
+    keeps ``size`` rows however deep the page is. The keys must not be NULL and end in a unique one."""
+    order = [F.desc(k) if newest_first else F.asc(k) for k in keys]
+    if last is not None:
+        at, mark = F.struct(*keys), F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, last, strict=True)])
+        df = df.filter(at < mark if newest_first else at > mark)
+    return df.orderBy(*order).limit(size)
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page in a total order, each row carrying the number of all matching rows.
 
-    Offset paging keeps ``number * size`` rows per task; for deep pages filter on the
-    last row's sort key instead."""
+    Offset paging keeps ``number * size`` rows per task; deep pages go by ``page_after``."""
     total = df.agg(F.count(F.lit(1))).scalar()
     return df.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)
 

@@ -139,5 +139,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a 0/1 outcome and a probability from their length."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     y = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    p = F.least(F.col("n_chars").cast("double") / F.lit(2048.0), F.lit(1.0))
+    n = F.col("n_chars").cast("double")
+    p = n / (n + F.lit(2048.0))
     return d.join(y, "doc_id").select("doc_id", F.col("quality").alias("y"), p.alias("p"))

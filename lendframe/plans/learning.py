@@ -51,7 +51,7 @@ def train(spark, sf, candidate: str, **params) -> tuple[pipeline.RiskModel, Data
         "Default", pipeline.raw_probability().alias("p")))
     calibrator = pipeline.fit_calibrator(val)
     cut = metrics.fit_cutoffs(pipeline.calibrate(calibrator, val), "Default", "p")
-    return pipeline.RiskModel(prepared, model, cut, calibrator), _part(held, "test")
+    return pipeline.RiskModel(prepared, model, cut, calibrator, pipeline.background_mean(enc)), _part(held, "test")
 
 
 def _score(spark, sf, candidate: str, **params) -> DataFrame:
@@ -113,9 +113,8 @@ def explained_scores(spark, sf):
     """Scored rows with their top factors and sentences."""
     model, test = train(spark, sf, "logistic_regression", maxIter=20)
     names = pipeline.encoded_names(model.prepare)
-    mean = pipeline.background_mean(pipeline.encode(model.prepare, test))
     scored = fraud.screen(model.score(test)).withColumn("contribs", explain.contributions(
-        "features", model.weights(), mean, explain.source_groups(names)))
+        "features", model.weights(), model.background, explain.source_groups(names)))
     values = {c: F.col(c) for c in NUMERIC + CATEGORICAL}
     full = scored.withColumn("factors", explain.top_factors("contribs", values, 5))
     helping, hurting = explain.helping_and_hurting("contribs")
@@ -132,7 +131,7 @@ def global_importance(spark, sf):
     model, test = train(spark, sf, "random_forest", numTrees=10, maxDepth=5)
     names = pipeline.encoded_names(model.prepare)
     enc = pipeline.encode(model.prepare, test)
-    contribs = explain.contributions("features", model.weights(), pipeline.background_mean(enc), explain.source_groups(names))
+    contribs = explain.contributions("features", model.weights(), model.background, explain.source_groups(names))
     return explain.global_importance(enc.withColumn("contribs", contribs), "contribs")
 
 

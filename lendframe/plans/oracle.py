@@ -425,7 +425,7 @@ SELECT application_id, scenario, baseline_score, {level('baseline_score')} AS ba
 
 # ---- metrics --------------------------------------------------------------------------
 
-LAB = "lab AS (SELECT doc_id, quality AS y, least(n_chars / 2048e0, 1e0) AS p FROM documents JOIN labels USING (doc_id))"
+LAB = "lab AS (SELECT doc_id, quality AS y, n_chars / (n_chars + 2048e0) AS p FROM documents JOIN labels USING (doc_id))"
 CM = """SELECT {k} count(*) AS n, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp,
  count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 0 AND p < 0.5) AS tn, avg((p - y) * (p - y)) AS brier FROM {s} {g}"""
 CM_OUT = """n, tp, fp, fn, tn, round((tp + tn) / CAST(n AS DOUBLE), 6) AS accuracy,
@@ -714,7 +714,7 @@ SQL["category_modes"] = with_(APP, repaired("app"), "lv AS (" + " UNION ALL ".jo
  "SELECT feature, level AS mode FROM lv QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, level) = 1")
 SQL["class_weight"] = with_(APP, """SELECT count(*) AS n, count(*) FILTER ("Default" = 1) AS positives, round(avg("Default"), 6) AS rate,
  round(count(*) FILTER ("Default" = 0) / CAST(count(*) FILTER ("Default" = 1) AS DOUBLE), 6) AS pos_weight FROM app""")
-POS = """ps AS (SELECT application_id, "Default", (application_id * 2654435761) % 4294967296 AS u FROM app),
+POS = """ps AS (SELECT application_id, "Default", ((application_id % 4294967296) // 65536 * 2654435761 % 65536 * 65536 + application_id % 65536 * 2654435761) % 4294967296 AS u FROM app),
 rn AS (SELECT *, row_number() OVER (PARTITION BY "Default" ORDER BY u, application_id) AS r, count(*) OVER (PARTITION BY "Default") AS n FROM ps)"""
 SQL["strat_split"] = with_(APP, POS, """SELECT application_id, CASE WHEN r <= ceil(n * 0.15e0) THEN 'test' WHEN r <= ceil(n * 0.15e0) + ceil(n * 0.15e0) THEN 'val' ELSE 'train' END AS split FROM rn""")
 SQL["undersample"] = with_(APP, POS, """SELECT application_id, "Default" FROM rn WHERE r <= (SELECT min(n) FROM rn)""")
@@ -723,9 +723,8 @@ SQL["stratified_folds"] = with_(APP, POS, """SELECT "Default", CAST(floor(u * 5e
 # ---- streams: the batch equivalent of the finished stream ---------------------------------------
 
 SQL["stream_throughput"] = with_(PRED, f"""w AS (SELECT date_trunc('hour', timestamp) AS window_start, count(*) AS total_predictions, round(avg(value), 6) AS avg_latency_ms,
-  round(avg(risk_score), 6) AS mean_risk_score, {_nl}, count(*) FILTER (fraud_flag) AS fraud_flagged FROM pred GROUP BY 1)""",
- """SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, * EXCLUDE (window_start) FROM w
-WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM pred)""")
+  round(quantile_disc(value, 0.95), 6) AS p95_latency_ms, round(avg(risk_score), 6) AS mean_risk_score, {_nl}, count(*) FILTER (fraud_flag) AS fraud_flagged FROM pred GROUP BY 1)""",
+ "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, * EXCLUDE (window_start) FROM w")
 SQL["stream_duplicates"] = """
 WITH s AS (SELECT event_id, ts, value, left(sha256(concat_ws('|', CAST(user_id AS VARCHAR), lower(event_type))), 32) AS fingerprint FROM events),
 w AS (SELECT *, row_number() OVER win AS n, lag(event_id) OVER win AS pid, lag(value) OVER win AS pv FROM s WINDOW win AS (PARTITION BY fingerprint ORDER BY ts, event_id))
@@ -740,7 +739,7 @@ rb AS (SELECT 'value' AS feature, 'numeric' AS kind, CAST((SELECT count(*) FROM
 cb AS (SELECT d, 'value' AS feature, 'numeric' AS kind, CAST((SELECT count(*) FROM ei WHERE edge <= value) AS VARCHAR) AS bin FROM cur UNION ALL SELECT d, 'event_type', 'categorical', event_type FROM cur),
 re AS (SELECT feature, kind, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY feature) AS DOUBLE) AS e FROM rb GROUP BY 1, 2, 3),
 ca AS (SELECT d, feature, kind, bin, count(*) / CAST(sum(count(*)) OVER (PARTITION BY d, feature) AS DOUBLE) AS a FROM cb GROUP BY 1, 2, 3, 4),
-days AS (SELECT DISTINCT d FROM cur WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+days AS (SELECT DISTINCT d FROM cur),
 grid AS (SELECT d, feature, kind, bin, greatest(e, 1e-6) AS e FROM days, re),
 j AS (SELECT coalesce(g.d, c.d) AS d, coalesce(g.feature, c.feature) AS feature, coalesce(g.kind, c.kind) AS kind, coalesce(e, 1e-6) AS e, greatest(coalesce(a, 0e0), 1e-6) AS a
   FROM grid g FULL OUTER JOIN (SELECT * FROM ca WHERE d IN (SELECT d FROM days)) c ON g.d = c.d AND g.feature = c.feature AND g.bin = c.bin),

@@ -259,14 +259,14 @@ def resubmission(spark, sf):
 @query
 def duplicate_groups(spark, sf):
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
-    return fraud.duplicate_groups(docs, F.left(F.sha2("text", 256), F.lit(16)), "doc_id").withColumn(
+    return fraud.duplicate_groups(docs, F.sha2("text", 256), "doc_id").withColumn("key", F.left("key", F.lit(16))).withColumn(
         "members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 
 @query
 def identity_duplicates(spark, sf):
     a = b.applications(spark, sf, lines=False)
-    return fraud.duplicate_groups(a, fraud.fingerprint(width=16), "application_id").withColumn(
+    return fraud.duplicate_groups(a, fraud.fingerprint(width=64), "application_id").withColumn("key", F.left("key", F.lit(16))).withColumn(
         "members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +13,6 @@ from ..streaming import jobs
 from . import bindings as b
 from .queries import query, rounded
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def _state_store(spark: SparkSession):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return jobs.read_stream(spark, sf, b.table(spark, sf, table).schema, only=f"{table}.parquet")
 
@@ -41,22 +25,14 @@ def _predictions(events: DataFrame) -> DataFrame:
                          ).withColumn("risk_level", scoring.risk_level("risk_score"))
 
 
-def _to_table(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
-    """Run an append-mode stream over everything available into a file sink and read it."""
-    root = shared_folder(spark, purpose)
-    (df.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/ckpt")
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(df.schema).parquet(root + "/out")
-
-
 @query
 def stream_throughput(spark, sf):
     df = jobs.throughput_windows(_predictions(_stream(spark, sf, "events")), "timestamp", "value", "risk_score",
                                  "risk_level", "fraud_flag")
-    out = _to_table(spark, df, "throughput")
+    out = jobs.settle_windows(df, shared_folder(spark, "throughput"), ["window_start", "window_end"])
     ntz = lambda c: F.col(c).cast("timestamp_ntz")
-    return rounded(out.drop("p95_latency_ms").withColumns({"window_start": ntz("window_start"), "window_end": ntz("window_end")}),
-                   "avg_latency_ms", "mean_risk_score")
+    return rounded(out.withColumns({"window_start": ntz("window_start"), "window_end": ntz("window_end")}),
+                   "avg_latency_ms", "p95_latency_ms", "mean_risk_score")
 
 
 @query
@@ -64,9 +40,10 @@ def stream_duplicates(spark, sf):
     e = _stream(spark, sf, "events").select(
         F.col("event_id").alias("application_id"), "ts", F.col("value").alias("Income"),
         (F.col("value") * F.lit(10.0)).alias("LoanAmount"), "user_id", "event_type")
-    with _state_store(spark):
-        out = _to_table(spark, jobs.resubmissions(e, ["user_id", "event_type"]), "resubmissions")
-    return out.select("application_id", "fingerprint", "occurrence", "previous_id", "Income_change_pct", "LoanAmount_change_pct")
+    root = shared_folder(spark, "resubmissions")
+    jobs.resubmissions(e, root, root + "/ckpt", ["user_id", "event_type"]).awaitTermination()
+    return spark.read.parquet(root + "/seen").select(
+        "application_id", "fingerprint", "occurrence", "previous_id", "Income_change_pct", "LoanAmount_change_pct")
 
 
 @query
@@ -75,7 +52,8 @@ def stream_drift(spark, sf):
     ref = b.table(spark, sf, "events").filter(F.col("ts") < mid)
     edges = drift.fit_edges(ref, ["value"])
     current = _stream(spark, sf, "events").filter(F.col("ts") >= mid)
-    counts = _to_table(spark, jobs.drift_windows(current, edges, ["event_type"], "ts"), "drift")
+    counts = jobs.settle_windows(jobs.drift_windows(current, edges, ["event_type"], "ts"), shared_folder(spark, "drift"),
+                                 ["window_start", "feature", "kind", "bin"])
     psi = jobs.window_psi(counts, drift.histogram(ref, edges, ["event_type"]))
     return psi.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "feature", "kind", "psi", "status")
 

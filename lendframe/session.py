@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,18 +35,10 @@ def session(app: str = "lendframe", master: str | None = None, **extra: str) ->
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    A local session without that setting (tests) uses a temporary folder; a cluster
-    session without it is an error, because a machine-local folder is lost with the
-    machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a
+    folder of the warehouse, which a cluster shares as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="lendframe-")
+    return base or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "lendframe-work")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -55,10 +46,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Intermediate tables go when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The table computed once and written to the shared folder, for work that reads an
     intermediate result several times. Lost executors cost nothing, and later reads still
     prune columns."""
     path = shared_folder(df.sparkSession, "stored")
     df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

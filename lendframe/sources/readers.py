@@ -59,14 +59,16 @@ def missing_tables(spark: SparkSession, directory: str, kind: str = "csv",
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[tuple[str, T.DataType]]) -> DataFrame:
     """Header CSV with declared columns by name: the file may hold more columns, in any
-    order, and only the declared ones are parsed."""
+    order, and only the declared ones are parsed. Files of a folder must share one header;
+    one that differs fails the read, since columns go by place."""
     header = spark.read.option("header", True).csv(path).columns  # first line only
     absent = [c for c, _ in columns if c not in header]
     if absent:
         raise ValueError(f"{path}: missing columns {absent}")
     kinds = dict(columns)
     schema = T.StructType([T.StructField(c, kinds.get(c, _S)) for c in header])
-    return spark.read.schema(schema).option("header", True).csv(path).select(*[c for c, _ in columns])
+    read = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return read.select(*[c for c, _ in columns])
 
 
 def read_sources(spark: SparkSession, directory: str, kind: str = "csv") -> dict[str, DataFrame]:
@@ -155,8 +157,10 @@ def source_fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def content_hash(df: DataFrame) -> Column:
-    """Aggregate: order-free hash of all rows, independent of files and partitions."""
-    return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))
+    """Aggregate: order-free hash of all rows, independent of files and partitions. The hash passes
+    over NULL, so which columns are NULL is hashed as well."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return F.sum(F.xxhash64(*cols, *[c.isNull() for c in cols]).cast("decimal(38,0)"))
 
 
 def table_digest(df: DataFrame) -> DataFrame:

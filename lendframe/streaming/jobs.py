@@ -1,22 +1,22 @@
 """Structured Streaming jobs.
 
-State is bounded everywhere: by a watermark where rows are windowed by event time, by a
-time-to-live where they are keyed by identity.
+State is bounded everywhere: by a watermark where rows are windowed by event time, by an
+interval without use where they are keyed by identity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import vocabulary as v
 from ..functions.expr import half_even, percent_change
 from ..operators import drift, fraud, portfolio
+from ..sources.readers import _exists
 
 LATE = "10 minutes"
 
@@ -44,70 +44,88 @@ def throughput_windows(predictions: DataFrame, ts: str, latency: str, score: str
              "avg_latency_ms", "p95_latency_ms", "mean_risk_score", *[f"n_{x}" for x in v.RISK_LEVELS], "fraud_flagged")
 
 
-# ---- resubmission with keyed state -------------------------------------------------
+# ---- windows of a stream that runs to completion ------------------------------------
 
-class SeenBefore(StatefulProcessor):
-    """Per fingerprint: how often it was seen and its last submission.
+def settle_windows(windows: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
+    """Run a windowed stream over everything available and read the last state of every window.
 
-    The state is one small row per key and expires after the given time without use;
-    nothing is evicted by count, and a restart resumes from the state store.
+    Update mode: each batch writes the windows it changed to its own folder (a replay
+    overwrites it), and the newest version of a window counts. Windows that no watermark
+    has closed yet are therefore there as well.
     """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    (windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", root + "/ckpt")
+     .trigger(availableNow=True).start().awaitTermination())
+    spark, rest = windows.sparkSession, [c for c in windows.columns if c not in keys]
+    written = spark.read.schema(T.StructType([*windows.schema.fields, T.StructField("batch", T.LongType())])).parquet(root + "/out")
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_w")).select(
+        *[f"_w.{c}" if c in rest else c for c in windows.columns])
+
+
+# ---- resubmission with keyed state -------------------------------------------------
+
+def seen_before(sink: str, fields: Sequence[str], keep: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: each application with its occurrence number and previous submission.
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = "n long, id long, ts timestamp, income double, amount double"
-        self.last = handle.getValueState("last", schema, self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        """Rows count in the order they arrive (by time within one Arrow batch). Only one
-        Arrow batch is held at a time, however many rows a key has."""
-        n, last = 0, (None, None, None, None)
-        if self.last.exists():
-            n, *last = self.last.get()
-        for rows_of_key in rows:
-            new = rows_of_key.sort_values(["ts", "application_id"], kind="stable")
-            out = new[["application_id", "ts", "Income", "LoanAmount"]].reset_index(drop=True)
-            out["fingerprint"] = key[0]
-            out["occurrence"] = range(n + 1, n + 1 + len(out))
-            for name, source, carried in zip(("previous_id", "previous_ts", "previous_income", "previous_amount"),
-                                             ("application_id", "ts", "Income", "LoanAmount"), last):
-                values = [carried, *out[source].tolist()[:-1]]
-                kind = {"previous_id": "Int64", "previous_ts": "datetime64[us]"}.get(name, "float64")
-                out[name] = pd.Series(values, dtype=kind)
-            n += len(out)
-            end = out.iloc[-1]
-            number = lambda x: None if pd.isna(x) else float(x)
-            last = (int(end["application_id"]), end["ts"].to_pydatetime(), number(end["Income"]), number(end["LoanAmount"]))
-            yield out
-        self.last.update((n, *last))
-
-    def close(self) -> None:
-        pass
-
-
-SEEN_SCHEMA = ("application_id long, ts timestamp, Income double, LoanAmount double, fingerprint string, "
-               "occurrence long, previous_id long, previous_ts timestamp, previous_income double, previous_amount double")
-
-
-def resubmissions(applications: DataFrame, fields: Sequence[str] = v.IDENTITY_FIELDS,
-                  ttl_ms: int | None = None) -> DataFrame:
-    """Each application of a stream with its occurrence number and previous submission.
-
-    Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``). A hot fingerprint costs one
-    state row, not its history.
+    Inside a batch the batch operator orders a fingerprint's rows by time, whatever the
+    Arrow or file layout and however many they are. The state is a table with one row per
+    fingerprint (count, last submission); a batch reads that of the batch before and writes
+    its own, so a replay gives the same. Fingerprints not seen for ``keep`` (an interval,
+    measured against the newest time so far) are forgotten.
     """
-    keyed = event_time(applications, "ts").select(
-        F.col("application_id").cast("long").alias("application_id"), "ts", F.col("Income").cast("double").alias("Income"),
-        F.col("LoanAmount").cast("double").alias("LoanAmount"), fraud.fingerprint(fields).alias("fingerprint"))
-    out = keyed.groupBy("fingerprint").transformWithStateInPandas(
-        statefulProcessor=SeenBefore(ttl_ms), outputStructType=SEEN_SCHEMA, outputMode="append", timeMode=(
-            "processingTime" if ttl_ms else "none"))
-    return out.withColumns({
-        "Income_change_pct": percent_change("previous_income", "Income"),
-        "LoanAmount_change_pct": percent_change("previous_amount", "LoanAmount")})
+    last = ["id long", "ts timestamp", "Income double", "LoanAmount double"]
+    schema = "fingerprint string, n long, last struct<" + ",".join(x.replace(" ", ":") for x in last) + ">, newest timestamp"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        keyed = event_time(batch, "ts").select(
+            F.col("application_id").cast("long").alias("application_id"), "ts", F.col("Income").cast("double").alias("Income"),
+            F.col("LoanAmount").cast("double").alias("LoanAmount"), fraud.fingerprint(fields).alias("fingerprint"))
+        state = stored_state(spark, sink, batch_id, schema)
+        seen = fraud.previous_submissions(keyed, "fingerprint").join(
+            state.select("fingerprint", F.col("n").alias("_n"), F.col("last").alias("_last")), "fingerprint", "left")
+        first = F.col("occurrence") == 1
+        carried = lambda c, own: F.when(first, F.col(f"_last.{c}")).otherwise(F.col(own))
+        change = lambda c: F.when(first, percent_change(F.col(f"_last.{c}"), F.col(c))).otherwise(F.col(f"{c}_change_pct"))
+        seen.select(
+            "application_id", "ts", "Income", "LoanAmount", "fingerprint",
+            (F.col("occurrence") + F.coalesce("_n", F.lit(0))).alias("occurrence"), carried("id", "previous_id").alias("previous_id"),
+            carried("ts", "previous_ts").alias("previous_ts"), change("Income").alias("Income_change_pct"),
+            change("LoanAmount").alias("LoanAmount_change_pct")).write.mode("overwrite").parquet(f"{sink}/seen/batch={batch_id}")
+        row = F.struct(F.col("application_id").alias("id"), "ts", "Income", "LoanAmount")
+        new = keyed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m"), F.max_by(row, F.struct("ts", "application_id")).alias("new"), F.max("ts").alias("at"))
+        both = state.join(new, "fingerprint", "full_outer").select(
+            "fingerprint", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("new", "last").alias("last"),
+            F.greatest("newest", "at").alias("newest"))
+        now = state.select(F.col("newest").alias("t")).unionAll(keyed.select(F.col("ts").alias("t"))).agg(F.max("t")).first()[0]
+        if now is not None:
+            both = both.filter(F.col("newest").isNull() | (F.col("newest") >= F.lit(now) - F.expr(f"INTERVAL {keep}")))
+        both.write.mode("overwrite").parquet(f"{sink}/state/{batch_id}")
+
+    return run
+
+
+def stored_state(spark: SparkSession, sink: str, batch_id: int, schema: str) -> DataFrame:
+    path = f"{sink}/state/{batch_id - 1}"
+    if batch_id > 0 and _exists(spark, path):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
+def resubmissions(applications: DataFrame, sink: str, checkpoint: str, fields: Sequence[str] = v.IDENTITY_FIELDS,
+                  keep: str = "3650 days") -> StreamingQuery:
+    """Start ``seen_before`` over everything available; its rows are in ``sink``/seen."""
+    return (applications.writeStream.foreachBatch(seen_before(sink, fields, keep)).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What earlier batches wrote; partition pruning leaves the replayed batch out."""
+    if batch_id == 0 or not _exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
 
 
 # ---- submit -> score -> decide ----------------------------------------------------
@@ -122,6 +140,9 @@ def decide_batch(score: Callable[[DataFrame], DataFrame], sink: str, id_col: str
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         once = batch.dropDuplicates([id_col])
+        earlier = _earlier(batch.sparkSession, f"{sink}/decisions", batch_id)
+        if earlier is not None:  # an application sent again was decided in its first batch
+            once = once.join(earlier.select(id_col), id_col, "left_anti")
         decided = portfolio.auto_decide(fraud.screen(score(once)))
         decided = decided.persist()
         try:

@@ -14,6 +14,7 @@ def build_session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lendframe-ckpt-"))
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -21,10 +22,7 @@ def build_session() -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session()
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lendframe-ckpt-"))
-    yield s
+    yield build_session()
 
 
 @pytest.fixture(scope="session")

@@ -15,7 +15,6 @@ from lendframe.operators import fraud
 from lendframe.sources import readers, registry, stores
 from lendframe.streaming import jobs
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def write_sources(folder, extra=""):
@@ -119,24 +118,32 @@ def people(spark, lo, hi):
 
 
 def test_duplicates_survive_a_restart(spark, tmp_path):
+    """Two runs, the second from its checkpoint; more rows per key than one Arrow batch, times descending in the files."""
     src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        for lo, hi in ((0, 10), (10, 20)):
-            people(spark, lo, hi).coalesce(1).write.mode("append").parquet(src)
-            stream = jobs.resubmissions(jobs.read_stream(spark, src, people(spark, 0, 1).schema))
-            (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .trigger(availableNow=True).start().awaitTermination())
+        for lo, hi in ((0, 30), (30, 60)):
+            people(spark, lo, hi).orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(src)
+            jobs.resubmissions(jobs.read_stream(spark, src, people(spark, 0, 1).schema), out, ckpt).awaitTermination()
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set(
-            "spark.sql.streaming.stateStore.providerClass", before)
-    got = spark.read.parquet(out).select("application_id", "occurrence", "previous_id", "Income_change_pct").orderBy("application_id").collect()
-    want = fraud.previous_submissions(people(spark, 0, 20).withColumn("fingerprint", fraud.fingerprint()), "fingerprint"
-                                      ).select("application_id", "occurrence", "previous_id", "Income_change_pct").orderBy("application_id").collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    columns = ["application_id", "occurrence", "previous_id", "Income_change_pct"]
+    got = spark.read.parquet(out + "/seen").select(*columns).orderBy("application_id").collect()
+    want = fraud.previous_submissions(people(spark, 0, 60).withColumn("fingerprint", fraud.fingerprint()), "fingerprint").select(*columns).orderBy("application_id").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
+def test_forgotten_fingerprints_start_again(spark, tmp_path):
+    out = str(tmp_path)
+    run = jobs.seen_before(out, ["Age"], "1 hours")
+    late = people(spark, 0, 3).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    run(people(spark, 0, 3), 0)
+    run(late.filter("Age = 0"), 1)
+    run(late, 2)
+    got = {(r["Age"], r["occurrence"]) for r in spark.read.parquet(out + "/seen/batch=2").join(late.select("application_id", "Age"), "application_id").collect()}
+    assert got == {(0.0, 3), (1.0, 1), (2.0, 1)}
+
+
 def test_decisions_are_idempotent(spark, tmp_path):
     sink = str(tmp_path / "sink")
     rows = people(spark, 0, 6).withColumns({"applicant_id": F.col("application_id"), "CreditScore": F.lit(700.0), "MonthsEmployed": F.lit(1.0),
@@ -146,6 +153,8 @@ def test_decisions_are_idempotent(spark, tmp_path):
     for _ in range(2):
         run(rows.unionAll(rows), 0)
     assert spark.read.parquet(sink + "/decisions").count() == 6
+    run(rows, 1)  # sent again in a later batch
+    assert spark.read.parquet(sink + "/decisions").count() == 6
     assert spark.read.parquet(sink + "/audit").count() == spark.read.parquet(sink + "/notifications").count()
 
 
