@@ -752,3 +752,12 @@ WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
 d AS (SELECT a.id, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM e a JOIN e b ON a.id <> b.id)
 SELECT id, neighbour, round(distance, 6) AS distance, rank FROM (
  SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d) WHERE rank <= 5"""
+
+# ---- sources and sinks: what was written is what is read -----------------------------------------
+
+SQL["csv_scan"] = "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"
+SQL["canonical_file"] = with_(APP, """SELECT "Education", "LoanPurpose", count(*) AS n, round(sum("LoanAmount"), 6) AS amount, sum("Default") AS defaults FROM app GROUP BY 1, 2""")
+SQL["content_digest"] = "SELECT count(*) AS n_rows, true AS copy_is_equal, true AS swap_is_seen FROM orders"
+SQL["dataset_versions"] = with_(APP, """va AS (SELECT 'v1' AS version, * FROM app UNION ALL SELECT 'v2', * FROM app WHERE status <> 'rejected')""", """SELECT version, count(*) AS n_rows, round(avg("Default"), 6) AS positive_rate, 'application_id,status,Default' AS columns, (SELECT count(*) FROM app) AS rows_of_v1 FROM va GROUP BY 1""")
+SQL["prediction_log"] = with_(APP, SC, """SELECT application_id, "Education", risk_score, risk_level, application_id % 37 = 0 AS fraud_flag FROM sc WHERE date_trunc('year', ts) >= DATE '1995-01-01'""")
+SQL["outcome_log"] = with_(APP, """SELECT application_id, "Age", "EmploymentType", CAST(status = 'rejected' AS INTEGER) AS "Default" FROM app WHERE status <> 'under_review'""")

@@ -234,3 +234,78 @@ def test_model_ranks_and_calibrates(spark):
     assert r[0] == pytest.approx(r[1], abs=0.02) and r[2] <= 100
     assert pipeline.batch_summary(scored).first()["mean_risk_score"] > 0
     enc.unpersist()
+
+
+# ---- the training job ------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def applicants(spark):
+    n = F.col("id")
+    return spark.range(1200).select(
+        n.alias("row"), ((n * 7919) % 97).cast("double").alias("a"), F.when(n % 9 != 0, ((n * 31) % 13).cast("double")).alias("b"),
+        F.when(n % 3 == 0, "x").when(n % 7 != 0, "y").alias("c"), (((n * 7919) % 97 + (n * 104729) % 60) > 110).cast("int").alias("bad"))
+
+
+def test_training_stores_a_model_that_scores_the_same(spark, applicants, tmp_path):
+    from lendframe.learn import training
+    cs = [c for c in pipeline.candidates("bad") if c.name != "boosted_trees"]
+    cs[1].estimator.setNumTrees(5).setMaxDepth(3)
+    done = training.train(applicants, cs, "bad", "row", ["a", "b"], ["c"], draws=0)
+    assert {s["candidate"] for s in done.validation} == {"logistic_regression", "random_forest"}
+    assert done.champion == max(done.validation, key=lambda s: s["roc_auc"])["candidate"] and done.reference.count() <= training.REFERENCE_ROWS
+    training.save(done, str(tmp_path))
+    stored = training.load(spark, str(tmp_path))
+    columns = ["row", "probability", "risk_score", "risk_level", "confidence"]
+    want = [tuple(r) for r in done.model.score(applicants).select(*columns).orderBy("row").collect()]
+    got = stored.score(applicants, factors=2)
+    assert [tuple(r) for r in got.select(*columns).orderBy("row").collect()] == want and len(want) == 1200
+    assert all(len(r["factors"]) == 2 for r in got.select("factors").take(5))
+    same = {r["feature"]: r["psi"] for r in stored.drift(stored.reference).collect()}
+    assert set(same) == {"a", "b", "c"} and all(x < 0.02 for x in same.values())
+    moved = {r["feature"]: r["psi"] for r in stored.drift(applicants.withColumn("a", F.col("a") + 60)).collect()}
+    assert moved["a"] > 1
+    both = training.compare_on(done.test, {"v1": stored, "v2": stored}, "bad").collect()
+    assert len(both) == 2 and both[0]["roc_auc"] == both[1]["roc_auc"] > 0.6
+
+
+@pytest.mark.parametrize("strategy", ["class_weight", "none", "undersample", "smote", "smote_tomek"])
+def test_imbalance_strategies_feed_training(spark, applicants, strategy):
+    from lendframe.learn import training
+    done = training.train(applicants, pipeline.candidates("bad")[:1], "bad", "row", ["a", "b"], ["c"], strategy=strategy, draws=0)
+    assert done.validation[0]["roc_auc"] > 0.6
+
+
+def test_unknown_strategy_and_missing_outcome(spark, applicants):
+    from lendframe.learn import training
+    with pytest.raises(ValueError, match="unknown imbalance strategy"):
+        training.balanced(applicants, "oversample", "bad", "row")
+    with pytest.raises(ValueError, match="no outcome column"):
+        training.train(applicants.drop("bad"), [], "bad", "row")
+
+
+def test_deep_pages_go_on_behind_the_last_row(spark):
+    from lendframe.operators import portfolio
+    df = spark.range(95).select((F.col("id") % 10).alias("t"), F.col("id"))
+    seen, last = [], None
+    while rows := portfolio.page_after(df, ["t", "id"], last, 20).collect():
+        seen += [(r["t"], r["id"]) for r in rows]
+        last = seen[-1]
+    assert seen == sorted(((i % 10, i) for i in range(95)), reverse=True)
+
+
+def test_digest_sees_swapped_nulls_and_large_ids_have_positions(spark):
+    from lendframe.functions.ordered import hash_position
+    one, two = spark.createDataFrame([("x", None)], "a string, b string"), spark.createDataFrame([(None, "x")], "a string, b string")
+    assert readers.table_digest(one).first() != readers.table_digest(two).first()
+    ids = [5, 4_000_000_000, 2**62 + 12345, -7]
+    got = {r["i"]: r["p"] for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", hash_position("i").alias("p")).collect()}
+    assert got == {i: i * 2654435761 % 2**32 for i in ids}
+
+
+def test_csv_files_of_a_folder_share_their_header(spark, tmp_path):
+    from pyspark.sql import types as T
+    (tmp_path / "t.csv").mkdir()
+    (tmp_path / "t.csv" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "t.csv" / "b.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        readers.read_csv(spark, str(tmp_path / "t.csv"), [("x", T.LongType()), ("y", T.LongType())]).collect()
