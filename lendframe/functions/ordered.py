@@ -16,6 +16,16 @@ from pyspark.sql import functions as F
 CELLS = 1 << 20  # cells of the [0, 1] axis; also the bound on rows of a per-key window
 
 
+def axis_cell(p: Column, cells: int = CELLS) -> Column:
+    """Cell of a probability, growing with it: equal widths in the middle, equal ratios in the
+    outer thousandths, where scores of rare events crowd. Their number is bounded by a
+    few times ``cells``; values outside [0, 1] fall into the outermost."""
+    edge, per = 2.0 ** -10, cells / 1024.0
+    tail = lambda x: F.lit(per) * (F.lit(1.0) + F.log2(F.greatest(x, F.lit(2.0 ** -1000)) / F.lit(edge)))
+    rest = F.lit(1.0) - p
+    return F.floor(F.when(p < edge, tail(p)).when(rest < edge, F.lit(float(cells)) - tail(rest)).otherwise(p * F.lit(float(cells))))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], p: str, measures: Sequence[str],
                    cells: int = CELLS) -> DataFrame:
     """One row per (keys, distinct p) with sums of ``measures`` there and from the top.
@@ -23,12 +33,12 @@ def running_totals(df: DataFrame, keys: Sequence[str], p: str, measures: Sequenc
     Adds ``cum_<m>`` (sum over all rows with probability >= p) to each measure, and
     ``place``, the number of distinct probabilities >= p.
     Equal probabilities are first combined (map-side), so ties cost nothing. The axis
-    is then cut into equal cells: one window runs inside each cell, another over the
-    at most ``cells`` cell totals of a key, and the two are added. No window ever
-    holds a whole table, whatever the distribution over keys is.
+    is then cut into cells: one window runs inside each cell, another over the cell
+    totals of a key, and the two are added. No window ever holds a whole table, whatever
+    the distribution over keys is.
     """
     keys = list(keys)
-    cell = F.floor(F.least(F.col(p), F.lit(1.0)) * F.lit(float(cells))).alias("_cell")
+    cell = axis_cell(F.col(p), cells).alias("_cell")
     counts = (df.groupBy(*keys, cell, F.col(p)).agg(*[F.sum(m).alias(m) for m in measures])
               .withColumn("_one", F.lit(1).cast("long")))
     asked, measures = list(measures), [*measures, "_one"]

@@ -127,3 +127,14 @@ def test_hash_order_cuts_pick_the_kth_row(spark):
     for y, g in pdf.groupby("y"):
         assert tuple(cuts[y]["a"]) == tuple(g.iloc[16][["u", "id"]])
         assert tuple(cuts[y]["b"]) == tuple(g.iloc[299][["u", "id"]])
+
+
+def test_running_totals_of_crowded_scores(spark):
+    """Scores that crowd at both ends: cells follow the scores, and the totals are those of one ordered pass."""
+    from lendframe.functions.ordered import axis_cell, running_totals
+    ps = [2.0 ** -k for k in range(1, 400, 3)] + [1 - 2.0 ** -k for k in range(2, 50, 3)] + [0.0, 1.0, 0.5, 0.3, 1e-9, 1e-9, 3e-9]
+    df = spark.createDataFrame([(p, 1) for p in ps], "p double, m int")
+    cells = sorted((r["p"], r["c"]) for r in df.select("p", axis_cell(F.col("p")).alias("c")).distinct().collect())
+    assert [c for _, c in cells] == sorted(c for _, c in cells) and len({c for _, c in cells}) > 0.9 * len(cells)
+    got = {r["p"]: (r["m"], r["cum_m"]) for r in running_totals(df, [], "p", ["m"]).collect()}
+    assert got == {p: (ps.count(p), sum(q >= p for q in ps)) for p in ps}
