@@ -10,10 +10,11 @@ import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -101,6 +102,20 @@ class PrepareModel(Model, _Constants, DefaultParamsReadable, DefaultParamsWritab
         return [c for c, k in self.constants().items() if isinstance(k, list) and k[1] == k[2]]
 
 
+class PopulationScale(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Turns values in sample deviations into values in population deviations: a factor sqrt(n / (n - 1))."""
+
+    def __init__(self, inputCol: str = "_scaled", outputCol: str = "_standard"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _fit(self, df: DataFrame) -> ElementwiseProduct:
+        n, first = df.count(), df.select(self.getInputCol()).first()
+        width = len(first[0]) if first else 0
+        factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+        return ElementwiseProduct(scalingVec=Vectors.dense([factor] * width), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
 def preprocessor(numeric: Sequence[str] = tuple(v.ALL_NUMERIC),
                  categorical: Sequence[str] = tuple(v.ALL_CATEGORICAL), output: str = "features") -> Pipeline:
     """Impute -> clip -> standardise numbers; impute -> one-hot levels; one vector.
@@ -114,22 +129,22 @@ def preprocessor(numeric: Sequence[str] = tuple(v.ALL_NUMERIC),
     return Pipeline(stages=[
         Prepare(numeric, categorical),
         VectorAssembler(inputCols=list(numeric), outputCol="_num"),
-        StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True),
+        StandardScaler(inputCol="_num", outputCol="_scaled", withMean=True, withStd=True), PopulationScale(),
         index, hot,
-        VectorAssembler(inputCols=["_scaled", *[f"_h_{c}" for c in categorical]], outputCol=output)])
+        VectorAssembler(inputCols=["_standard", *[f"_h_{c}" for c in categorical]], outputCol=output)])
 
 
 def encoded_names(fitted: PipelineModel) -> list[str]:
     """Names of the encoded columns: numeric names, then ``<column>_<level>``."""
     numeric = fitted.stages[1].getInputCols()
-    indexer = fitted.stages[3]
+    indexer = fitted.stages[4]
     return list(numeric) + [f"{c}_{level}" for c, levels in zip(indexer.getInputCols(), indexer.labelsArray)
                             for level in levels]
 
 
 def encode(fitted: PipelineModel, df: DataFrame, output: str = "features") -> DataFrame:
     out = fitted.transform(df)
-    return out.drop(*[c for c in out.columns if c.startswith(("_i_", "_h_")) or c in ("_num", "_scaled")])
+    return out.drop(*[c for c in out.columns if c.startswith(("_i_", "_h_")) or c in ("_num", "_scaled", "_standard")])
 
 
 def class_weights(df: DataFrame, target: str = v.TARGET, name: str = "weight") -> DataFrame:

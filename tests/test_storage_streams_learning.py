@@ -309,3 +309,9 @@ def test_csv_files_of_a_folder_share_their_header(spark, tmp_path):
     (tmp_path / "t.csv" / "b.csv").write_text("y,x\n3,4\n")
     with pytest.raises(Exception, match="header|CSV"):
         readers.read_csv(spark, str(tmp_path / "t.csv"), [("x", T.LongType()), ("y", T.LongType())]).collect()
+
+
+def test_numbers_are_scaled_by_the_population_deviation(spark, applicants):
+    fitted = pipeline.preprocessor(["a"], ["c"]).fit(applicants)
+    x = np.array([r["features"].toArray()[0] for r in pipeline.encode(fitted, applicants).select("features").collect()])
+    assert abs(x.mean()) < 1e-9 and abs((x ** 2).mean() - 1) < 1e-9
