@@ -42,21 +42,19 @@ def shared_base(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared one."""
-    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex[:12]}")
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Intermediate tables go when the application ends."""
+    """A fresh folder below the shared one, removed with its content when the application ends."""
+    path = os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex[:12]}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The table computed once and written to the shared folder, for work that reads an
     intermediate result several times. Lost executors cost nothing, and later reads still
     prune columns."""
-    path = shared_folder(df.sparkSession, "stored")
+    path = shared_folder(df.sparkSession, "stored") + "/rows"
     df.write.parquet(path)
-    remove_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
