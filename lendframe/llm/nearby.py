@@ -176,7 +176,7 @@ def _bits(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _link_buckets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Within each bucket, links that connect what the sketches connect; at most one per member."""
+    """Within each bucket, links that connect what the sketches connect: to the smallest member of each part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["key"]):
             keys, ids, sketch = table.column("key").to_numpy(), table.column("cid").to_numpy(), _bits(table.column("sketch"))
@@ -190,10 +190,13 @@ def _link_buckets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             for i, j in spans:
                 if j - i > 2:
                     union = Union(j - i)
-                    pairs = [(i + p, i + p + 1 + q) for p in range(j - i - 1)
-                             for q in np.flatnonzero(apart(sketch, i + p, slice(i + p + 1, j)) <= most).tolist() if union.join(p, p + 1 + q)]
-                    left.append(ids[[p for p, _ in pairs]])
-                    right.append(ids[[q for _, q in pairs]])
+                    for p in range(j - i - 1):
+                        for q in np.flatnonzero(apart(sketch, i + p, slice(i + p + 1, j)) <= most).tolist():
+                            union.join(p, p + 1 + q)
+                    root = np.array([union.find(p) for p in range(j - i)])
+                    linked = np.flatnonzero(root != np.arange(j - i))
+                    left.append(ids[i + linked])
+                    right.append(ids[i + root[linked]])
             a, b = (np.concatenate(x) if x else ids[:0] for x in (left, right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -201,10 +204,11 @@ def _link_buckets(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _verify(width: int, threshold: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of each group that hold on the full shingle sets, as far as they connect something.
+    """What is connected inside each group by links that hold on the full shingle sets.
 
     ``part`` is 0 for rows compared with all later ones, 1 for rows compared with those of part 0
-    only; rows of equal ``comp`` are connected already.
+    only; rows of equal ``comp`` are connected already. Gives for each row the smallest id it
+    reaches in the group (``root``) and the smallest pivot (``label``, null if none).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["cluster", "piece"]):
@@ -213,10 +217,10 @@ def _verify(width: int, threshold: int, most: int) -> Callable[[Iterator[pa.Reco
                 for _, data, starts in text_slices(chunk):
                     every, sizes = shingle_sets(data, starts, width)
                     sets += np.split(every, np.cumsum(sizes)[:-1])
-            ids, part, comp = (table.column(c).to_numpy() for c in ("cid", "part", "comp"))
+            ids, part, comp, pivot, piece, cluster = (table.column(c).to_numpy() for c in ("cid", "part", "comp", "pivot", "piece", "cluster"))
             sketch, size = _bits(table.column("sketch")), np.array([len(s) for s in sets])
-            a, b = [], []
-            for i, j in bounds([table.column("cluster").to_numpy(), table.column("piece").to_numpy()]):
+            roots, labels = np.empty(len(ids), dtype=np.int64), [None] * len(ids)
+            for i, j in bounds([cluster, piece]):
                 union, seen = Union(j - i), {}
                 for p in range(i, j):
                     union.join(seen.setdefault(comp[p], p - i), p - i)
@@ -232,18 +236,24 @@ def _verify(width: int, threshold: int, most: int) -> Callable[[Iterator[pa.Reco
                         shared = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
                         if 100 * shared >= threshold * (size[p] + size[q] - shared):
                             union.join(p - i, q - i)
-                            a.append(ids[p])
-                            b.append(ids[q])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                top, least, mark = [union.find(p) for p in range(j - i)], {}, {}
+                for p in range(j - i):
+                    least[top[p]] = min(least.get(top[p], ids[i + p]), ids[i + p])
+                    if pivot[i + p]:
+                        mark[top[p]] = min(mark.get(top[p], ids[i + p]), ids[i + p])
+                for p in range(j - i):
+                    roots[i + p], labels[i + p] = least[top[p]], mark.get(top[p])
+            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(ids), pa.array(roots), pa.array(labels, pa.int64()), pa.array(pivot)],
+                                             names=["cluster", "cid", "root", "label", "pivot"])
 
     return run
 
 
 def _pieces(rows: DataFrame, width: int, threshold: int, most: int) -> DataFrame:
-    """Verified links of ``rows`` (cluster, piece, part, cid, comp, sketch, text), a task reading one group at a time."""
+    """``cluster, cid, root, label, pivot`` of ``rows``, a task reading one group (cluster, piece) at a time."""
     order = ["cluster", "piece", "part", "cid"]
-    return (rows.select("cluster", "piece", "part", "cid", "comp", "sketch", "text").repartition("cluster", "piece")
-            .sortWithinPartitions(*order).mapInArrow(_verify(width, threshold, most), "a long, b long"))
+    return (rows.select("cluster", "piece", "part", "cid", "comp", "pivot", "sketch", "text").repartition("cluster", "piece")
+            .sortWithinPartitions(*order).mapInArrow(_verify(width, threshold, most), "cluster long, cid long, root long, label long, pivot boolean"))
 
 
 def candidate_links(classes: DataFrame, most: int) -> DataFrame:
@@ -254,52 +264,54 @@ def candidate_links(classes: DataFrame, most: int) -> DataFrame:
     """
     members = classes.select(F.explode("bands").alias("key"), "cid")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("least")).filter("size > 1")
-    met = members.join(shared, "key")
+    met = cut_lineage(members.join(shared, "key"))
     hot = met.filter((F.col("size") > HOT_BUCKET) & (F.col("cid") != F.col("least"))).select(F.col("cid").alias("a"), F.col("least").alias("b"))
     cold = met.filter(F.col("size") <= HOT_BUCKET).select("key", "cid").join(classes.select("cid", "sketch"), "cid")
     linked = cold.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_link_buckets(most), "a long, b long")
     return linked.unionAll(hot)
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, threshold: int, most: int) -> DataFrame:
-    """Links that hold on full sets and connect whatever such links connect inside each cluster.
+def verified_components(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, threshold: int, most: int) -> DataFrame:
+    """``node, component`` by links that hold on full sets, for the classes of all clusters.
 
-    Small clusters are one group each. A large one goes in two steps. First its members, in
-    pieces of bounded size, are compared within the piece and with the cluster's pivots. Then
-    all that is not connected to the cluster's largest part is compared with every member, in
-    pieces again. Pairs within that part are connected already, all others have met.
+    A small cluster is one group of one task. A large one goes in two steps. First its members, in
+    pieces of bounded size, are compared within the piece and with the cluster's pivots; the pivot
+    that most members reach stands for the main part. Then everything that does not reach it is
+    compared with every member, in pieces again. Pairs within the main part are connected already,
+    all other pairs have met.
     """
-    known = classes.join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
+    known = classes.select("cid", "sketch", "bytes").join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
     size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes"))
     pieces = F.ceil(F.greatest(F.col("docs") / CLUSTER_DOCS, F.col("bytes") / CLUSTER_BYTES)).cast("long")
     wanted = known.select("cid", "cluster", "sketch").join(size.select("cluster", pieces.alias("pieces")), "cluster")
     texts = cut_lineage(docs.filter("doc IS NOT NULL").join(wanted, docs["doc"] == wanted["cid"]).select(
-        "cid", "cluster", "sketch", "pieces", "text", F.col("cid").alias("comp")))
-    small = texts.filter("pieces <= 1").withColumn("piece", F.lit(0).cast("long")).withColumn("part", F.lit(0))
-    links = _pieces(small, width, threshold, most)
+        "cid", "cluster", "sketch", "pieces", "text", F.col("cid").alias("comp"), F.lit(False).alias("pivot"), F.lit(0).alias("part")))
+    whole = texts.filter("pieces <= 1").withColumn("piece", F.lit(0).cast("long"))
+    small = _pieces(whole, width, threshold, most).select(F.col("cid").alias("node"), F.col("root").alias("component")).distinct()
     large = texts.filter("pieces > 1").withColumn("piece", F.pmod(F.xxhash64("cid"), F.col("pieces")))
     if large.isEmpty():
-        return links
+        return small
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
-    chosen = (large.select("cluster", "cid").distinct().withColumn("_nr", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "cid"), "cid")))
-              .filter(F.col("_nr") <= PIVOTS).select("cluster", "cid"))
-    pivots = large.join(chosen, ["cluster", "cid"], "left_semi").withColumn("piece", spread)
-    first = cut_lineage(_pieces(large.withColumn("part", F.lit(0)).unionByName(pivots.withColumn("part", F.lit(0))), width, threshold, most))
-    comp = components(first).withColumnRenamed("node", "cid").withColumnRenamed("component", "comp")
-    settled = cut_lineage(large.drop("comp").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
-    parts = settled.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    out = settled.join(main, "cluster").filter("comp <> main").drop("main")
-    counts = out.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_DOCS).cast("long").alias("turns"))
-    turned = F.col("turns") * F.col("pieces")
-    asking = (out.join(counts, "cluster").withColumn("part", F.lit(0))
-              .withColumn("piece", F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("turns")))
-              .withColumn("_p", spread).withColumn("piece", F.col("piece") * F.col("pieces") + F.col("_p")))
-    asked = (settled.join(counts, "cluster").withColumn("part", F.lit(1)).filter(turned > 0)
-             .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(1), "cid"), "cid"))
+    chosen = large.select("cluster", "cid").withColumn("_nr", nth).filter(F.col("_nr") <= PIVOTS).select("cluster", "cid").distinct()
+    pivots = large.join(chosen, ["cluster", "cid"], "left_semi").withColumn("piece", spread).withColumn("pivot", F.lit(True))
+    first = cut_lineage(_pieces(large.unionByName(pivots), width, threshold, most))
+    links = first.select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    reached = first.filter("NOT pivot").select("cluster", "cid", F.coalesce("label", "cid").alias("comp")).distinct()
+    main = reached.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    turns = F.ceil((F.col("all") - F.col("most")) / CLUSTER_DOCS).cast("long")
+    settled = cut_lineage(large.drop("comp", "pivot", "part").join(
+        reached.join(main, "cluster").select("cluster", "cid", "comp", (F.col("comp") != F.col("main")).alias("pivot"), turns.alias("turns")), ["cluster", "cid"]).filter("turns > 0"))
+    # Here ``pivot`` marks the outsiders; only they give links, the rest is linked already.
+    asking = (settled.filter("pivot").withColumn("part", F.lit(0)).withColumn("_t", F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("turns")))
+              .withColumn("_p", spread).withColumn("piece", F.col("_t") * F.col("pieces") + F.col("_p")))
+    asked = (settled.withColumn("part", F.lit(1)).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
              .withColumn("piece", F.col("_t") * F.col("pieces") + F.col("piece")))
-    second = _pieces(asking.select(*settled.columns, "part").unionByName(asked.select(*settled.columns, "part")), width, threshold, most)
-    return links.unionAll(first).unionAll(second)
+    columns = [*settled.columns, "part"]
+    second = _pieces(asking.select(*columns).unionByName(asked.select(*columns)), width, threshold, most)
+    more = second.filter("pivot").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    return small.unionAll(components(links.unionAll(more)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
@@ -327,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.struct("doc", "place")).alias("first"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")).select(
         *one, F.col("first.doc").alias("cid"), F.col("first.place").alias("place"), "sketch", "bands", (F.col("n") * 8).alias("bytes")))
     clusters = components(candidate_links(classes, most))
-    found = components(verified_links(given, classes, clusters, width, threshold, most))
+    found = verified_components(given, classes, clusters, width, threshold, most)
     named = classes.join(found, classes["cid"] == found["node"], "left").select(
         *[F.col(c).alias(f"_{c}") for c in one], F.col("place").alias("_place"), F.coalesce("component", "cid").alias("_component"))
     joined = rows.select("doc", "place", *one).join(named, (F.col("fa") == F.col("_fa")) & (F.col("fb") == F.col("_fb")) & (F.col("n") == F.col("_n")) & F.col("doc").isNotNull(), "left")
