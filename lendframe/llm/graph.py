@@ -12,12 +12,12 @@ MOST_ROUNDS = 60
 
 def _star_large(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
 
 
 def _star_small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut_lineage(links.groupBy("a").agg(F.min("b").alias("m")))
     met = links.join(least, "a")
     return met.select("a", F.col("m").alias("b")).unionAll(met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -34,9 +34,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node in turn hands its larger neighbours, then its smaller ones, to the least of them
     (alternating stars), until each component is one star. Links are never gathered by node: a
-    minimum per node is aggregated map-side and joined back, so a node with very many links is
-    a skewed join, which AQE splits. Each round is written to the shared folder. Links to itself
-    and repeated links change nothing; without links there are no rows.
+    minimum per node is aggregated map-side, written, and joined back. Being a table of its own it
+    is broadcast where its size allows; else a node with very many links is a skewed join, which
+    AQE can split. Each round is written to the shared folder. Links to itself and repeated links
+    change nothing; without links there are no rows.
     """
     now = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(MOST_ROUNDS):

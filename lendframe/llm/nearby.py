@@ -263,7 +263,8 @@ def candidate_links(classes: DataFrame, most: int) -> DataFrame:
     too many only makes a cluster larger, and clusters are verified anyway.
     """
     members = classes.select(F.explode("bands").alias("key"), "cid")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("least")).filter("size > 1")
+    # Written, so that the join below is one of two shuffled tables, in which a hot key can be split.
+    shared = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("least")).filter("size > 1"))
     met = cut_lineage(members.join(shared, "key"))
     hot = met.filter((F.col("size") > HOT_BUCKET) & (F.col("cid") != F.col("least"))).select(F.col("cid").alias("a"), F.col("least").alias("b"))
     cold = met.filter(F.col("size") <= HOT_BUCKET).select("key", "cid").join(classes.select("cid", "sketch"), "cid")
@@ -281,7 +282,7 @@ def verified_components(docs: DataFrame, classes: DataFrame, clusters: DataFrame
     all other pairs have met.
     """
     known = classes.select("cid", "sketch", "bytes").join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
-    size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes"))
+    size = cut_lineage(known.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("bytes").alias("bytes")))
     pieces = F.ceil(F.greatest(F.col("docs") / CLUSTER_DOCS, F.col("bytes") / CLUSTER_BYTES)).cast("long")
     wanted = known.select("cid", "cluster", "sketch").join(size.select("cluster", pieces.alias("pieces")), "cluster")
     texts = cut_lineage(docs.filter("doc IS NOT NULL").join(wanted, docs["doc"] == wanted["cid"]).select(
@@ -298,8 +299,8 @@ def verified_components(docs: DataFrame, classes: DataFrame, clusters: DataFrame
     first = cut_lineage(_pieces(large.unionByName(pivots), width, threshold, most))
     links = first.select(F.col("cid").alias("a"), F.col("root").alias("b"))
     reached = first.filter("NOT pivot").select("cluster", "cid", F.coalesce("label", "cid").alias("comp")).distinct()
-    main = reached.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = cut_lineage(reached.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")))
     turns = F.ceil((F.col("all") - F.col("most")) / CLUSTER_DOCS).cast("long")
     settled = cut_lineage(large.drop("comp", "pivot", "part").join(
         reached.join(main, "cluster").select("cluster", "cid", "comp", (F.col("comp") != F.col("main")).alias("pivot"), turns.alias("turns")), ["cluster", "cid"]).filter("turns > 0"))
