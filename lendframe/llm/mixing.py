@@ -122,15 +122,17 @@ def planned_mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     own = [c for c in docs.columns if c not in added]
     rows = docs.select(pack(own).alias("_row"), size.alias("size"), F.col(source_col).cast("string").alias("_s"),
                        F.coalesce(F.concat(F.lit("k"), F.col(id_col).cast("string")), F.lit("-")).alias("_key"))
-    sums = rows.groupBy(F.col("_s").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    # The plan needs sizes only; they are counted once, and the documents are read again where it is applied.
+    light = cut_lineage(rows.select("size", "_s", "_key"))
+    sums = light.groupBy(F.col("_s").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     blocks = F.least(F.lit(MOST_BLOCKS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1), F.col("_n") / BLOCK_DOCS)))))
     sources = cut_lineage(source_targets(sums, weights, share, most).withColumn("_blocks", blocks.cast("long"))
                           .withColumn("_tag", F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))))
     sources = sources.withColumnRenamed("source", "_source")
-    placed = rows.join(sources, F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
-        "_block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "_key"), F.col("_blocks")))
+    in_block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "_key"), F.col("_blocks"))
+    placed = lambda df: df.join(sources, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_block", in_block)
     one = ["_tag", "_block"]
-    words = placed.groupBy("_source", *one, "source_size", "target").agg(F.sum("size").alias("_words"))
+    words = placed(light).groupBy("_source", *one, "source_size", "target").agg(F.sum("size").alias("_words"))
     order = Window.partitionBy("_tag").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), *one), "_block")
     ranked = (words.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_sum", F.sum("_words").over(order))
               .withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("_tag"))))
@@ -140,7 +142,7 @@ def planned_mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
     ranked = cut_lineage(ranked.withColumn("_full", (F.col("_sum") <= F.col("_rest")) & (F.col("_rest") > 0)).withColumn(
         "_gap", F.when(~F.col("_full") & (F.col("_sum") - F.col("_words") < F.col("_rest")), F.col("_rest") - F.col("_sum") + F.col("_words"))))
     # The block in which a source's target ends: its ids in hash order, taken while they fit.
-    edge = (placed.join(ranked.filter("_gap IS NOT NULL").select(*one, "_gap"), one)
+    edge = (placed(light).join(ranked.filter("_gap IS NOT NULL").select(*one, "_gap"), one)
             .groupBy(*one, "_gap", "_key").agg(F.sum("size").alias("size"))
             .groupBy(*one, "_gap").agg(F.sort_array(F.collect_list(F.struct(
                 F.xxhash64(F.lit(seed), F.lit("edge"), "_key").alias("h"), F.col("_key").alias("key"), F.col("size").cast("double").alias("size")))).alias("_ids")))
@@ -162,7 +164,7 @@ def planned_mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_co
                          lambda e: e * F.col("_of") + F.col("_rank"))
     drawn = drawn.select(*one, "_rounds", "_of", "_part", F.transform(number, lambda d: F.struct(
         F.size(F.filter("_upto", lambda x: x <= d)).alias("shard"), d.alias("draw"))).alias("_draws"))
-    joined = placed.join(drawn, one, "left").withColumn("_draws", F.filter("_draws", lambda d: F.col("_part").isNull() | (
+    joined = placed(rows).join(drawn, one, "left").withColumn("_draws", F.filter("_draws", lambda d: F.col("_part").isNull() | (
         d["draw"] < F.col("_rounds") * F.col("_of")) | F.array_contains("_part", F.col("_key"))))
     place = F.transform("_draws", lambda d: F.struct(d["shard"].alias("shard"), F.xxhash64(F.lit(seed), F.lit("place"), d["draw"], F.col("_key")).alias("position")))
     return joined.select(*unpack("_row", own), "size", "source_size", "target", place.alias("draws"))
