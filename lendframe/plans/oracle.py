@@ -761,3 +761,7 @@ SQL["content_digest"] = "SELECT count(*) AS n_rows, true AS copy_is_equal, true
 SQL["dataset_versions"] = with_(APP, """va AS (SELECT 'v1' AS version, * FROM app UNION ALL SELECT 'v2', * FROM app WHERE status <> 'rejected')""", """SELECT version, count(*) AS n_rows, round(avg("Default"), 6) AS positive_rate, 'application_id,status,Default' AS columns, (SELECT count(*) FROM app) AS rows_of_v1 FROM va GROUP BY 1""")
 SQL["prediction_log"] = with_(APP, SC, """SELECT application_id, "Education", risk_score, risk_level, application_id % 37 = 0 AS fraud_flag FROM sc WHERE date_trunc('year', ts) >= DATE '1995-01-01'""")
 SQL["outcome_log"] = with_(APP, """SELECT application_id, "Age", "EmploymentType", CAST(status = 'rejected' AS INTEGER) AS "Default" FROM app WHERE status <> 'under_review'""")
+SQL["performance_history"] = with_(LAB, "lp AS (SELECT *, 'p' || (doc_id % 4) AS period FROM lab)", rank_cte("lp", "period"),
+ f"cm AS ({CM.format(k='period,', s='lp', g='GROUP BY period')})",
+ "SELECT period, round((tp + tn) / CAST(n AS DOUBLE), 6) AS accuracy, round(roc_auc, 6) AS roc_auc,"
+ " round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0e0), 6) AS recall, n AS n_observations FROM cm JOIN rk USING (period)")
