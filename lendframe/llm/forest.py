@@ -107,7 +107,8 @@ def leaves(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> Da
     opened = classes.select("dim", roots.alias("tree"), "cid").withColumn("node", F.col("tree").cast("long"))
     done: DataFrame | None = None
     for turn in range(MOST_ROUNDS + 1):
-        sized = opened.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members"), *([F.max("dense").alias("dense")] if turn else [F.lit(False).alias("dense")]))
+        dense = F.max("dense") if turn else F.lit(False)
+        sized = cut_lineage(opened.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members"), dense.alias("dense")))
         rows = cut_lineage(opened.select(*NODE, "cid").join(sized, NODE))
         last = F.lit(turn == MOST_ROUNDS) | (F.col("members") <= LEAF) | F.col("dense")
         closed = rows.filter(last).select(*NODE, "cid", "members")
@@ -123,8 +124,8 @@ def leaves(classes: DataFrame, cosine: float = COSINE, trees: int = TREES) -> Da
         dealt = rows.select(*NODE, "cid", "vec", F.pmod(F.xxhash64(F.lit(3), "cid"), pieces).alias("piece"))
         sent = fitted.join(rows.select(*NODE, pieces.alias("pieces")).distinct(), NODE).select(
             *NODE, "splits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-        opened = (dealt.groupBy(*NODE, "piece").cogroup(sent.groupBy(*NODE, "piece"))
-                  .applyInPandas(_route(cosine), "dim int, tree int, node long, cid long, dense boolean"))
+        opened = cut_lineage(dealt.groupBy(*NODE, "piece").cogroup(sent.groupBy(*NODE, "piece"))
+                             .applyInPandas(_route(cosine), "dim int, tree int, node long, cid long, dense boolean"))
     return done
 
 

@@ -327,8 +327,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows out: ``doc_id, n_shingles, component_id, kept``, one per row in. ``component_id`` is the
     smallest id reached, ``kept`` marks the one row of a group that stays. Documents without words
-    stand alone. Rows without an id link with nothing and stay; rows that share an id are judged
-    each by its own text; of repeated rows one is kept. An empty table gives no rows. Other columns
+    stand alone. Rows without an id link with nothing and stay; rows that share an id are judged by their
+    own texts, but links of any of them may unite them; of repeated rows one is kept. An empty table gives no rows. Other columns
     are not read.
     """
     most = farthest(threshold)
