@@ -304,14 +304,14 @@ def verified_components(docs: DataFrame, classes: DataFrame, clusters: DataFrame
     turns = F.ceil((F.col("all") - F.col("most")) / CLUSTER_DOCS).cast("long")
     settled = cut_lineage(large.drop("comp", "pivot", "part").join(
         reached.join(main, "cluster").select("cluster", "cid", "comp", (F.col("comp") != F.col("main")).alias("pivot"), turns.alias("turns")), ["cluster", "cid"]).filter("turns > 0"))
-    # Here ``pivot`` marks the outsiders; only they give links, the rest is linked already.
+    # Here ``pivot`` marks the outsiders. Any row may carry their links: the smallest id of a union can be the outsider's.
     asking = (settled.filter("pivot").withColumn("part", F.lit(0)).withColumn("_t", F.pmod(F.xxhash64(F.lit(2), "cid"), F.col("turns")))
               .withColumn("_p", spread).withColumn("piece", F.col("_t") * F.col("pieces") + F.col("_p")))
     asked = (settled.withColumn("part", F.lit(1)).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
              .withColumn("piece", F.col("_t") * F.col("pieces") + F.col("piece")))
     columns = [*settled.columns, "part"]
     second = _pieces(asking.select(*columns).unionByName(asked.select(*columns)), width, threshold, most)
-    more = second.filter("pivot").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+    more = second.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct()
     return small.unionAll(components(links.unionAll(more)))
 
 

@@ -86,6 +86,30 @@ def test_large_clusters_lose_no_link(spark, table, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 3
 
 
+@pytest.mark.parametrize("order", ["below", "shuffled"])
+def test_large_clusters_lose_no_link_of_small_ids(table, monkeypatch, order):
+    """As above, with the chain's ids below the crowd's or all ids dealt anew: outsiders are the smallest of what they reach."""
+    monkeypatch.setattr(nearby, "CLUSTER_DOCS", 12)
+    monkeypatch.setattr(nearby, "HOT_BUCKET", 40)
+    monkeypatch.setattr(nearby, "PIVOTS", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    crowd = [edited(rng, base, rng.choice((0.005, 0.02, 0.03))) for _ in range(250)]
+    chain, drift = list(base), []
+    for i in range(80):
+        for _ in range(3):
+            chain[rng.randrange(300)] = f"c{i}{rng.randint(0, 99)}"
+        drift.append(" ".join(chain))
+    ids = list(range(330))
+    every = drift[::-1] + crowd
+    if order == "shuffled":
+        rng.shuffle(ids)
+    texts = dict(zip(ids, every))
+    want = brute_groups(texts, 5, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearby.near_duplicates(table([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_sketches_estimate_high_similarities():
     rng = np.random.default_rng(3)
     for similarity in (0.7, 0.8, 0.9):
