@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import scoring
 from ..functions.expr import clip, half_even
-from ..functions.ordered import quantile_constants
+from ..functions.ordered import hash_position, quantile_constants
 from .preprocess import fold_column, modes, sample_by_hash
 
 
@@ -202,12 +202,13 @@ def search(train: DataFrame, c: Candidate, target: str = v.TARGET, position: str
            seed: int = 42) -> tuple[Model, dict]:
     """Randomised search by cross-validated AUC, then a refit on the whole training set.
 
-    Folds come from the hash position; ``sample`` restricts the search (not the refit)
+    Folds come from a hash of the position; ``sample`` restricts the search (not the refit)
     to a deterministic share of every class. Cache ``train`` first: each fold of each
     draw reads it.
     """
     data = sample_by_hash(train, position, sample, seed) if sample else train
-    data = data.withColumn("_fold", fold_column(position, folds))
+    # Hashed anew: the training split is a range of positions, and the sample a range of another hash.
+    data = data.withColumn("_at", hash_position(position, seed + 1)).withColumn("_fold", fold_column("_at", folds)).drop("_at")
     evaluator = BinaryClassificationEvaluator(labelCol=target, rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC")
     maps = random_maps(c, draws, seed)
