@@ -38,11 +38,11 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 @query
 def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shards.shuffled_shards(docs).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), "text")
+    return shards.shuffled_shards(docs, bytes_col="size").select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -11,6 +12,16 @@ BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 64
 
 
+def _content(field: StructField) -> Column:
+    """Bytes of a column beyond a fixed width: of text and binary, and of nested values as JSON."""
+    at = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        at = F.to_json(F.struct(at))
+    elif not isinstance(field.dataType, (StringType, BinaryType)):
+        return F.lit(0)
+    return F.coalesce(F.octet_length(at), F.lit(0)).cast("long")
+
+
 def shuffled_shards(records: DataFrame, shards: int = 8, seed: int = 17, bytes_col: str | None = None,
                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All records in one random order, cut into ``shards`` shards whose counts differ by at most one.
@@ -27,7 +38,8 @@ def shuffled_shards(records: DataFrame, shards: int = 8, seed: int = 17, bytes_c
     Columns named ``shard`` or ``slot`` are replaced.
     """
     kept = [c for c in records.columns if c not in ("shard", "slot")]
-    rest = F.lit(16 * len(kept)) + (F.coalesce(F.col(bytes_col), F.lit(0)) if bytes_col else F.lit(0))
+    content = [F.coalesce(F.col(bytes_col), F.lit(0))] if bytes_col else [_content(records.schema[c]) for c in kept]
+    rest = sum(content, F.lit(16 * len(kept)))
     placed = cut_lineage(records.select(F.struct(*[F.col(c) for c in kept]).alias("_record"),
                                         F.monotonically_increasing_id().alias("_place"), rest.cast("long").alias("_bytes")))
     n, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()

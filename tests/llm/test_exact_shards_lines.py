@@ -62,6 +62,32 @@ def test_shards_are_written_with_their_records(spark, documents, tmp_path):
     assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
 
 
+def test_shards_count_the_bytes_of_texts(spark, monkeypatch):
+    """The bucket count follows texts, binaries and nested columns when no size is named."""
+    found, cut = [], shards.cut_lineage
+    monkeypatch.setattr(shards, "cut_lineage", lambda df: found.append(cut(df)) or found[-1])
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('x', 1000) AS text", "CAST(repeat('y', 500) AS binary) AS raw",
+                                      "array(repeat('z', 300)) AS parts", "CAST(NULL AS string) AS none")
+    out = shards.shuffled_shards(docs, bucket_bytes=500)
+    assert {r["_bytes"] // 100 for r in found[0].collect()} == {18}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64" in plan and f", cast({-(-sum(r['_bytes'] for r in found[0].collect()) // 500)} as bigint)" in plan
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(40))
+
+
+def test_shards_query_carries_the_texts(spark, sf_dir, monkeypatch):
+    import zlib
+
+    from lendframe.llm import queries
+
+    given, shuffled = [], shards.shuffled_shards
+    monkeypatch.setattr(shards, "shuffled_shards", lambda df, *a, **k: given.append((df.columns, k)) or shuffled(df, *a, **k))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op6_shuffled_shards"](spark, sf_dir).collect()
+    assert given == [(["doc_id", "size", "text"], {"bytes_col": "size"})]
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+
+
 def test_lines_on_many_sites_go_and_copies_stay(table):
     given = [(i, f"own line {i} of some length\n  Cookie notice \n\nmore words of document {i}", f"s{i % 6}") for i in range(12)]
     given += [(100 + i, "a story that is copied\nto every site there is", f"s{i}") for i in range(5)]
