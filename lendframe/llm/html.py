@@ -20,6 +20,9 @@ BREAKING = set("""address article aside blockquote body center dd details dialog
 footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot
 th thead title tr ul""".split())
 HIDDEN = "script style noscript template svg math iframe object audio video canvas select textarea button title head".split()
+# Without an end tag these hold the rest of the page; of the other hidden elements only the text up to the parent's end.
+RAW = {"script", "style", "textarea", "title"}
+VOID = set("area base br col embed img input link meta param source track wbr".split())
 NESTING = set("""article aside blockquote body center details dialog div dl fieldset figure footer form header li main menu nav ol
 section table tbody td tfoot th thead tr ul""".split())
 APART = {"nav", "aside", "footer", "form", "menu", "dialog", "fieldset"}
@@ -51,6 +54,8 @@ def text_blocks(html: str | None) -> list[list]:
     stack: list[tuple[str, bool, bool]] = []
     link, kind, at = 0, "", 0
     page = html or ""
+    endless: set[str] = set()
+    hushed: list[str] | None = None  # inside a hidden element without end: the elements opened in it
 
     def close() -> None:
         nonlocal piece
@@ -65,7 +70,7 @@ def text_blocks(html: str | None) -> list[list]:
     while at < len(page):
         m = TAG.search(page, at)
         text = page[at:m.start()] if m else page[at:]
-        if text:
+        if text and hushed is None:
             piece.append((unescape(text), link > 0))
         if not m:
             break
@@ -75,10 +80,24 @@ def text_blocks(html: str | None) -> list[list]:
         if not name:
             continue
         if name in ENDS and not ends and name != "head":
-            end = ENDS[name].search(page, at)
-            if not attributes.endswith("/"):
+            if attributes.endswith("/"):
+                continue
+            end = ENDS[name].search(page, at) if name not in endless else None
+            if end or name in RAW:
                 at = end.end() if end else len(page)
+            else:
+                endless.add(name)
+                hushed = hushed or []
             continue
+        if name in BREAKING:
+            hushed = None
+        elif hushed is not None and ends:
+            if name in hushed:
+                del hushed[len(hushed) - 1 - hushed[::-1].index(name):]
+            else:
+                hushed = None
+        elif hushed is not None and name not in VOID and not attributes.endswith("/"):
+            hushed.append(name)
         if name == "a":
             link = 0 if ends else 1
         elif name == "br":

@@ -143,3 +143,13 @@ def test_bpe_of_the_documents(spark, documents, sf_dir):
     for r in queries.QUERIES["op9_trie_bpe"](spark, sf_dir).collect():
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest() and r["n_tokens"] == len(ids)
+
+
+def test_hidden_elements_without_end_hide_only_their_parent():
+    texts = lambda page: [b[0] for b in html.text_blocks(page)]
+    for name in ("button", "select", "object", "svg", "math", "canvas", "audio", "video", "iframe", "noscript", "template"):
+        assert texts(f"<p>One</p><div><{name}>hidden <i>too</i> and this</div>Two<p>Three</p>") == ["One", "Two", "Three"]
+        assert texts(f"<p>One <span><{name}>hidden<img>hidden</span> more<p>Two") == ["One more", "Two"]
+        assert texts(f"<p>One <{name}>hidden</{name}>more<{name}/> text<p>Two") == ["One more text", "Two"]
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>One</p><{name}>hidden<p>hidden") == ["One"]
