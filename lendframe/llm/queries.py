@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, encode, exact, forest, html, language, lines, mixing, nearby, shards
+from ..session import cut_lineage
+from . import chat, encode, exact, forest, html, language, lines, manifest, mixing, nearby, ratio, shards
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -138,3 +139,64 @@ def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = cut_lineage(ratio.labelled(table(spark, sf_dir, "labels")))
+    # One narrow row per document, so that the texts are read once for counts and once for scores.
+    scored = cut_lineage(ratio.score(docs, ratio.learn(docs, known), keep_text=False))
+    return ratio.verdict(scored, ratio.threshold(scored, known))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.translate("text", manifest.UPPER, manifest.LOWER)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    leaf = lambda text: manifest.leaf_digest([*map(F.col, columns[:-1]), text])
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(tampered)).alias("shown"))
+    out = manifest.manifest(leaves).withColumn("folded_root", manifest.folded(F.coalesce("shown", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _manifest_sql(levels: int = 8) -> str:
+    """The tree level by level, for up to 8^levels documents and as many languages: a run's digests as one text
+    per level (``k``), then every leaf's siblings and fold beside it."""
+    crc = ("list_reduce([4294967295::UBIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT), lambda c, b: "
+           "list_reduce([xor(c, b)] || range(8)::UBIGINT[], lambda r, i: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)))")
+    code = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(code, ["doc_id", "source", "lang", "n_chars"])) + f" || {code(text)})"
+    out = [f"""d AS (SELECT *, {leaf('text')} AS leaf, {leaf(f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')")} AS low,
+  coalesce(xor({crc}, 4294967295::UBIGINT) % 3 = 0, false) AS hit FROM documents),
+l AS (SELECT doc_id, lang, leaf, CASE WHEN hit THEN low ELSE leaf END AS shown,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+a0 AS (SELECT lang, pos, leaf AS h FROM l)"""]
+
+    def climb(name: str, key: str, of: str) -> None:
+        for k in range(levels):
+            out.append(f"""{name}{k + 1} AS (SELECT {key}, pos // 8 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}{k}) GROUP BY 1, pos // 8)""")
+            out.append(f"""{name}s{k} AS (SELECT {key}, pos, CASE WHEN count(*) OVER (PARTITION BY {key}) = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS lft,
+  CASE WHEN count(*) OVER (PARTITION BY {key}) = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS rgt,
+  count(*) OVER (PARTITION BY {key}) > 1 AS more FROM {name}{k} WINDOW r AS (PARTITION BY {key}, pos // 8 ORDER BY pos))""")
+        out.append(f"{of} AS (SELECT {key}, h FROM {name}{levels})")
+
+    climb("a", "lang", "sub")
+    out.append("b0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, h, lang FROM sub)")
+    climb("b", "one", "top")
+    out.append("f0 AS (SELECT l.*, b0.pos AS at, shown AS f, '' AS p FROM l JOIN b0 ON l.lang IS NOT DISTINCT FROM b0.lang)")
+    at = 0
+    for name, key, pos in (("a", "f.lang IS NOT DISTINCT FROM s.lang", "f.pos"), ("b", "true", "f.at")):
+        for k in range(levels):
+            out.append(f"""f{at + 1} AS (SELECT f.* REPLACE (CASE WHEN more THEN sha256(lft || f || rgt) ELSE f END AS f, p || lft || rgt AS p)
+  FROM f{at} f JOIN {name}s{k} s ON {key} AND {pos} // {8 ** k} = s.pos)""")
+            at += 1
+    return "WITH " + ",\n".join(out) + f"""
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = top.h AS verified
+FROM f{at} f JOIN sub ON f.lang IS NOT DISTINCT FROM sub.lang, top"""
+
+
+SQL["op12_manifest"] = _manifest_sql()
