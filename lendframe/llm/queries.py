@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import chat, encode, exact, forest, html, language, lines, manifest, mixing, nearby, ratio, shards
+from . import chat, encode, exact, forest, html, language, lines, manifest, mixing, nearby, phrases, ratio, shards
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -200,3 +200,34 @@ FROM f{at} f JOIN sub ON f.lang IS NOT DISTINCT FROM sub.lang, top"""
 
 
 SQL["op12_manifest"] = _manifest_sql()
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+def _collocations_sql() -> str:
+    upto = range(1, phrases.LONGEST + 1)
+    word = lambda k: "w" if k == 1 else f"lead(w, {k - 1}) OVER o"
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, {' || chr(32) || '.join(f'w{j}' for j in range(1, k + 1))} AS phrase FROM g WHERE w{k} IS NOT NULL" for k in upto)
+    return f"""
+WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(parts) AS piece, unnest(range(len(parts))) AS piece_nr FROM (
+  SELECT doc_id, lang, regexp_split_to_array(translate(text, '{phrases.UPPER}', '{phrases.LOWER}'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents)),
+w AS (SELECT doc_id, lang, piece_nr, unnest(ws) AS w, unnest(range(len(ws))) AS nr FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+g AS (SELECT lang, {', '.join(f'{word(k)} AS w{k}' for k in upto)} FROM w WINDOW o AS (PARTITION BY doc_id, lang, piece_nr ORDER BY nr)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM ({grams}) GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+t AS (SELECT lang, count(*) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+inner_parts AS (SELECT DISTINCT c.lang, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase, a AS more
+  FROM c, range(2, 5) AS ms(m), range(1, 5) AS xs(i) WHERE m < k AND i + m - 1 <= k),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.more >= 100 * c.a)),
+cut AS (SELECT lang, phrase, a, j, array_to_string(ws[:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM kept, range(1, 5) AS js(j) WHERE j < k),
+s AS (SELECT cut.lang, cut.phrase, a, l.n AS l, r.n AS r, t.n AS n, j, ((1000::HUGEINT * a * t.n) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = lp JOIN f r ON r.lang = cut.lang AND r.phrase = rp JOIN t ON t.lang = cut.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= {phrases.TOP}"""
+
+
+SQL["op13_collocations"] = _collocations_sql()
