@@ -1,9 +1,10 @@
 """Phrase collocations by dynamic itemset counting.
 
 The corpus is turned into word numbers once and cut into shards, which are scanned in a cycle, one shard a
-step. Words are counted in the first cycle. As soon as both parts of a longer phrase (all but its last word, all but its first) have been
-seen often enough, counting it begins with the next step, beside the shorter ones, and ends after one
-full cycle from there. Lengths are thus counted side by side, and a phrase costs one pass wherever it begins.
+step; lengths are counted side by side. A longer phrase becomes active with the step after both its parts (all but its last word, all
+but its first) have reached the threshold. While it is screened, for one cycle at most, only a hash of it is counted, shard by shard: a
+phrase that occurs ``min_count`` times occurs ``min_count / shards`` times in one of the shards. With that it has
+reached the threshold itself, and its exact count, word by word, begins with the next step and ends after one full cycle.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from ..session import cut_lineage, shared_folder
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LONGEST, MIN_COUNT, TOP, SHARDS = 5, 100, 2000, 4
 SLICE_CHARS = 2 << 20
-LEAST_BITS, MOST_BITS = 16, 26
+LEAST_BITS, MOST_BITS, BYTES_A_SLOT = 16, 26, 256
 SLICE = "nr long, langs array<string>, names array<string>, lang_of binary, hashes binary, ids binary"
-COUNTS = "lang string, k int, phrase string, slot long, since int, n long"
+COUNTS = "key long, lang string, k int, phrase string, since int, n long"
 ODD, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -82,7 +83,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, found, chars, gap = Lexicon(), [], 0, np.zeros(1, dtype=np.int32)
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1)):
-            text = text.as_py()
+            text = text.as_py().encode().translate(LOWER).decode()
             found += [words.numbers(lang.as_py(), text), gap]
             chars += len(text)
             if chars >= SLICE_CHARS:
@@ -104,87 +105,88 @@ def distinct(ids: np.ndarray, at: np.ndarray, k: int, width: int) -> tuple[np.nd
 
 
 def count_slice(ids: np.ndarray, word_hashes: np.ndarray, reached: np.ndarray, step: int, cycle: int, longest: int) -> Iterator[tuple]:
-    """(first positions, lengths, slots, since, counts) of the phrases that this step counts; of words their numbers.
+    """What this step counts: (0, hashes, counts) of phrases to screen, (k, first positions, since, counts) of those to count exactly.
 
-    ``reached`` has, by slot of a phrase's hash, the step in which a phrase there became frequent (0: not
-    yet). Two phrases in one slot only mean that longer ones are counted without need, each for its full cycle.
+    ``reached`` has, by slot (the first bits of a phrase's hash), the step in which a phrase there reached the
+    threshold, 0 if none has. It is set once. Two phrases in one slot only mean that one is counted
+    without need, for a full cycle as any other.
     """
     shift = np.uint64(64 - int(math.log2(len(reached))))
-    slots = lambda h: ((h * ODD) >> shift).astype(np.int64)
     hashes = word_hashes[ids]
-    if step <= cycle:
-        n = np.bincount(ids, minlength=len(word_hashes))
-        n[0] = 0
-        seen = np.flatnonzero(n)
-        yield seen, 1, slots(word_hashes[seen]), np.zeros(len(seen), dtype=np.int64), n[seen]
-    since = np.where(ids > 0, reached[slots(hashes)], 0).astype(np.int64)  # when the phrase here became frequent, 0: it is not
-    own = hashes
-    for k in range(2, longest + 1):
-        if len(since) < 2:
+    own, at, begun = hashes, np.flatnonzero(ids), np.zeros(0, dtype=np.int64)
+    for k in range(1, longest + 1):
+        if k > 1:
+            at = np.flatnonzero((since[:-1] > 0) & (since[1:] > 0))  # noqa: F821
+            begun = np.maximum(since[at], since[at + 1])  # noqa: F821
+            mixed = (own[at] * OTHER + hashes[at + k - 1]) * ODD
+            own = np.zeros(len(since) - 1, dtype=np.uint64)  # noqa: F821
+            own[at] = mixed ^ (mixed >> np.uint64(31))
+        else:
+            begun = np.zeros(len(at), dtype=np.int64)
+        if not len(at):
             return
-        at = np.flatnonzero((since[:-1] > 0) & (since[1:] > 0))
-        begun = np.maximum(since[at], since[at + 1])
-        mixed = (own[at] * OTHER + hashes[at + k - 1]) * ODD
-        mixed ^= mixed >> np.uint64(31)
-        slot = slots(mixed)
-        active = step <= begun + cycle
-        if active.any():
-            where = at[active]
+        here = reached[(own[at] >> shift).astype(np.int64)].astype(np.int64)
+        screened = (here == 0) & (step <= begun + cycle)
+        if screened.any():
+            yield 0, *np.unique(own[at[screened]], return_counts=True)
+        start = np.maximum(here, begun)
+        exact = (here > 0) & (step <= start + cycle)
+        if exact.any():
+            where = at[exact]
             first, n = distinct(ids, where, k, len(word_hashes))
-            back = np.searchsorted(where, first)
-            yield first, k, slot[active][back], begun[active][back], n
-        here = reached[slot].astype(np.int64)
-        since = np.zeros(len(since) - 1, dtype=np.int64)
-        since[at] = np.where(here > 0, np.maximum(here, begun), 0)
-        own = np.zeros(len(since), dtype=np.uint64)
-        own[at] = mixed
+            yield k, first, start[exact][np.searchsorted(where, first)], n
+        since = np.zeros(len(own), dtype=np.int64)  # of the phrase that begins here, once it has reached the threshold
+        since[at] = np.where(here > 0, start, 0)
 
 
 def counter(reached, step: int, cycle: int, longest: int):
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("slot", pa.int64()), ("since", pa.int32()), ("n", pa.int64())])
+    """Rows of ``COUNTS``: screened hashes with ``k`` -1, words of a language with 0, exact phrases with their length."""
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("since", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        def sent(n, k, key=None, lang=None, phrase=None, since=None):
+            none = lambda x, f: pa.nulls(len(n), f.type) if x is None else pa.array(x, f.type)
+            cols = (key, lang, np.full(len(n), k), phrase, np.zeros(len(n), dtype=np.int64) if since is None else since, n)
+            return pa.RecordBatch.from_arrays([none(x, f) for x, f in zip(cols, schema)], schema=schema)
+
         for batch in batches:
             for row in range(batch.num_rows):
                 langs, names = (batch.column(c)[row].values for c in ("langs", "names"))
                 lang_of, hashes, ids = (np.frombuffer(batch.column(c)[row].as_buffer(), dtype=t)
                                         for c, t in (("lang_of", "<i4"), ("hashes", "<u8"), ("ids", "<i4")))
+                if step <= cycle:
+                    yield sent(np.bincount(lang_of[ids[ids > 0]], minlength=len(langs)), 0, lang=langs)
                 ids = ids.astype(np.int64)
-                for first, k, slot, since, n in count_slice(ids, hashes, reached.value, step, cycle, longest):
-                    if k == 1:
-                        total = np.bincount(lang_of[first], weights=n, minlength=len(langs)).astype(np.int64)
-                        zero = np.zeros(len(langs), dtype=np.int64)
-                        yield sent(langs, zero, [""] * len(langs), zero, zero, total)
-                        phrase, lang = names.take(pa.array(first)), lang_of[first]
-                    else:
-                        phrase = pc.binary_join_element_wise(*[names.take(pa.array(ids[first + j])) for j in range(k)], " ")
-                        lang = lang_of[ids[first]]
-                    yield sent(langs.take(pa.array(lang)), np.full(len(n), k), phrase, slot, since, n)
+                for k, first, *rest in count_slice(ids, hashes, reached.value, step, cycle, longest):
+                    if not k:
+                        yield sent(rest[0], -1, key=first.view(np.int64))
+                        continue
+                    words = [names.take(pa.array(ids[first + j])) for j in range(k)]
+                    phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, " ")
+                    yield sent(rest[1], k, lang=langs.take(pa.array(lang_of[ids[first]])), phrase=phrase, since=rest[0])
     return run
 
 
 def slot_bits(text_bytes: int) -> int:
-    """One slot for 512 bytes of text, at most 2^26 (64 MB); beyond that more phrases are counted without need, none are lost."""
-    return max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(text_bytes, 512) / 512))))
+    """One slot for 256 bytes of text, at most 2^26 (64 MB); beyond that more phrases are counted without need, none are lost."""
+    return max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(max(text_bytes, BYTES_A_SLOT) / BYTES_A_SLOT))))
 
 
 def _mark(counts: DataFrame, reached: np.ndarray, step: int) -> bool:
-    """Set the slots of frequent phrases that are not set yet; they come as bitmaps, whose number depends on the slots only."""
-    value = F.col("slot") + 1
-    maps = counts.groupBy(F.bitmap_bucket_number(value).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")).collect()
-    new = False
+    """Set the slots of the screened hashes; they come as bitmaps, whose number depends on the slots only."""
+    value = F.shiftrightunsigned("key", 64 - int(math.log2(len(reached)))) + 1
+    maps = counts.filter("k = -1").groupBy(F.bitmap_bucket_number(value).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")).collect()
     for b, bits in maps:
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little")) + (b - 1) * 32768
-        at = at[reached[at] == 0]
-        reached[at] = step
-        new |= len(at) > 0
-    return new
+        reached[at[reached[at] == 0]] = step
+    return bool(maps)
 
 
-def _stored(counts: DataFrame, path: str, ended: int, min_count: int) -> DataFrame:
-    """Running counts written in two parts: those begun after step ``ended`` stay open, of the others the frequent ones stay."""
-    rows = counts.withColumn("open", F.col("since") > ended).filter(F.col("open") | (F.col("k") == 0) | (F.col("n") >= min_count))
+def _stored(counts: DataFrame, path: str, ended: int, local: int, min_count: int) -> DataFrame:
+    """A step's counts written in two parts: exact ones begun after step ``ended`` stay open; of what is
+    complete the frequent ones stay, of the screened hashes those with ``local`` or more."""
+    rows = counts.withColumn("open", (F.col("since") > ended) & (F.col("k") >= 0)).filter(
+        F.col("open") | (F.col("k") == 0) | ((F.col("k") == -1) & (F.col("n") >= local)) | ((F.col("k") > 0) & (F.col("n") >= min_count)))
     rows.write.partitionBy("open").parquet(path)
     return counts.sparkSession.read.schema(f"{COUNTS}, open boolean").parquet(path)
 
@@ -196,16 +198,16 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
     Letters A-Z in lower case, pieces between ``.,;:!?`` and line ends, words between spaces and tabs;
     overlapping occurrences count each. Null languages are ``und``, null texts are empty, repeated rows
-    count each, an empty table gives no rows, other columns are not read. The running counts of a step replace those of the
-    step before in the shared folder; complete counts leave them. A word or phrase that is a
+    count each, an empty table gives no rows, other columns are not read. Nothing but the running counts of
+    phrases that passed the screening is kept from step to step, in the shared folder. A word or phrase that is a
     third of all comes as one row per slice of a task.
     """
-    if not 1 <= shards * longest <= 255:
-        raise ValueError("shards times longest is 1 to 255")
+    if not 1 <= shards * (longest + 1) <= 255:
+        raise ValueError("shards times (longest + 1) is 1 to 255")
     spark = docs.sparkSession
     root = shared_folder(spark, "phrases")
     given = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
-                        F.translate(F.col(f"`{text_col}`").cast("string"), UPPER, LOWER).alias("text")).filter("text IS NOT NULL")
+                        F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
     given.mapInArrow(slices, SLICE).withColumn("shard", F.expr(f"cast(nr % {shards} AS int)")).drop("nr").write.partitionBy("shard").parquet(f"{root}/shards")
     numbered = spark.read.schema(SLICE.replace("nr long, ", "") + ", shard int").parquet(f"{root}/shards")
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -217,14 +219,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         step += 1
         shared = spark.sparkContext.broadcast(reached)
         found = numbered.filter(F.col("shard") == (step - 1) % shards).drop("shard").mapInArrow(counter(shared, step, shards, longest), COUNTS)
-        sums = running.unionAll(found).groupBy("lang", "k", "phrase").agg(
-            F.min("slot").alias("slot"), F.min("since").alias("since"), F.sum("n").alias("n"))
-        counts = _stored(sums, f"{root}/counts/{step}", step - shards, min_count)
+        sums = running.unionAll(found).groupBy("key", "lang", "k", "phrase").agg(F.min("since").alias("since"), F.sum("n").alias("n")).select(*running.columns)
+        counts = _stored(sums, f"{root}/counts/{step}", step - shards, -(-min_count // shards), min_count)
         shared.destroy()
         files.delete(path(f"{root}/counts/{step - 1}/open=true"), True)
         running = counts.filter("open").drop("open")
-        complete.append(counts.filter("NOT open").select("lang", "k", "phrase", "n"))
-        if _mark(counts.filter((F.col("k") > 0) & (F.col("k") < longest) & (F.col("n") >= min_count)), reached, step):
+        complete.append(counts.filter("NOT open AND k >= 0").select("lang", "k", "phrase", "n"))
+        if _mark(counts, reached, step):
             last = step
     whole = complete[0]
     for part in complete[1:]:

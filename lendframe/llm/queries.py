@@ -213,7 +213,7 @@ def _collocations_sql() -> str:
     grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, {' || chr(32) || '.join(f'w{j}' for j in range(1, k + 1))} AS phrase FROM g WHERE w{k} IS NOT NULL" for k in upto)
     return f"""
 WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(parts) AS piece, unnest(range(len(parts))) AS piece_nr FROM (
-  SELECT doc_id, lang, regexp_split_to_array(translate(text, '{phrases.UPPER}', '{phrases.LOWER}'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents)),
+  SELECT doc_id, lang, regexp_split_to_array(translate(text, '{manifest.UPPER}', '{manifest.LOWER}'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents)),
 w AS (SELECT doc_id, lang, piece_nr, unnest(ws) AS w, unnest(range(len(ws))) AS nr FROM (SELECT *, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
 g AS (SELECT lang, {', '.join(f'{word(k)} AS w{k}' for k in upto)} FROM w WINDOW o AS (PARTITION BY doc_id, lang, piece_nr ORDER BY nr)),
 f AS (SELECT lang, k, phrase, count(*) AS n FROM ({grams}) GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
