@@ -17,7 +17,7 @@ from ..functions import scoring
 from ..functions.ordered import hash_position
 from ..operators import drift, explain, fraud, metrics
 from ..session import cut_lineage
-from . import neighbours, pipeline, preprocess
+from . import neighbours, pipeline, preprocess, search
 
 STRATEGIES = ("class_weight", "none", "undersample", "smote", "smote_tomek")
 REFERENCE_ROWS, BACKGROUND_ROWS = 5000, 500
@@ -58,16 +58,19 @@ class Trained:
     test: DataFrame
 
 
-def train(frame: DataFrame, candidates: Sequence[pipeline.Candidate], target: str = v.TARGET, id_col: str = v.ID,
-          numeric: Sequence[str] = tuple(v.ALL_NUMERIC), categorical: Sequence[str] = tuple(v.ALL_CATEGORICAL),
-          strategy: str = "class_weight", draws: int | None = None, folds: int = 5, sample: float | None = None,
-          seed: int = 42) -> Trained:
-    """Split, prepare, search every candidate, take the best on validation, calibrate, tune.
+@dataclass
+class Split:
+    """A frame split and prepared once: what every fit reads is written."""
 
-    ``draws`` and ``sample`` bound the search (each candidate's own number of draws, all training
-    rows by default). With ``draws=0`` the candidates are fitted as given. The split is written
-    once and every fit reads its part.
-    """
+    prepared: PipelineModel
+    train: DataFrame
+    fit_rows: DataFrame
+    val: DataFrame
+    test: DataFrame
+
+
+def split(frame: DataFrame, target: str = v.TARGET, id_col: str = v.ID, numeric: Sequence[str] = tuple(v.ALL_NUMERIC),
+          categorical: Sequence[str] = tuple(v.ALL_CATEGORICAL), strategy: str = "class_weight", seed: int = 42) -> Split:
     if target not in frame.columns:
         raise ValueError(f"no outcome column '{target}'")
     placed = frame.withColumn("position", hash_position(id_col, seed))
@@ -76,13 +79,26 @@ def train(frame: DataFrame, candidates: Sequence[pipeline.Candidate], target: st
     rows = part("train")
     prepared = pipeline.preprocessor(numeric, categorical).fit(rows)
     fit_rows = cut_lineage(balanced(pipeline.encode(prepared, rows).select(id_col, "features", target, "position"), strategy, target, id_col, seed))
-    val = cut_lineage(pipeline.encode(prepared, part("val")).select(id_col, "features", target))
+    return Split(prepared, rows, fit_rows, cut_lineage(pipeline.encode(prepared, part("val")).select(id_col, "features", target)), part("test"))
+
+
+def train(frame: DataFrame, candidates: Sequence[pipeline.Candidate], target: str = v.TARGET, id_col: str = v.ID,
+          numeric: Sequence[str] = tuple(v.ALL_NUMERIC), categorical: Sequence[str] = tuple(v.ALL_CATEGORICAL),
+          strategy: str = "class_weight", draws: int | None = None, folds: int = 5, rows: int = search.ROWS,
+          seed: int = 42) -> Trained:
+    """Split, prepare, search all candidates, refit, take the best on validation, calibrate, tune.
+
+    The search gives every fit a task of its own and reads ``rows`` rows at most; MLlib refits the chosen
+    draw of each candidate on the whole training split. ``draws`` bounds the draws per candidate (its own
+    number by default); with ``draws=0`` the candidates are fitted as given.
+    """
+    held = split(frame, target, id_col, numeric, categorical, strategy, seed)
+    prepared, fit_rows, val, train_rows = held.prepared, held.fit_rows, held.val, held.train
+    tuned = {} if draws == 0 else {s["candidate"]: s for s in search.search_all(fit_rows, candidates, target, folds=folds, draws=draws, rows=rows, seed=seed)}
     fitted, found = {}, []
     for c in candidates:
-        if draws == 0:
-            model, summary = c.estimator.fit(fit_rows), {"candidate": c.name}
-        else:
-            model, summary = pipeline.search(fit_rows, c, target, folds=folds, draws=draws, sample=sample, seed=seed)
+        summary = tuned.get(c.name, {"candidate": c.name})
+        model = search.refit(fit_rows, c, summary) if c.name in tuned else c.estimator.fit(fit_rows)
         scored = cut_lineage(model.transform(val).select(target, pipeline.raw_probability().alias("p")))
         auc = metrics.rank_metrics(scored, target, "p").select("roc_auc").first()[0]
         fitted[c.name] = (model, scored)
@@ -91,10 +107,10 @@ def train(frame: DataFrame, candidates: Sequence[pipeline.Candidate], target: st
     model, scored = fitted[champion]
     calibrator = pipeline.fit_calibrator(scored, target)
     cut = metrics.fit_cutoffs(pipeline.calibrate(calibrator, scored), target, "p")
-    background = pipeline.background_mean(pipeline.encode(prepared, pipeline.reference_sample(rows, "position", BACKGROUND_ROWS)))
-    reference = pipeline.reference_sample(rows, "position", REFERENCE_ROWS)
+    background = pipeline.background_mean(pipeline.encode(prepared, pipeline.reference_sample(train_rows, "position", BACKGROUND_ROWS)))
+    reference = pipeline.reference_sample(train_rows, "position", REFERENCE_ROWS)
     return Trained(pipeline.RiskModel(prepared, model, cut, calibrator, background), champion, found,
-                   drift.fit_edges(rows, list(numeric)), list(numeric), list(categorical), reference, part("test"))
+                   drift.fit_edges(train_rows, list(numeric)), list(numeric), list(categorical), reference, held.test)
 
 
 def save(trained: Trained, root: str) -> None:

@@ -332,25 +332,3 @@ def test_search_folds_are_even_within_a_split(spark, monkeypatch):
             pipeline.search(rows, pipeline.candidates()[0], sample=sample)
         counts = seen.value.args[0]
         assert set(counts) == set(range(5)) and max(counts.values()) < 1.5 * min(counts.values())
-
-
-def test_search_query_passes_all_candidates_uncut(spark, sf_dir, monkeypatch):
-    from types import SimpleNamespace
-
-    from lendframe.learn import training
-    from lendframe.plans import learning
-
-    seen = {}
-
-    def train(frame, candidates, *args, **bounds):
-        seen.update(rows=frame.count(), candidates=candidates, bounds=bounds)
-        return SimpleNamespace(validation=[{"candidate": c.name, "roc_auc": 0.5 + 0.1 * i} for i, c in enumerate(candidates)])
-
-    monkeypatch.setattr(training, "train", train)
-    out = learning.search_candidates(spark, sf_dir).first()
-    assert (out["champion"], round(out["roc_auc"], 6), round(out["lift_over_baseline"], 6)) == ("boosted_trees", 0.7, 0.2)
-    assert [(c.name, c.draws) for c in seen["candidates"]] == [("logistic_regression", 8), ("random_forest", 12), ("boosted_trees", 25)]
-    assert seen["candidates"][0].estimator.getMaxIter() == 2000 and seen["bounds"] == {"sample": None}
-    monkeypatch.setattr(learning, "TUNING_ROWS", 70)
-    learning.search_candidates(spark, sf_dir)
-    assert seen["bounds"]["sample"] == pytest.approx(100 / seen["rows"])
