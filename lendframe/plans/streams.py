@@ -42,7 +42,7 @@ def stream_duplicates(spark, sf):
         (F.col("value") * F.lit(10.0)).alias("LoanAmount"), "user_id", "event_type")
     root = shared_folder(spark, "resubmissions")
     jobs.resubmissions(e, root, root + "/ckpt", ["user_id", "event_type"]).awaitTermination()
-    return spark.read.parquet(root + "/seen").select(
+    return jobs.submissions_seen(spark, root).select(
         "application_id", "fingerprint", "occurrence", "previous_id", "Income_change_pct", "LoanAmount_change_pct")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +37,25 @@ def session(app: str = "lendframe", master: str | None = None, **extra: str) ->
     return b.getOrCreate()
 
 
+_made: contextvars.ContextVar[list | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Folders of the shared one that are made inside are removed at its end, for work that repeats without end."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.delete(at, True)
+            files.cancelDeleteOnExit(at)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a
     folder of the warehouse, which a cluster shares as well."""
@@ -48,6 +70,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(at)
     files.deleteOnExit(at)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 

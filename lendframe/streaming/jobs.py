@@ -6,16 +6,19 @@ interval without use where they are keyed by identity.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import contextlib
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import vocabulary as v
 from ..functions.expr import half_even, percent_change
 from ..operators import drift, fraud, portfolio
+from ..session import released
 from ..sources.readers import _exists
 
 LATE = "10 minutes"
@@ -66,59 +69,126 @@ def settle_windows(windows: DataFrame, root: str, keys: Sequence[str]) -> DataFr
 
 # ---- resubmission with keyed state -------------------------------------------------
 
-def seen_before(sink: str, fields: Sequence[str], keep: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: each application with its occurrence number and previous submission.
+LAST = [("id", "long"), ("ts", "timestamp"), ("Income", "double"), ("LoanAmount", "double")]
+LAST_STRUCT = "struct<" + ",".join(f"{n}:{t}" for n, t in LAST) + ">"
+ROWS = ("application_id long, ts timestamp, Income double, LoanAmount double, fingerprint string, occurrence long, previous_id long, "
+        "previous_ts timestamp, Income_change_pct double, LoanAmount_change_pct double, batch long")
+SUMMARY = f"fingerprint string, n long, first timestamp, last {LAST_STRUCT}, batch long"
+CARRY = f"fingerprint string, batch long, before long, last {LAST_STRUCT}"
 
-    Inside a batch the batch operator orders a fingerprint's rows by time, whatever the
-    Arrow or file layout and however many they are. The state is a table with one row per
-    fingerprint (count, last submission); a batch reads that of the batch before and writes
-    its own, so a replay gives the same. Fingerprints not seen for ``keep`` (an interval,
-    measured against the newest time so far) are forgotten.
-    """
-    last = ["id long", "ts timestamp", "Income double", "LoanAmount double"]
-    schema = "fingerprint string, n long, last struct<" + ",".join(x.replace(" ", ":") for x in last) + ">, newest timestamp"
 
+def ordered_batch(sink: str, fields: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the submissions of a batch in the order of their times, and one row per fingerprint.
+
+    The batch operator orders a fingerprint's rows by time, whatever the Arrow or file layout and
+    however many they are; so a hot fingerprint meets the state as one row. A replay overwrites.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         keyed = event_time(batch, "ts").select(
             F.col("application_id").cast("long").alias("application_id"), "ts", F.col("Income").cast("double").alias("Income"),
             F.col("LoanAmount").cast("double").alias("LoanAmount"), fraud.fingerprint(fields).alias("fingerprint"))
-        state = stored_state(spark, sink, batch_id, schema)
-        seen = fraud.previous_submissions(keyed, "fingerprint").join(
-            state.select("fingerprint", F.col("n").alias("_n"), F.col("last").alias("_last")), "fingerprint", "left")
-        first = F.col("occurrence") == 1
-        carried = lambda c, own: F.when(first, F.col(f"_last.{c}")).otherwise(F.col(own))
-        change = lambda c: F.when(first, percent_change(F.col(f"_last.{c}"), F.col(c))).otherwise(F.col(f"{c}_change_pct"))
-        seen.select(
-            "application_id", "ts", "Income", "LoanAmount", "fingerprint",
-            (F.col("occurrence") + F.coalesce("_n", F.lit(0))).alias("occurrence"), carried("id", "previous_id").alias("previous_id"),
-            carried("ts", "previous_ts").alias("previous_ts"), change("Income").alias("Income_change_pct"),
-            change("LoanAmount").alias("LoanAmount_change_pct")).write.mode("overwrite").parquet(f"{sink}/seen/batch={batch_id}")
-        row = F.struct(F.col("application_id").alias("id"), "ts", "Income", "LoanAmount")
-        new = keyed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("m"), F.max_by(row, F.struct("ts", "application_id")).alias("new"), F.max("ts").alias("at"))
-        both = state.join(new, "fingerprint", "full_outer").select(
-            "fingerprint", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("new", "last").alias("last"),
-            F.greatest("newest", "at").alias("newest"))
-        now = state.select(F.col("newest").alias("t")).unionAll(keyed.select(F.col("ts").alias("t"))).agg(F.max("t")).first()[0]
-        if now is not None:
-            both = both.filter(F.col("newest").isNull() | (F.col("newest") >= F.lit(now) - F.expr(f"INTERVAL {keep}")))
-        both.write.mode("overwrite").parquet(f"{sink}/state/{batch_id}")
-
+        with released(spark):
+            fraud.previous_submissions(keyed, "fingerprint").withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{sink}/rows/{batch_id}")
+        rows = spark.read.schema(ROWS).parquet(f"{sink}/rows/{batch_id}")
+        last = F.struct(F.col("application_id").alias("id"), "ts", "Income", "LoanAmount")
+        rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"),
+                                        F.max_by(last, F.struct("ts", "application_id")).alias("last"), F.first("batch").alias("batch")
+                                        ).write.mode("overwrite").parquet(f"{sink}/summary/{batch_id}")
     return run
 
 
-def stored_state(spark: SparkSession, sink: str, batch_id: int, schema: str) -> DataFrame:
-    path = f"{sink}/state/{batch_id - 1}"
-    if batch_id > 0 and _exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+class LastSubmission(StatefulProcessor):
+    """Per fingerprint: how many submissions there were, the last of them, and the batch that told so.
+
+    Hands every batch's row of the fingerprint what came before it. A batch told before (a replay) changes
+    nothing. The last submission is the latest by time, in whatever order batches come. A fingerprint whose next
+    submission is more than ``keep`` later starts again; the state store itself forgets one that nobody touches for as long.
+    """
+
+    def __init__(self, keep: str) -> None:
+        self.keep = pd.Timedelta(keep)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("seen", ", ".join(["n long", *[f"{n} {t}" for n, t in LAST], "batch long"]),
+                                          ttlDurationMs=int(self.keep.total_seconds() * 1000))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        stamp = lambda t: None if pd.isna(t) else pd.Timestamp(t).tz_localize(None) if pd.Timestamp(t).tzinfo else pd.Timestamp(t)
+        place = lambda r: (r[1] is not None, r[1] or pd.Timestamp(0), r[0] if r[0] is not None else -1)
+        n, last, told = 0, None, -1
+        if self.state.exists():
+            n, *last, told = self.state.get()
+            last[1] = stamp(last[1])
+        out = []
+        for row in sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: r["batch"]):
+            if row["batch"] <= told:
+                continue
+            first = stamp(row["first"])
+            if last is not None and first is not None and last[1] is not None and first - last[1] > self.keep:
+                n, last = 0, None
+            out.append({"fingerprint": key[0], "batch": row["batch"], "before": n, "last": dict(zip([c for c, _ in LAST], last)) if last else None})
+            own = [row["last"][c] for c, _ in LAST]
+            own[1] = stamp(own[1])
+            n, last, told = n + row["n"], own if last is None or place(own) >= place(last) else last, row["batch"]
+        if out:
+            self.state.update((n, *last, told))
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
 
 
 def resubmissions(applications: DataFrame, sink: str, checkpoint: str, fields: Sequence[str] = v.IDENTITY_FIELDS,
                   keep: str = "3650 days") -> StreamingQuery:
-    """Start ``seen_before`` over everything available; its rows are in ``sink``/seen."""
-    return (applications.writeStream.foreachBatch(seen_before(sink, fields, keep)).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Process everything available; ``submissions_seen`` reads the result.
+
+    One query orders each batch and tells one row per fingerprint; the second keeps the state of fingerprints in
+    RocksDB and touches only those of its batch. Old versions of the state go with the store's own
+    maintenance; a version that is missing is an error.
+    """
+    spark = applications.sparkSession
+    (applications.writeStream.foreachBatch(ordered_batch(sink, fields)).option("checkpointLocation", f"{checkpoint}/order")
+     .trigger(availableNow=True).start().awaitTermination())
+
+    def keep_carry(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/carry/{batch_id}")
+
+    told = spark.readStream.schema(SUMMARY).option("ignoreMissingFiles", "true").parquet(f"{sink}/summary/*")
+    carried = told.groupBy("fingerprint").transformWithStateInPandas(LastSubmission(keep), CARRY, "Update", "processingTime")
+    with rocksdb(spark):
+        return (carried.writeStream.outputMode("update").foreachBatch(keep_carry).option("checkpointLocation", f"{checkpoint}/state")
+                .trigger(availableNow=True).start())
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which their checkpoint remembers, and end when the
+    data does: a state with a time to live would ask for batches without data for ever."""
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, x in own.items():
+            spark.conf.set(k, x)
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def submissions_seen(spark: SparkSession, sink: str) -> DataFrame:
+    """Every submission with its occurrence number and previous submission, over all batches processed so far."""
+    rows = spark.read.schema(ROWS).parquet(f"{sink}/rows/*")
+    carry = spark.read.schema(CARRY).parquet(f"{sink}/carry/*").withColumnRenamed("last", "_last")
+    both = rows.join(carry, ["fingerprint", "batch"])
+    first = F.col("occurrence") == 1
+    carried = lambda c, own: F.when(first, F.col(f"_last.{c}")).otherwise(F.col(own))
+    change = lambda c: F.when(first, percent_change(F.col(f"_last.{c}"), F.col(c))).otherwise(F.col(f"{c}_change_pct"))
+    return both.select(
+        "application_id", "ts", "Income", "LoanAmount", "fingerprint", (F.col("occurrence") + F.col("before")).alias("occurrence"),
+        carried("id", "previous_id").alias("previous_id"), carried("ts", "previous_ts").alias("previous_ts"),
+        change("Income").alias("Income_change_pct"), change("LoanAmount").alias("LoanAmount_change_pct"), "batch")
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -130,17 +200,18 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 
 # ---- submit -> score -> decide ----------------------------------------------------
 
-def decide_batch(score: Callable[[DataFrame], DataFrame], sink: str, id_col: str = "application_id"
+def decide_batch(score: Callable[[DataFrame], DataFrame], sink: str, id_col: str = "application_id", look_back: bool = True
                  ) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: score, screen, decide and write decisions, audit rows and
     notifications.
 
     Idempotent: every output goes to a folder named by the batch id and overwrites it,
-    so a replayed batch (after a lost driver or executor) leaves the same files.
+    so a replayed batch (after a lost driver or executor) leaves the same files. With ``look_back`` what
+    earlier batches decided is left out by reading it; a stream whose state knows the ids does without.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         once = batch.dropDuplicates([id_col])
-        earlier = _earlier(batch.sparkSession, f"{sink}/decisions", batch_id)
+        earlier = _earlier(batch.sparkSession, f"{sink}/decisions", batch_id) if look_back else None
         if earlier is not None:  # an application sent again was decided in its first batch
             once = once.join(earlier.select(id_col), id_col, "left_anti")
         decided = portfolio.auto_decide(fraud.screen(score(once)))
@@ -158,9 +229,12 @@ def decide_batch(score: Callable[[DataFrame], DataFrame], sink: str, id_col: str
 
 
 def start_decisions(stream: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str,
-                    checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    w = stream.writeStream.foreachBatch(decide_batch(score, sink)).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+                    checkpoint: str, available_now: bool = True, id_col: str = "application_id") -> StreamingQuery:
+    """Decide every application once: the ids decided so far are state, of which a batch touches its own only."""
+    once = stream.dropDuplicates([id_col])
+    w = once.writeStream.foreachBatch(decide_batch(score, sink, id_col, look_back=False)).option("checkpointLocation", checkpoint)
+    with rocksdb(stream.sparkSession):
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
 
 # ---- drift on a stream -------------------------------------------------------------

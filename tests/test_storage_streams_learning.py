@@ -128,20 +128,63 @@ def test_duplicates_survive_a_restart(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     columns = ["application_id", "occurrence", "previous_id", "Income_change_pct"]
-    got = spark.read.parquet(out + "/seen").select(*columns).orderBy("application_id").collect()
+    got = jobs.submissions_seen(spark, out).select(*columns).orderBy("application_id").collect()
     want = fraud.previous_submissions(people(spark, 0, 60).withColumn("fingerprint", fraud.fingerprint()), "fingerprint").select(*columns).orderBy("application_id").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
 
 
+def sent(spark, src, rows):
+    rows.coalesce(1).write.mode("append").parquet(src)
+    return jobs.read_stream(spark, src, rows.schema, files_per_batch=1)
+
+
 def test_forgotten_fingerprints_start_again(spark, tmp_path):
-    out = str(tmp_path)
-    run = jobs.seen_before(out, ["Age"], "1 hours")
-    late = people(spark, 0, 3).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
-    run(people(spark, 0, 3), 0)
-    run(late.filter("Age = 0"), 1)
-    run(late, 2)
-    got = {(r["Age"], r["occurrence"]) for r in spark.read.parquet(out + "/seen/batch=2").join(late.select("application_id", "Age"), "application_id").collect()}
-    assert got == {(0.0, 3), (1.0, 1), (2.0, 1)}
+    """A submission more than an hour after the last one of its fingerprint is a first one."""
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    day = F.expr("INTERVAL 1 DAY")
+    later = people(spark, 0, 3).withColumn("ts", F.col("ts") + day)
+    again = later.filter("Age = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES"))
+    for rows in (people(spark, 0, 3), later, again):
+        jobs.resubmissions(sent(spark, src, rows), out, ckpt, ["Age"], "1 hours").awaitTermination()
+    got = {(r["batch"], r["application_id"]): r["occurrence"] for r in jobs.submissions_seen(spark, out).collect()}
+    assert got == {(0, 0): 1, (0, 1): 1, (0, 2): 1, (1, 0): 1, (1, 1): 1, (1, 2): 1, (2, 0): 2}
+
+
+def test_twenty_batches_keep_the_latest_and_leave_bounded_files(spark, tmp_path):
+    """Batches out of order: the previous submission is the latest by time. What a batch needed on the way is gone."""
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    import os
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    rows = people(spark, 0, 40).withColumn("Age", F.lit(1.0))
+    for k in [1, 0, *range(2, 20)]:
+        stream = sent(spark, src, rows.filter(f"application_id div 2 = {k}"))
+    jobs.resubmissions(stream, out, ckpt, ["Age"]).awaitTermination()
+    got = {r["application_id"]: r for r in jobs.submissions_seen(spark, out).collect()}
+    assert len(got) == 40 and {r["batch"] for r in got.values()} == set(range(20))
+    assert sorted(r["occurrence"] for r in got.values()) == list(range(1, 41))
+    assert got[0]["previous_id"] == 3 and got[4]["previous_id"] == 3 and got[39]["previous_id"] == 38  # 2 and 3 came first, then 0 and 1
+    assert set(os.listdir(base)) <= before
+    assert all(len([f for f in os.listdir(f"{out}/summary/{k}") if f.endswith(".parquet")]) <= 8 for k in range(20))
+
+
+def test_replayed_batch_is_told_once(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    jobs.resubmissions(sent(spark, src, people(spark, 0, 9)), out, ckpt, ["Age"]).awaitTermination()
+    jobs.ordered_batch(out, ["Age"])(people(spark, 0, 9), 0)
+    jobs.resubmissions(sent(spark, src, people(spark, 9, 12)), out, ckpt, ["Age"]).awaitTermination()
+    got = sorted((r["application_id"], r["occurrence"]) for r in jobs.submissions_seen(spark, out).collect())
+    assert got == [(i, i // 3 + 1) for i in range(12)]
+
+
+def test_stream_decides_an_application_once(spark, tmp_path):
+    src, sink, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    rows = people(spark, 0, 6).withColumns({"applicant_id": F.col("application_id"), "CreditScore": F.lit(700.0), "MonthsEmployed": F.lit(1.0),
+                                            "NumCreditLines": F.lit(1.0), "DTIRatio": F.lit(0.1)})
+    score = lambda df: df.withColumn("risk_score", F.col("application_id") * 20.0).withColumn("risk_level", F.lit("low"))
+    for part in (rows.filter("application_id < 4"), rows):
+        jobs.start_decisions(sent(spark, src, part), score, sink, ckpt).awaitTermination()
+    assert sorted(r["application_id"] for r in spark.read.parquet(sink + "/decisions").collect()) == list(range(6))
 
 
 def test_decisions_are_idempotent(spark, tmp_path):
