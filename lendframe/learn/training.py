@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .. import vocabulary as v
 from ..functions import scoring
 from ..functions.ordered import hash_position
-from ..operators import drift, explain, fraud, metrics
+from ..operators import drift, explain, fraud, metrics, retrain
 from ..session import cut_lineage
+from ..sources import registry, stores
 from . import neighbours, pipeline, preprocess, search
 
 STRATEGIES = ("class_weight", "none", "undersample", "smote", "smote_tomek")
@@ -168,3 +169,47 @@ def compare_on(holdout: DataFrame, bundles: dict[str, Bundle], target: str = v.T
     for p in parts[1:]:
         every = every.unionByName(p)
     return metrics.rank_metrics(every, "y", "p", ["version"]).select("version", "roc_auc")
+
+
+# ---- versions of whole bundles -----------------------------------------------------
+
+def publish(trained: Trained, root: str, version: str, now: str) -> None:
+    """Store a bundle under its version and register it; it isn't active yet. A version is written once."""
+    spark = trained.reference.sparkSession
+    save(trained, f"{root}/bundles/{version}")
+    best = {s["candidate"]: s for s in trained.validation}[trained.champion]
+    cut = trained.model.cutoffs
+    stores.register(spark, root, version, {
+        "created_at": now, "algorithm": trained.champion, "feature_count": len(trained.numeric) + len(trained.categorical), "roc_auc": best["roc_auc"],
+        "thresholds": {"low": cut.low, "high": cut.high, "decision": cut.decision}})
+
+
+def active_bundle(spark: SparkSession, root: str) -> Bundle:
+    row = registry.active_pointer(stores.registry_tables(spark, root)[1]).first()
+    if row is None:
+        raise FileNotFoundError("no active model")
+    return load(spark, f"{root}/bundles/{row['active_version']}")
+
+
+def retraining_run(frame: DataFrame, candidates: Sequence[pipeline.Candidate], root: str, version: str, now: str,
+                   holdout: DataFrame | None = None, target: str = v.TARGET, **params) -> DataFrame:
+    """Train a challenger, store it without activating it, score it and the active version on one and the same
+    hold-out (the challenger's test rows by default), and activate it only if it wins by the required margin.
+
+    One row: both versions with their AUC there, ``promoted`` and ``reason``. Without an active version the challenger becomes it.
+    """
+    spark = frame.sparkSession
+    trained = train(frame, candidates, target, **params)
+    publish(trained, root, version, now)
+    current = registry.active_pointer(stores.registry_tables(spark, root)[1]).first()
+    champion = current["active_version"] if current else None
+    rows = holdout if holdout is not None else trained.test
+    bundles = {n: load(spark, f"{root}/bundles/{n}") for n in dict.fromkeys([version, champion]) if n}
+    aucs = {r["version"]: r["roc_auc"] for r in compare_on(rows, bundles, target).collect()}  # two rows
+    one = spark.createDataFrame([(version, aucs.get(version), champion, aucs.get(champion))],
+                                "challenger_version string, challenger_auc double, champion_version string, champion_auc double")
+    decided = one.withColumns(retrain.promotion(*[F.col(c) for c in one.columns]))
+    done = decided.first()
+    if done["promoted"]:
+        stores.set_active(spark, root, version, now)
+    return spark.createDataFrame([done], decided.schema)

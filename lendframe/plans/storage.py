@@ -108,3 +108,32 @@ def stored_model_scores(spark, sf):
     out = training.load(spark, root).score(_frame(spark, sf), with_fraud=True, factors=3)
     return out.select("application_id", "probability", "risk_score", "risk_level", "fraud_flag",
                       F.array_join(F.transform("factors", lambda f: f["raw_feature"]), ",").alias("factors"))
+
+
+@query
+def retraining_versions(spark, sf):
+    """Two versions trained on the applications (the first on half of them), compared on one hold-out, the second
+    promoted if it wins; then the active one scores every application."""
+    root = shared_folder(spark, "versions")
+    lr = pipeline.candidates()[:1]
+    frame = _frame(spark, sf)
+    given = dict(target="Default", id_col="application_id", numeric=NUMERIC, categorical=CATEGORICAL, draws=0)
+    first = training.retraining_run(frame.filter("application_id % 2 = 0"), lr, root, "v1", "2024-01-01", **given)
+    second = training.retraining_run(frame, lr, root, "v2", "2024-02-01", **given)
+    scored = training.active_bundle(spark, root).score(frame).agg(F.count("risk_score").alias("scored")).select("scored").scalar()
+    runs = first.unionAll(second)
+    return runs.select("challenger_version", "champion_version", "challenger_auc", "champion_auc", "promoted", "reason", scored.alias("scored"))
+
+
+@query
+def stored_reference_drift(spark, sf):
+    """Drift of the prediction log against a stored model: features and edges come from the bundle, nothing from the caller."""
+    root = shared_folder(spark, "bundle")
+    frame = _frame(spark, sf)
+    training.save(training.train(frame, pipeline.candidates()[:1], "Default", "application_id", NUMERIC, CATEGORICAL, draws=0), root)
+    path = shared_folder(spark, "log")
+    scored = b.scored(b.applications(spark, sf)).withColumn("fraud_flag", F.lit(False))
+    for _ in range(2):  # a batch that is run again is in the log once
+        stores.append_predictions(stores.prediction_rows(scored, "v1", now=F.lit("2024-01-01").cast("timestamp")), path, batch="2024-01-01")
+    log = readers.flat_predictions(stores.read_predictions(spark, path))
+    return training.load(spark, root).drift(log)

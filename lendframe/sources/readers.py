@@ -124,12 +124,12 @@ def parse_lines(lines: DataFrame, schema: T.StructType, line: str = "value") ->
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Tolerant read of a JSON-lines log: malformed and blank lines are skipped."""
-    return parse_lines(spark.read.text(path), schema).filter(F.col("_bad").isNull()).drop("_bad")
+    return parse_lines(spark.read.option("recursiveFileLookup", True).text(path), schema).filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines a tolerant read leaves out."""
-    return parse_lines(spark.read.text(path), schema).filter(F.col("_bad").isNotNull()).select("_bad")
+    return parse_lines(spark.read.option("recursiveFileLookup", True).text(path), schema).filter(F.col("_bad").isNotNull()).select("_bad")
 
 
 def flat_predictions(log: DataFrame) -> DataFrame:

@@ -98,9 +98,21 @@ def prediction_rows(scored: DataFrame, version: str, event: str = "predict", now
                  get("probability", "double").alias("probability"), get("fraud_flag", "boolean").alias("fraudFlag")).alias("response"))
 
 
-def append_predictions(rows: DataFrame, path: str) -> None:
-    """Append to the JSON log, partitioned by day so that a tail read prunes by date."""
-    rows.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
+def _append(rows: DataFrame, path: str, keys: list[str], batch: str | None) -> None:
+    """Append JSON lines; rows of a named batch replace what an earlier run of that batch wrote, and nothing else."""
+    if batch is not None:
+        rows, keys = rows.withColumn("batch", F.lit(batch)), [*keys, "batch"]
+    out = rows.write.mode("append") if batch is None else rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.partitionBy(*keys) if keys else out).json(path)
+
+
+def append_predictions(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to the JSON log, partitioned by day so that a tail read prunes by date.
+
+    With ``batch`` (a name that a rerun repeats) each batch is in the log once, however often it is written;
+    a log is written either with batches or without.
+    """
+    _append(rows.withColumn("date", F.to_date("timestamp")), path, ["date"], batch)
 
 
 def read_predictions(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -109,7 +121,7 @@ def read_predictions(spark: SparkSession, path: str, since: str | None = None) -
     if since:
         lines = lines.filter(F.col("date") >= F.lit(since).cast("date"))
     parsed = readers.parse_lines(lines, readers.PREDICTION_SCHEMA)
-    return parsed.filter(F.col("_bad").isNull()).drop("_bad", "date")
+    return parsed.filter(F.col("_bad").isNull()).drop("_bad", "date", "batch")
 
 
 def outcome_rows(applications: DataFrame, defaulted: str, id_col: str, now: Column | None = None) -> DataFrame:
@@ -120,21 +132,26 @@ def outcome_rows(applications: DataFrame, defaulted: str, id_col: str, now: Colu
                        F.col(defaulted).cast("boolean").cast("int").alias(v.TARGET))
 
 
-def append_json(rows: DataFrame, path: str) -> None:
-    """Append outcome or performance-history rows."""
-    rows.write.mode("append").json(path)
+def append_json(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append outcome or performance-history rows; with ``batch``, once however often that batch is written."""
+    _append(rows, path, [], batch)
 
 
 # ---- model registry -------------------------------------------------------------
 
+def register(spark: SparkSession, root: str, version: str, metadata: dict) -> None:
+    """Append a version's registry row; what the version consists of was written before."""
+    row = {f.name: metadata.get(f.name) for f in registry.REGISTRY_SCHEMA.fields} | {"version": version}
+    spark.createDataFrame([tuple(row[f.name] for f in registry.REGISTRY_SCHEMA.fields)], registry.REGISTRY_SCHEMA) \
+        .write.mode("append").parquet(f"{root}/registry")
+
+
 def save_model(spark: SparkSession, root: str, version: str, model, metadata: dict, activate: bool = True,
                now: str | None = None) -> None:
     """Store a fitted pipeline under its version and append the registry row; then,
     if asked, activate it."""
     model.write().save(f"{root}/models/{version}")
-    row = {f.name: metadata.get(f.name) for f in registry.REGISTRY_SCHEMA.fields} | {"version": version}
-    spark.createDataFrame([tuple(row[f.name] for f in registry.REGISTRY_SCHEMA.fields)], registry.REGISTRY_SCHEMA) \
-        .write.mode("append").parquet(f"{root}/registry")
+    register(spark, root, version, metadata)
     if activate:
         set_active(spark, root, version, now)
 

@@ -375,3 +375,40 @@ def test_search_folds_are_even_within_a_split(spark, monkeypatch):
             pipeline.search(rows, pipeline.candidates()[0], sample=sample)
         counts = seen.value.args[0]
         assert set(counts) == set(range(5)) and max(counts.values()) < 1.5 * min(counts.values())
+
+
+# ---- versions and batches ---------------------------------------------------------------
+
+def test_a_batch_is_in_the_log_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "period string, n_observations long")
+    path = str(tmp_path / "history")
+    for batch in ("1", "1", "2"):
+        stores.append_json(rows, path, batch)
+    assert readers.read_lines(spark, path, readers.HISTORY_SCHEMA).count() == 4
+    log = str(tmp_path / "log")
+    scored = spark.range(3).select(F.col("id").alias("application_id"), F.lit(0.5).alias("probability"))
+    for batch, day in (("x", "2024-01-01"), ("x", "2024-01-01"), ("y", "2024-01-01"), ("z", "2024-01-02"), ("z", "2024-01-02")):
+        stores.append_predictions(stores.prediction_rows(scored, "v1", now=F.lit(day + " 10:00:00").cast("timestamp")), log, batch)
+    assert stores.read_predictions(spark, log).count() == 9 and stores.read_predictions(spark, log, since="2024-01-02").count() == 3
+
+
+def test_retraining_promotes_only_a_better_version(spark, tmp_path):
+    from lendframe.learn import training
+
+    u = lambda k: F.pmod(F.xxhash64("row", F.lit(k)), F.lit(1000)) / F.lit(1000.0)
+    rows = spark.range(900).select(F.col("id").alias("row")).select("row", u(1).alias("a"), u(2).alias("b"), F.lit("k").alias("c"),
+                                                                   (u(3) < u(1)).cast("int").alias("bad")).cache()
+    noise = rows.withColumn("bad", (u(5) < 0.5).cast("int"))
+    root = str(tmp_path)
+    lr = pipeline.candidates("bad")[:1]
+    given = dict(target="bad", id_col="row", numeric=["a", "b"], categorical=["c"], draws=0, holdout=rows)
+    one = training.retraining_run(noise, lr, root, "v1", "1", **given).first()
+    assert one["promoted"] and one["champion_version"] is None
+    two = training.retraining_run(rows, lr, root, "v2", "2", **given).first()
+    assert two["promoted"] and two["champion_version"] == "v1" and two["challenger_auc"] > 0.7 > two["champion_auc"] and "beats champion" in two["reason"]
+    three = training.retraining_run(rows, lr, root, "v3", "3", **given).first()
+    assert not three["promoted"] and "stays active" in three["reason"]
+    active = lambda: training.active_bundle(spark, root).score(rows).agg(F.avg("probability")).first()[0]
+    best = training.load(spark, root + "/bundles/v2").score(rows).agg(F.avg("probability")).first()[0]
+    assert active() == best
+    assert stores.rollback(spark, root, now="4") == "v1" and active() != best
