@@ -765,3 +765,37 @@ SQL["performance_history"] = with_(LAB, "lp AS (SELECT *, 'p' || (doc_id % 4) AS
  f"cm AS ({CM.format(k='period,', s='lp', g='GROUP BY period')})",
  "SELECT period, round((tp + tn) / CAST(n AS DOUBLE), 6) AS accuracy, round(roc_auc, 6) AS roc_auc,"
  " round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0e0), 6) AS recall, n AS n_observations FROM cm JOIN rk USING (period)")
+
+# ---- records, folds and projections ----------------------------------------------------------------
+
+
+def _broken(record: str, table: str, rules: dict[str, str]) -> str:
+    listed = ", ".join(f"CASE WHEN {sql} THEN '{rule}' END" for rule, sql in rules.items())
+    return f"SELECT '{record}' AS record, unnest([{listed}]) AS rule FROM {table}"
+
+
+_K, _C, _P = "o_orderkey", "c_custkey", "(n_chars / (n_chars + 2048e0))"
+SQL["record_constraints"] = "SELECT record, rule, count(*) AS n FROM (" + " UNION ALL ".join([
+    _broken("risk_score", "orders", {
+        "applicationId:required": f"{_K} % 41 = 0", "riskScore:required": f"{_K} % 43 = 0", "riskScore:range": f"{_K} % 43 <> 0 AND ({_K} % 130 < 10 OR {_K} % 130 > 110)",
+        "riskLevel:enum": f"{_K} % 4 = 3", "confidenceScore:range": f"{_K} % 12 = 11"}),
+    _broken("decision", "orders", {
+        "applicationId:required": f"{_K} % 41 = 0", "decidedBy:required": f"{_K} % 7 = 0", "aiRecommendation:enum": f"{_K} % 4 = 3",
+        "finalDecision:enum": f"{_K} % 4 = 2", "overrideReason:length": f"{_K} % 10 > 5"}),
+    _broken("audit", "orders", {
+        "actorType:required": f"{_K} % 6 = 5", "actorType:enum": f"{_K} % 6 = 4", "action:length": f"{_K} % 10 > 5", "details:length": f"{_K} % 10 > 5"}),
+    _broken("metric", "(SELECT doc_id, n_chars FROM documents JOIN labels USING (doc_id))", {
+        "date:required": "doc_id % 11 = 0", "accuracy:range": f"{_P} * 1.5e0 > 1", "driftScore:range": f"{_P} - 0.2e0 < 0", "agreementRate:range": f"{_P} * 1.25e0 > 1"}),
+    _broken("notification", "customer", {
+        "userId:required": f"{_C} % 41 = 0", "title:length": f"{_C} % 10 > 5", "message:length": f"{_C} % 10 > 5", "type:enum": f"{_C} % 3 = 2"}),
+    _broken("user", "customer", {
+        "name:required": f"{_C} % 13 = 0", "email:pattern": f"{_C} % 4 <> 0", "password:length": f"{_C} % 10 < 6", "role:enum": f"{_C} % 4 = 3", "status:enum": f"{_C} % 3 = 2"}),
+]) + ") WHERE rule IS NOT NULL GROUP BY 1, 2"
+SQL["fold_metrics"] = f"""
+WITH l AS (SELECT doc_id % 5 AS fold, quality AS y, {_P} AS p FROM documents JOIN labels USING (doc_id)),
+f AS (SELECT fold, avg(CAST((p >= 0.5e0) = (y = 1) AS INT)) AS accuracy,
+  coalesce(count(*) FILTER (p >= 0.5e0 AND y = 1) / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE), 0), 0) AS recall FROM l GROUP BY 1)
+SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, round(avg(recall), 6) AS recall_mean, round(stddev_pop(recall), 6) AS recall_std FROM f"""
+SQL["public_profiles"] = "SELECT c_custkey AS user_id, c_name AS name, c_name || '@bank.org' AS email, 'applicant' AS role, 'active' AS status FROM customer"
+SQL["financial_limits"] = with_(APP, repaired("app"), derived_ctes("rep"), """
+SELECT "LoanPurpose", count(*) FILTER ("DTIRatio" <= 0.36e0) AS dti_ok, count(*) FILTER ("LoanToIncomeRatio" <= 4e0) AS lti_ok, count(*) AS n FROM der GROUP BY 1""")

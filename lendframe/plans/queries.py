@@ -805,3 +805,57 @@ def stratified_folds(spark, sf):
     from ..learn.preprocess import fold_column
     folds = _positions(spark, sf).withColumn("fold", fold_column("position", 5))
     return folds.groupBy("Default", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def record_constraints(spark, sf):
+    """Broken rules per kind of operational record, over records made from orders, customers and labelled documents."""
+    k, c, d = F.col("o_orderkey"), F.col("c_custkey"), F.col("doc_id")
+    orders, people, cohorts = b.table(spark, sf, "orders"), b.table(spark, sf, "customer"), b.labelled(spark, sf)
+    app = F.when(k % 41 != 0, k).alias("applicationId")
+    text = lambda letter, least, n: F.repeat(F.lit(letter), (F.lit(least) + n % 10).cast("int"))
+    records = {
+        "risk_score": (orders.select(app, F.when(k % 43 != 0, k % 130 - 10).alias("riskScore"), b.pick(k % 4, "low", "medium", "high", "extreme").alias("riskLevel"),
+                                     ((k % 12).cast("double") / F.lit(10.0)).alias("confidenceScore")), quality.risk_score_rules()),
+        "decision": (orders.select(app, F.when(k % 7 != 0, F.col("o_custkey")).alias("decidedBy"),
+                                   b.pick(k % 4, "approve", "reject", "review", "maybe").alias("aiRecommendation"),
+                                   b.pick(k % 4, "approve", "reject", "review", None).alias("finalDecision"), text("x", 495, k).alias("overrideReason")), quality.decision_rules()),
+        "audit": (orders.select(b.pick(k % 6, "AI", "Officer", "Admin", "System", "Robot", None).alias("actorType"), text("a", 195, k).alias("action"),
+                                text("d", 995, k).alias("details")), quality.audit_rules()),
+        "metric": (cohorts.select(F.when(d % 11 != 0, d).alias("date"), (F.col("p") * 1.5).alias("accuracy"), F.col("p").alias("aucRoc"),
+                                  (F.col("p") - 0.2).alias("driftScore"), (F.col("p") * 1.25).alias("agreementRate")), quality.metric_rules()),
+        "notification": (people.select(F.when(c % 41 != 0, c).alias("userId"), text("t", 195, c).alias("title"), text("m", 995, c).alias("message"),
+                                       b.pick(c % 3, "status_update", "system", "advert").alias("type")), quality.notification_rules()),
+        "user": (people.select(F.when(c % 13 != 0, F.col("c_name")).alias("name"), F.concat("c_name", b.pick(c % 4, "@bank.org", "@bank", "bank.org", " @bank.org")).alias("email"),
+                               text("p", 0, c).alias("password"), b.pick(c % 4, "applicant", "officer", "admin", "guest").alias("role"),
+                               b.pick(c % 3, "active", "suspended", "closed").alias("status")), quality.user_rules()),
+    }
+    parts = [quality.violation_counts(quality.constraint_check(df, rules)).select(F.lit(name).alias("record"), "rule", "n") for name, (df, rules) in records.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query
+def fold_metrics(spark, sf):
+    """Mean and population deviation over five folds of the metrics of labelled documents."""
+    folds = b.labelled(spark, sf).withColumn("fold", F.col("doc_id") % 5)
+    per = metrics.classification_metrics(folds, "y", "p", 0.5, ["fold"])
+    return rounded(metrics.fold_summary(per, ["accuracy", "recall"]), "accuracy_mean", "accuracy_std", "recall_mean", "recall_std")
+
+
+@query
+def public_profiles(spark, sf):
+    """Customers as users with their secrets; only the public columns come out."""
+    c = b.table(spark, sf, "customer")
+    users = c.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.concat("c_name", F.lit("@bank.org")).alias("email"),
+                     F.lit("applicant").alias("role"), F.lit("active").alias("status"), F.sha2("c_name", 256).alias("password"), F.lit("t").alias("refreshToken"))
+    return portfolio.public_users(users)
+
+
+@query
+def financial_limits(spark, sf):
+    """Applications within the limits on debt to income and on loan to income, by purpose."""
+    a = features.derived(quality.repair(b.applications(spark, sf))).withColumns(portfolio.financial_flags())
+    return a.groupBy("LoanPurpose").agg(*[F.count_if(F.col(c)).alias(c) for c in ("dti_ok", "lti_ok")], F.count(F.lit(1)).alias("n"))
