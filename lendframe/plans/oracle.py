@@ -799,3 +799,5 @@ SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6)
 SQL["public_profiles"] = "SELECT c_custkey AS user_id, c_name AS name, c_name || '@bank.org' AS email, 'applicant' AS role, 'active' AS status FROM customer"
 SQL["financial_limits"] = with_(APP, repaired("app"), derived_ctes("rep"), """
 SELECT "LoanPurpose", count(*) FILTER ("DTIRatio" <= 0.36e0) AS dti_ok, count(*) FILTER ("LoanToIncomeRatio" <= 4e0) AS lti_ok, count(*) AS n FROM der GROUP BY 1""")
+SQL["stream_outcomes"] = f"""
+SELECT count(*) AS new_outcomes, count(*) >= {v.OUTCOME_BACKLOG} AS retrain FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '1996-01-01'"""

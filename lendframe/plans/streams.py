@@ -75,3 +75,14 @@ def stream_decisions(spark, sf):
     jobs.start_decisions(apps, b.scored, root + "/out", root + "/ckpt").awaitTermination()
     return spark.read.parquet(root + "/out/decisions").select(
         "application_id", "risk_score", "fraud_probability", "fraud_flag", "ai_recommendation", "status", "final_decision")
+
+
+@query
+def stream_outcomes(spark, sf):
+    """Outcomes recorded since the last training, counted over the stream of decided orders."""
+    recorded = jobs.event_time(_stream(spark, sf, "orders").filter("o_orderstatus <> 'P'").withColumnRenamed("o_orderdate", "recorded_at"), "recorded_at")
+    root = shared_folder(spark, "outcomes")
+    counted = jobs.outcome_backlog(recorded, F.lit("1996-01-01").cast("timestamp"))
+    (counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(root + "/out"))
+     .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(counted.schema).parquet(root + "/out")
