@@ -9,6 +9,7 @@ inside whole-stage code generation.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +147,13 @@ def percent(c: Column, places: int = 0) -> Column:
     return F.concat(plain(c * F.lit(100.0), places), F.lit("%"))
 
 
+def worded(sentence: str, **slots: Column) -> Column:
+    """A sentence with its named slots filled by columns; it is taken apart when the plan is built."""
+    pieces = Formatter().parse(sentence)
+    return F.concat(*[c for text, slot, _, _ in pieces for c in
+                      ([F.lit(text)] if text else []) + ([slots[slot]] if slot else [])])
+
+
 def sentence_list(items: Column) -> Column:
     """['a','b','c'] -> 'a, b and c'."""
     n = F.size(items)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from string import Formatter
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, fixed, half_even, percent, plain, sentence_list
+from ..functions.expr import first_match, fixed, half_even, percent, plain, sentence_list, worded
 
 
 def source_groups(encoded: Sequence[str]) -> dict[str, list[int]]:
@@ -88,77 +89,18 @@ def global_importance(df: DataFrame, contribs: str, k: int = 15) -> DataFrame:
                         ).orderBy(F.desc("importance"), "feature").limit(k)
 
 
-# ---- wording: (feature, impact) -> (text before the value, format, text after) ----
-# The phrases shown to people. Formats: "n0".."n2" number with that many
-# decimals, "pct" percent, "raw" text as it is, "" no value in the phrase.
-
-PHRASES: dict[tuple[str, str], tuple[str, str, str]] = {
-    ("CreditScore", "negative"): ("a credit score of ", "n0", ", which is below the level associated with reliable repayment"),
-    ("CreditScore", "positive"): ("a credit score of ", "n0", ", which indicates a solid repayment record"),
-    ("DTIRatio", "negative"): ("a debt-to-income ratio of ", "n2", ", meaning a large share of income already services existing debt"),
-    ("DTIRatio", "positive"): ("a manageable debt-to-income ratio of ", "n2", ""),
-    ("TotalDebtServiceRatio", "negative"): ("total debt payments (including this loan) consuming about ", "pct", " of income"),
-    ("TotalDebtServiceRatio", "positive"): ("total debt payments (including this loan) staying near ", "pct", " of income"),
-    ("LoanToIncomeRatio", "negative"): ("a requested amount worth ", "n1", "x annual income"),
-    ("LoanToIncomeRatio", "positive"): ("a requested amount of only ", "n1", "x annual income"),
-    ("InstalmentToIncomeRatio", "negative"): ("a monthly instalment absorbing roughly ", "pct", " of monthly income"),
-    ("InstalmentToIncomeRatio", "positive"): ("a monthly instalment of roughly ", "pct", " of monthly income, which is comfortably affordable"),
-    ("Income", "negative"): ("an annual income of ", "n0", ", which is low relative to the amount requested"),
-    ("Income", "positive"): ("an annual income of ", "n0", " that supports the requested amount"),
-    ("LoanAmount", "negative"): ("a requested amount of ", "n0", ", which is large for this profile"),
-    ("LoanAmount", "positive"): ("a moderate requested amount of ", "n0", ""),
-    ("InterestRate", "negative"): ("an offered interest rate of ", "n2", "%, which raises the cost of servicing the loan"),
-    ("InterestRate", "positive"): ("a favourable interest rate of ", "n2", "%"),
-    ("MonthsEmployed", "negative"): ("only ", "n0", " months in the current job, which is a short employment history"),
-    ("MonthsEmployed", "positive"): ("", "n0", " months of continuous employment"),
-    ("EmploymentStabilityScore", "negative"): ("limited employment stability", "", ""),
-    ("EmploymentStabilityScore", "positive"): ("a stable employment record", "", ""),
-    ("EmploymentType", "negative"): ("'", "raw", "' employment, which carries less predictable income"),
-    ("EmploymentType", "positive"): ("'", "raw", "' employment, which provides predictable income"),
-    ("Age", "negative"): ("an age of ", "n0", ", a band that historically shows higher default rates"),
-    ("Age", "positive"): ("an age of ", "n0", ", a band associated with stable repayment"),
-    ("AgeRiskBand", "negative"): ("an age band with a higher historical default rate", "", ""),
-    ("AgeRiskBand", "positive"): ("an age band with a lower historical default rate", "", ""),
-    ("NumCreditLines", "negative"): ("", "n0", " open credit lines, indicating obligations spread across several lenders"),
-    ("NumCreditLines", "positive"): ("a contained number of open credit lines (", "n0", ")"),
-    ("LoanTerm", "negative"): ("a ", "n0", "-month term, which extends the window in which circumstances can change"),
-    ("LoanTerm", "positive"): ("a ", "n0", "-month term that limits exposure"),
-    ("ThinFileScore", "negative"): ("a thin credit file, leaving little history to assess", "", ""),
-    ("ThinFileScore", "positive"): ("a well-established credit file", "", ""),
-    ("AlternateDataScore", "negative"): ("few supporting signals outside the credit bureau record", "", ""),
-    ("AlternateDataScore", "positive"): ("supporting signals outside the credit bureau record, such as a serviced mortgage and stable employment", "", ""),
-    ("CollateralSupportScore", "negative"): ("no co-signer or secured purpose to offset the exposure", "", ""),
-    ("CollateralSupportScore", "positive"): ("collateral or guarantor support that offsets the exposure", "", ""),
-    ("HasCoSigner", "negative"): ("no co-signer on the application", "", ""),
-    ("HasCoSigner", "positive"): ("a co-signer supporting the application", "", ""),
-    ("HasMortgage", "negative"): ("no existing mortgage to evidence long-term repayment", "", ""),
-    ("HasMortgage", "positive"): ("an existing mortgage evidencing long-term repayment", "", ""),
-    ("HasDependents", "negative"): ("dependents adding to committed household expenditure", "", ""),
-    ("HasDependents", "positive"): ("no dependents drawing on household income", "", ""),
-    ("CreditUtilizationProxy", "negative"): ("high estimated utilisation of available credit", "", ""),
-    ("CreditUtilizationProxy", "positive"): ("low estimated utilisation of available credit", "", ""),
-    ("LoanPurpose", "negative"): ("a '", "raw", "' loan purpose, which carries higher historical loss rates"),
-    ("LoanPurpose", "positive"): ("a '", "raw", "' loan purpose, which carries lower historical loss rates"),
-    ("Education", "negative"): ("an education level of '", "raw", "'"),
-    ("Education", "positive"): ("an education level of '", "raw", "'"),
-    ("MaritalStatus", "negative"): ("a marital status of '", "raw", "'"),
-    ("MaritalStatus", "positive"): ("a marital status of '", "raw", "'"),
-}
-MONEY_FIELDS = ("Income", "LoanAmount")
-LEVEL_WORDS = {"low": "low risk", "medium": "moderate risk", "high": "high risk"}
-ADVICE_BY_LEVEL = {
-    "low": "A score below 25 falls inside the automatic approval band.",
-    "high": "A score at or above 75 falls inside the automatic decline band; an officer may "
-            "still override with documented justification.",
-    "medium": "This score falls between the automatic approval and decline bands, so the "
-              "application is routed to an officer for review.",
-}
-
+# ---- wording -----------------------------------------------------------------------
 
 def phrase_table() -> Column:
-    """The phrases as one literal map, so that they travel in the plan and need no join."""
-    return F.create_map(*[x for (f, i), (a, fmt, b) in PHRASES.items() for x in (
-        F.lit(f"{f}|{i}"), F.struct(F.lit(a).alias("a"), F.lit(fmt).alias("f"), F.lit(b).alias("b")))])
+    """The phrases as one literal map, so that they travel in the plan and need no join: for each the text
+    round its slot and the slot's name ("" for none)."""
+    def around(sentence: str) -> Column:
+        pieces = [(text, slot) for text, slot, _, _ in Formatter().parse(sentence)]
+        before, slot = pieces[0]
+        after = "".join(text for text, _ in pieces[1:])
+        return F.struct(F.lit(before).alias("a"), F.lit(slot or "").alias("f"), F.lit(after).alias("b"))
+
+    return F.create_map(*[x for (f, i), sentence in v.FACTOR_PHRASES.items() for x in (F.lit(f"{f}|{i}"), around(sentence))])
 
 
 def clauses(items: Column) -> Column:
@@ -173,13 +115,12 @@ def clauses(items: Column) -> Column:
 
     def word(t: Column) -> Column:
         f, x, phrase = t["f"], t["x"], t["p"]
-        missing = first_match([(phrase["f"] == "pct", "a significant share"),
-                               (f["raw_feature"].isin(*MONEY_FIELDS), "the amount provided")],
-                              "the value provided")
+        missing = first_match([(phrase["f"] == "percent", v.SHARE_MISSING),
+                               (f["raw_feature"].isin(*v.MONEY_FIELDS), v.MONEY_MISSING)], v.VALUE_MISSING)
         shown = first_match([
-            (phrase["f"] == "", ""), (phrase["f"] == "raw", F.coalesce(f["value"], F.lit("None"))),
-            (x.isNull(), missing), (phrase["f"] == "pct", percent(x)), (phrase["f"] == "n1", fixed(x, 1)),
-            (phrase["f"] == "n2", fixed(x, 2))], fixed(x, 0))
+            (phrase["f"] == "", ""), (phrase["f"] == "text", F.coalesce(f["value"], F.lit("None"))),
+            (x.isNull(), missing), (phrase["f"] == "percent", percent(x)), (phrase["f"] == "tenths", fixed(x, 1)),
+            (phrase["f"] == "hundredths", fixed(x, 2))], fixed(x, 0))
         label = F.lower(f["feature"])
         return F.when(phrase.isNotNull(), F.concat(phrase["a"], shown, phrase["b"])).when(
             f["value"].isNull(), label).otherwise(F.concat(label, F.lit(" of "), f["value"]))
@@ -198,42 +139,29 @@ def with_narrative(df: DataFrame, factors: str = "factors", audience: str = "off
     staged = df.withColumns({"_adverse": of("negative"), "_favourable": of("positive")})
     score, level, p, conf = (F.col(c) for c in ("risk_score", "risk_level", "probability", "confidence"))
     adverse, favourable = F.col("_adverse"), F.col("_favourable")
-    words = first_match([(level == k, w) for k, w in LEVEL_WORDS.items()], F.concat(level, F.lit(" risk")))
+    words = first_match([(level == k, w) for k, w in v.LEVEL_WORDS.items()], F.concat(level, F.lit(" risk")))
+    advice = first_match([(level == k, t) for k, t in v.ADVICE_BY_LEVEL.items()], v.ADVICE_BY_LEVEL["medium"])
+    say = lambda name, **slots: worded(v.NARRATIVE[name], **slots)
     sure = percent(conf)
-    tail = [F.when(level == k, F.lit(t)) for k, t in ADVICE_BY_LEVEL.items() if k != "medium"]
     parts = [
-        F.concat(F.lit("This application scores "), plain(score), F.lit(" out of 100 and is classified as "), words,
-                 F.lit(", corresponding to an estimated "), plain(p * 100.0, 1), F.lit("% probability of default.")),
-        F.when(F.size(adverse) > 0, F.concat(
-            F.lit("The main factors increasing risk are "), sentence_list(adverse), F.lit("."))),
-        F.when(F.size(favourable) > 0, F.concat(
-            F.lit("Working in the applicant's favour: "), sentence_list(favourable), F.lit("."))),
-        first_match([
-            (conf >= F.lit(0.85), F.concat(F.lit("Model confidence is high ("), sure, F.lit(
-                "); the profile sits well clear of the boundaries between risk bands."))),
-            (conf >= F.lit(0.70), F.concat(F.lit("Model confidence is moderate ("), sure, F.lit(").")))],
-            F.concat(F.lit("Model confidence is low ("), sure, F.lit(
-                ") because this profile sits close to a risk-band boundary. Manual review is "
-                "recommended before acting on the score."))),
+        say("score", score=plain(score), level=words, probability=plain(p * 100.0, 1)),
+        F.when(F.size(adverse) > 0, say("adverse", factors=sentence_list(adverse))),
+        F.when(F.size(favourable) > 0, say("favourable", factors=sentence_list(favourable))),
+        first_match([(conf >= F.lit(0.85), say("sure", confidence=sure)),
+                     (conf >= F.lit(0.70), say("fairly_sure", confidence=sure))], say("unsure", confidence=sure)),
     ]
     if fraud:
-        parts.append(F.when(F.col("fraud_flag"), F.concat(
-            F.lit("Automated screening raised a data-consistency flag on this application: "),
-            F.array_join(F.slice("fraud_reasons", 1, 2), " "),
-            F.lit(" This must be resolved before a decision is issued."))))
-    parts.append(F.coalesce(*tail, F.lit(ADVICE_BY_LEVEL["medium"])))
+        parts.append(F.when(F.col("fraud_flag"), say("fraud", reasons=F.array_join(F.slice("fraud_reasons", 1, 2), " "))))
+    parts.append(advice)
     if audience == "applicant":
-        parts.append(F.when(F.size(adverse) > 0, F.concat(
-            F.lit("The most effective way to improve this assessment would be to address "),
-            F.try_element_at(adverse, F.lit(1)), F.lit("."))))
+        parts.append(F.when(F.size(adverse) > 0, say("improve", factor=F.try_element_at(adverse, F.lit(1)))))
     return staged.withColumn(output, F.array_compact(F.array(*parts))).drop("_adverse", "_favourable")
 
 
 def factor_description(factor: Column) -> Column:
     shown = F.coalesce(F.concat(F.lit(" (value: "), factor["value"], F.lit(")")), F.lit(""))
     verb = F.when(factor["impact"] == "negative", "increases").otherwise("reduces")
-    return F.concat(factor["feature"], shown, F.lit(" "), verb, F.lit(" assessed risk, accounting for "),
-                    percent(factor["weight"]), F.lit(" of the factors considered."))
+    return worded(v.FACTOR_LINE, feature=factor["feature"], shown=shown, verb=verb, weight=percent(factor["weight"]))
 
 
 def describe_factors(factors: str = "factors") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, half_even, percent, plain, values_of
+from ..functions.expr import first_match, half_even, percent, plain, values_of, worded
 
 
 def approved_by_score(score: Column | str) -> Column:
@@ -82,11 +82,9 @@ def audit(stats: DataFrame) -> DataFrame:
 
 def alert_sentence() -> Column:
     c = F.col
-    return F.when(c("bias_alert"), F.concat(
-        c("attribute"), F.lit(": approval rate for '"), c("least_favoured"), F.lit("' is "),
-        percent(c("least_favoured_rate"), 1), F.lit(" vs "), percent(c("most_favoured_rate"), 1),
-        F.lit(" for '"), c("most_favoured"), F.lit("' (disparate impact ratio "),
-        plain(c("disparate_impact_ratio"), 2), F.lit(").")))
+    return F.when(c("bias_alert"), worded(
+        v.BIAS_ALERT, attribute=c("attribute"), least=c("least_favoured"), least_rate=percent(c("least_favoured_rate"), 1),
+        most_rate=percent(c("most_favoured_rate"), 1), most=c("most_favoured"), ratio=plain(c("disparate_impact_ratio"), 2)))
 
 
 def report_totals(df: DataFrame, score: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, fixed, half_even, percent_change, plain, values_of
+from ..functions.expr import first_match, fixed, half_even, percent_change, plain, values_of, worded
 from ..session import cut_lineage
 
 
@@ -33,40 +33,22 @@ def consistency_rules(missing_is_unknown: bool = False) -> list[tuple[str, float
         _value(c, 0) for c in ("Income", "LoanAmount", "MonthsEmployed", "NumCreditLines", "DTIRatio"))
     job = F.coalesce(F.col("EmploymentType"), F.lit(""))
     know = lambda c: F.col(c).isNotNull() if missing_is_unknown else F.lit(True)
-    say = F.concat
-    text = F.lit
-    years, points = plain(age), plain(score)
+    say = lambda rule, **slots: worded(v.FRAUD_REASONS[rule], **slots)
     multiple = F.try_divide(loan, income)
     round_figure = lambda c: (c > 0) & (c % F.lit(10000.0) == 0)
     return [
-        ("INCOME_EMPLOYMENT_MISMATCH", 0.35, (job == "Unemployed") & (income > 75_000),
-         say(text("Declared income of "), fixed(income),
-             text(" is inconsistent with 'Unemployed' employment status."))),
-        ("INCOME_EMPLOYMENT_MISMATCH", 0.20, (job == "Part-time") & (income > 120_000),
-         say(text("Declared income of "), fixed(income),
-             text(" is unusually high for part-time employment."))),
-        ("TENURE_EXCEEDS_AGE", 0.40,
-         months > F.greatest((age - F.lit(16.0)) * F.lit(12.0), F.lit(0.0)),
-         say(text("Employment tenure of "), plain(months),
-             text(" months is impossible for an applicant aged "), years, text("."))),
-        ("CREDIT_HISTORY_AGE_MISMATCH", 0.25, (age < 22) & (lines >= 4),
-         say(plain(lines), text(" open credit lines is atypical for an applicant aged "), years,
-             text("."))),
-        ("CREDIT_SCORE_AGE_MISMATCH", 0.30, (age < 21) & (score > 780),
-         say(text("A credit score of "), points,
-             text(" is not attainable with the credit history length available to an applicant aged "),
-             years, text("."))),
-        ("IMPLAUSIBLE_LOAN_TO_INCOME", 0.25, (income > 0) & (multiple > 8),
-         say(text("Requested amount is "), plain(multiple, 1), text("x declared annual income."))),
-        ("ZERO_INCOME_WITH_LOAN_REQUEST", 0.35, (income <= 0) & (loan > 0) & know("Income"),
-         text("A loan is requested against zero declared income.")),
+        ("INCOME_EMPLOYMENT_MISMATCH", 0.35, (job == "Unemployed") & (income > 75_000), say("unemployed_income", income=fixed(income))),
+        ("INCOME_EMPLOYMENT_MISMATCH", 0.20, (job == "Part-time") & (income > 120_000), say("part_time_income", income=fixed(income))),
+        ("TENURE_EXCEEDS_AGE", 0.40, months > F.greatest((age - F.lit(16.0)) * F.lit(12.0), F.lit(0.0)),
+         say("tenure", months=plain(months), age=plain(age))),
+        ("CREDIT_HISTORY_AGE_MISMATCH", 0.25, (age < 22) & (lines >= 4), say("credit_lines", lines=plain(lines), age=plain(age))),
+        ("CREDIT_SCORE_AGE_MISMATCH", 0.30, (age < 21) & (score > 780), say("young_score", score=plain(score), age=plain(age))),
+        ("IMPLAUSIBLE_LOAN_TO_INCOME", 0.25, (income > 0) & (multiple > 8), say("loan_multiple", multiple=plain(multiple, 1))),
+        ("ZERO_INCOME_WITH_LOAN_REQUEST", 0.35, (income <= 0) & (loan > 0) & know("Income"), say("no_income")),
         ("DTI_CREDIT_SCORE_CONTRADICTION", 0.20, (dti > F.lit(0.85)) & (score > 760),
-         say(text("A debt-to-income ratio of "), plain(dti, 2),
-             text(" is not consistent with a credit score of "), points, text("."))),
-        ("SCORE_WITHOUT_CREDIT_FILE", 0.25, (lines == 0) & (score > 720) & know("NumCreditLines"),
-         say(text("A credit score of "), points, text(" is reported with no open credit lines."))),
-        ("SUSPICIOUSLY_ROUND_FIGURES", 0.10, round_figure(income) & round_figure(loan),
-         text("Both income and loan amount are exact multiples of 10,000.")),
+         say("debt_ratio", ratio=plain(dti, 2), score=plain(score))),
+        ("SCORE_WITHOUT_CREDIT_FILE", 0.25, (lines == 0) & (score > 720) & know("NumCreditLines"), say("no_lines", score=plain(score))),
+        ("SUSPICIOUSLY_ROUND_FIGURES", 0.10, round_figure(income) & round_figure(loan), say("round_figures")),
     ]
 
 
@@ -171,11 +153,8 @@ def resubmission_rule() -> Column:
     n, change, inflated = F.col("occurrence"), F.col("Income_change_pct"), _inflated()
     code = F.when(inflated, "DUPLICATE_WITH_INFLATED_INCOME").otherwise("DUPLICATE_APPLICATION")
     weight = _repeat_weight()
-    reason = F.when(inflated, F.concat(
-        F.lit("An application with matching applicant details was already submitted; "
-              "declared income is now "), plain(change), F.lit("% higher."))).otherwise(F.concat(
-                  F.lit("Matching applicant details were seen in "), (n - 1).cast("string"),
-                  F.lit(" previous application(s).")))
+    reason = F.when(inflated, worded(v.FRAUD_REASONS["inflated_income"], change=plain(change))).otherwise(
+        worded(v.FRAUD_REASONS["seen_before"], times=(n - 1).cast("string")))
     return _rule(n > 1, code, weight, reason)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import first_match, half_even, percent, ratio, values_of
+from ..functions.expr import first_match, half_even, percent, ratio, values_of, worded
 from ..functions.ordered import exact_quantiles, running_totals
 from ..session import cut_lineage
 
@@ -246,19 +246,13 @@ def officer_agreement(decisions: DataFrame, recommended: str = "ai_recommendatio
         F.count_if(both & (a == "approve") & (b == "reject")).alias("approve_to_reject"))
     rate = F.try_divide(F.col("agreed").cast("double"), F.col("sample_size").cast("double"))
     ra, ar = F.col("reject_to_approve"), F.col("approve_to_reject")
-    lean = first_match([
-        (ra > ar, " Officers overturn declines more often than approvals, which suggests the "
-                  "model is too conservative."),
-        (ar > ra, " Officers overturn approvals more often than declines, which suggests the "
-                  "model is too permissive.")], "")
+    lean = first_match([(ra > ar, "conservative"), (ar > ra, "permissive")], "even")
     return one.select(
         half_even(rate, 4).alias("agreement_rate"), "sample_size",
         (ra + ar).alias("override_count"), ra, ar,
         first_match([(rate.isNull(), "no_data"), (rate >= 0.80, "healthy"), (rate >= 0.65, "review")],
                     "concerning").alias("status"),
-        F.when(rate.isNotNull(), F.concat(
-            F.lit("Officers accept the model's recommendation in "), percent(rate),
-            F.lit(" of comparable decisions."), lean)).alias("interpretation"))
+        F.when(rate.isNotNull(), first_match([(lean == way, worded(s, rate=percent(rate))) for way, s in v.AGREEMENT.items()])).alias("interpretation"))
 
 
 def throughput(recent: DataFrame, ts: str, latency: str, score: str, level: str, fraud: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, plain, values_of
+from ..functions.expr import first_match, plain, values_of, worded
 
 
 def deduplicate(df: DataFrame, id_col: str, arrival: str) -> DataFrame:
@@ -52,9 +52,9 @@ def retrain_triggers(drift: DataFrame, trend: DataFrame, outcomes: DataFrame,
         "new_outcomes", drift.select("drift_detected").scalar().alias("drift"),
         t["alert"].alias("degraded"), t["recommendation"].alias("_advice"))
     reasons = F.array_compact(F.array(
-        F.when(F.col("drift"), F.lit("Data or prediction drift exceeded the alert threshold.")),
+        F.when(F.col("drift"), F.lit(v.DRIFT_ALERT)),
         F.when(F.col("degraded"), F.col("_advice")),
-        F.when(n >= backlog, F.concat(n.cast("string"), F.lit(" new realised outcomes are available for training.")))))
+        F.when(n >= backlog, worded(v.OUTCOMES_WAIT, count=n.cast("string")))))
     return staged.select((F.size(reasons) > 0).alias("should_retrain"), reasons.alias("reasons"),
                          F.coalesce("drift", F.lit(False)).alias("drift"),
                          F.coalesce("degraded", F.lit(False)).alias("degraded"), "new_outcomes")
@@ -67,18 +67,12 @@ def promotion(challenger: Column, challenger_auc: Column, champion: Column, cham
     first = champion.isNull() | (champion == challenger)
     enough = gain >= F.lit(gain_needed)
     number = lambda c: plain(c, 4)
-    signed = F.concat(F.when(gain >= 0, "+").otherwise(""), number(gain))
-    score = number(F.coalesce(challenger_auc, F.lit(0.0)))
+    say = lambda case: worded(
+        v.PROMOTION[case], challenger=number(F.coalesce(challenger_auc, F.lit(0.0))), champion=number(champion_auc),
+        gain=F.concat(F.when(gain >= 0, "+").otherwise(""), number(gain)), needed=F.lit(f"{gain_needed:.4f}"))
     return {
         "promoted": first | champion_auc.isNull() | enough,
-        "reason": first_match([
-            (first, "No incumbent model; the challenger becomes the first active version."),
-            (champion_auc.isNull(), "Incumbent has no recorded AUC; promoting the challenger."),
-            (enough, F.concat(F.lit("Challenger AUC "), score, F.lit(" beats champion "), number(champion_auc),
-                              F.lit(" by "), signed, F.lit(", clearing the required margin of "),
-                              F.lit(f"{gain_needed:.4f}."))),
-        ], F.concat(F.lit("Challenger AUC "), score, F.lit(" does not beat champion "), number(champion_auc),
-                    F.lit(" by the required margin ("), signed, F.lit(f" < {gain_needed:.4f}); the champion stays active."))),
+        "reason": first_match([(first, say("first")), (champion_auc.isNull(), say("unmeasured")), (enough, say("better"))], say("not_better")),
     }
 
 
@@ -104,11 +98,10 @@ def model_health(metrics: DataFrame, drift: DataFrame, trend: DataFrame, through
         *[c.alias(n) for n, c in volume.items()], fairness_alert.alias("_bias"))
     low = F.coalesce("roc_auc", F.lit(0.0)) < v.MIN_AUC
     alerts = F.array_compact(F.array(
-        F.when(F.col("drift_detected"), F.lit("Data or prediction drift exceeded the alert threshold.")),
+        F.when(F.col("drift_detected"), F.lit(v.DRIFT_ALERT)),
         F.when(F.col("_trend_alert"), F.col("_advice")),
-        F.when(low, F.concat(F.lit("Training AUC "), F.coalesce(plain(F.col("roc_auc"), 4), F.lit("unknown")),
-                             F.lit(f" is below the configured minimum {v.MIN_AUC}."))),
-        F.when(F.col("_bias"), F.lit("Fairness audit flagged a disparity at training time."))))
+        F.when(low, worded(v.LOW_AUC, auc=F.coalesce(plain(F.col("roc_auc"), 4), F.lit("unknown")), floor=F.lit(str(v.MIN_AUC)))),
+        F.when(F.col("_bias"), F.lit(v.TRAINING_BIAS))))
     return staged.withColumn("alerts", alerts).withColumn(
         "status", F.when(F.size("alerts") > 0, "degraded").otherwise("healthy")
     ).withColumn("meets_minimum_auc", ~low).drop("_trend_alert", "_advice", "_bias")

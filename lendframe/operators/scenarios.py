@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocabulary as v
-from ..functions.expr import first_match, fixed, half_even, plain
+from ..functions.expr import first_match, fixed, half_even, plain, worded
 
 
 def scenario_table(applications: DataFrame, scenarios: Mapping[str, Mapping[str, Column | float | str]],
@@ -59,9 +59,6 @@ def scenario_table(applications: DataFrame, scenarios: Mapping[str, Mapping[str,
 def movement_sentence(before: Column, after: Column, changed: Column) -> Column:
     delta = after - before
     what = F.when(F.size(changed) > 0, F.array_join(changed, ", ")).otherwise("no fields")
-    moved = first_match([
-        (F.abs(delta) < F.lit(0.5), "leaves the risk score essentially unchanged"),
-        (delta < 0, F.concat(F.lit("lowers the risk score by "), plain(-delta), F.lit(" points"))),
-    ], F.concat(F.lit("raises the risk score by "), plain(delta), F.lit(" points")))
-    return F.concat(F.lit("Adjusting "), what, F.lit(" "), moved, F.lit(", from "), fixed(before),
-                    F.lit(" to "), fixed(after), F.lit("."))
+    say = lambda way, **slots: worded(v.SCORE_MOVED[way], what=what, before=fixed(before), after=fixed(after), **slots)
+    return first_match([(F.abs(delta) < F.lit(0.5), say("unchanged")), (delta < 0, say("lower", points=plain(-delta)))],
+                       say("higher", points=plain(delta)))
