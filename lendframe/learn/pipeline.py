@@ -67,14 +67,13 @@ class Prepare(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWrita
         low, high = self.getOrDefault(self.low), self.getOrDefault(self.high)
         fitted: dict[str, object] = {}
         if nums:
-            rows = df.count()
             fitted |= {c: [q[1] if q[1] is not None else 0.0, q[0], q[2]]
                        for c, q in quantile_constants(df, nums, [low, 0.5, high]).items()}
             # Imputation comes before clipping: a column with missing values has its
             # bounds taken again with the median filled in.
-            present = df.agg(*[F.count(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))).alias(c)
+            present = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.nullif(F.col(c).cast("double"), F.lit(float("nan")))).alias(c)
                                for c in nums]).first()
-            holes = [c for c in nums if present[c] < rows]
+            holes = [c for c in nums if present[c] < present["_rows"]]
             if holes:
                 filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fitted[c][0])).alias(c) for c in holes])
                 for c, (lo, hi) in quantile_constants(filled, holes, [low, high]).items():

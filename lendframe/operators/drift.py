@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions.expr import half_even, values_of
-from ..functions.ordered import quantile_constants
+from ..functions.ordered import exact_quantiles
 from ..functions.scoring import psi_status
 
 
@@ -27,14 +27,12 @@ def fit_edges(reference: DataFrame, features: Sequence[str], bins: int = 10) ->
     model; a later check needs no pass over the reference for them.
     """
     probs = [i / bins for i in range(bins + 1)]
-    edges = {}
-    fitted = quantile_constants(reference, features, probs)
-    for feature, values in fitted.items():
-        distinct = sorted({x for x in values if x is not None})
-        edges[feature] = distinct[1:-1] if len(distinct) >= 3 else []
-    small = reference.agg(*[F.count(F.when(F.abs(F.col(f).cast("double")) < float("inf"), 1)).alias(f)
-                            for f in features]).first()
-    return {f: ([] if small[f] < bins else e) for f, e in edges.items()}
+    values: dict[str, list[float]] = {f: [] for f in features}
+    for r in exact_quantiles(reference, features, probs).collect():  # one row per feature and edge
+        if r["n"] >= bins:
+            values[r["feature"]].append(r["value"])
+    distinct = {f: sorted(set(x)) for f, x in values.items()}
+    return {f: x[1:-1] if len(x) >= 3 else [] for f, x in distinct.items()}
 
 
 def _finite(name: str) -> Column:

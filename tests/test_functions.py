@@ -112,6 +112,38 @@ def test_quantiles_of_an_empty_column(spark):
     assert O.quantile_constants(df, ["x", "z"], [0.5]) == {"x": [None], "z": [2.0]}
 
 
+@pytest.mark.parametrize("shape", ["tail_up", "tail_down", "ties", "huge", "one"])
+def test_exact_quantiles_of_hard_shapes(spark, shape):
+    rng = np.random.default_rng(3)
+    x = {"tail_up": np.exp(rng.normal(0, 8, 40_000)), "tail_down": -np.exp(rng.normal(0, 8, 40_000)),
+         "ties": np.where(rng.random(40_000) < 0.98, 3.0, rng.normal(0, 1e9, 40_000)),
+         "huge": rng.choice([-1.7e308, -1.0, 0.0, 5e-324, 1.7e308], 999), "one": np.array([4.5])}[shape]
+    probs = [0.0, 0.005, 0.5, 0.9, 0.995, 1.0]
+    df = spark.createDataFrame([(float(z),) for z in x], "x double").repartition(5)
+    got = O.quantile_constants(df, ["x"], probs)["x"]
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = np.quantile(x, probs)
+    exact = np.sort(x)[np.floor(np.array(probs) * (len(x) - 1)).astype(int)] if shape == "huge" else want
+    np.testing.assert_allclose(got, exact if shape == "huge" else want, rtol=1e-13, atol=0)
+
+
+def test_quantiles_from_merged_stored_sketches(spark, tmp_path):
+    df = skewed(spark, 20_000).select("x", "few")
+    for part in (0, 1, 2):
+        O.sketches(df.filter(F.pmod(F.hash("x"), F.lit(3)) == part), ["x", "few"]).write.mode("append").parquet(str(tmp_path / "kept"))
+    stored = O.merged_sketches(spark.read.parquet(str(tmp_path / "kept")))
+    values = lambda q: {(r["feature"], r["prob"]): r["value"] for r in q.collect()}
+    probs = [0.01, 0.5, 0.99]
+    assert values(O.exact_quantiles(df, ["x", "few"], probs, stored)) == values(O.exact_quantiles(df, ["x", "few"], probs))
+
+
+def test_a_bracket_that_misses_its_rank_is_replaced(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    wrong = O.sketches(spark.range(1000).select(F.col("id").cast("double").alias("x")).filter("x < 300 or x = 999"), ["x"])
+    got = O.exact_quantiles(df, ["x"], [0.5, 0.9], wrong).orderBy("prob").collect()
+    assert [r["value"] for r in got] == [499.5, 899.1]
+
+
 @pytest.mark.parametrize("cells", [1, 4, 1 << 20])
 def test_running_totals_do_not_depend_on_cells(spark, cells):
     df = skewed(spark, 2000).filter("x <= 1").select(F.lit("g").alias("k"), "x", F.lit(1).alias("one"))
