@@ -138,14 +138,23 @@ def join_history(applicants: DataFrame, satellites: list[DataFrame], key: str =
     return out.withColumns(filled)
 
 
+# part of the canonical table -> its source tables and what is made of them, one row per person
+PARTS = {
+    "application": (("application",), application_fields),
+    "bureau": (("bureau", "bureau_balance"), bureau_history),
+    "previous": (("previous_application",), prior_applications),
+    "instalments": (("installments_payments",), instalment_history),
+    "pos": (("POS_CASH_balance",), pos_history),
+    "card": (("credit_card_balance",), card_history),
+}
+
+
+def assembled(parts: dict[str, DataFrame]) -> DataFrame:
+    """The canonical table from its parts."""
+    joined = join_history(parts["application"], [parts[p] for p in PARTS if p != "application"])
+    return joined.withColumnRenamed(PERSON, v.ID).select(v.ID, *v.BASE, *v.HISTORY_NUMERIC, v.TARGET)
+
+
 def canonical_table(tables: dict[str, DataFrame]) -> DataFrame:
     """Seven source tables -> the canonical training table with its history columns."""
-    joined = join_history(application_fields(tables["application"]), [
-        bureau_history(tables["bureau"], tables["bureau_balance"]),
-        prior_applications(tables["previous_application"]),
-        instalment_history(tables["installments_payments"]),
-        pos_history(tables["POS_CASH_balance"]),
-        card_history(tables["credit_card_balance"]),
-    ])
-    return joined.withColumnRenamed(PERSON, v.ID).select(
-        v.ID, *v.BASE, *v.HISTORY_NUMERIC, v.TARGET)
+    return assembled({part: build(*[tables[t] for t in needed]) for part, (needed, build) in PARTS.items()})

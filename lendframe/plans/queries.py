@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as v
 from ..functions import scoring
-from ..functions.expr import first_match, half_even
+from ..functions.expr import first_match, half_even, plain
 from ..functions.ordered import exact_quantiles, hash_position
 from ..operators import (canonical, drift, explain, fairness, features, fraud, metrics, payload, portfolio,
                          quality, retrain, scenarios)
@@ -661,10 +661,17 @@ def _explained(spark, sf):
 
 @query
 def narrative(spark, sf):
-    out = explain.with_narrative(_explained(spark, sf), audience="applicant").withColumn("description", F.array_join(
-        F.transform(explain.describe_factors(), lambda f: f["description"]), " "))
+    value = r" \(value: ([^)]*)\)"
+
+    def number(line):
+        text = F.regexp_extract(line, value, 1)
+        return F.coalesce(plain(text.try_cast("double"), 3), text)
+
+    out = explain.with_narrative(_explained(spark, sf), audience="applicant").withColumn(
+        "lines", F.transform(explain.describe_factors(), lambda f: f["description"]))
     return out.select("application_id", F.array_join("sentences", " ").alias("sentences"),
-                      F.regexp_replace("description", r" \(value: [^)]*\)", "").alias("description"))
+                      F.regexp_replace(F.array_join("lines", " "), value, "").alias("description"),
+                      F.array_join(F.transform("lines", number), "|").alias("shown"))
 
 
 # ---- retraining, registry ---------------------------------------------------------
@@ -729,7 +736,7 @@ def promotion_decision(spark, sf):
     pairs = r.select(F.col("version").alias("challenger"), F.col("roc_auc").alias("challenger_auc"),
                      F.lag("version").over(w).alias("champion"), F.lag("roc_auc").over(w).alias("champion_auc"))
     out = pairs.withColumns(retrain.promotion(*[F.col(c) for c in ("challenger", "challenger_auc", "champion", "champion_auc")]))
-    return rounded(out, "challenger_auc", "champion_auc").drop("reason")
+    return rounded(out, "challenger_auc", "champion_auc")
 
 
 @query

@@ -8,12 +8,12 @@ from pyspark.sql import types as T
 
 from .. import vocabulary as v
 from ..learn import pipeline, training
-from ..operators import fraud, metrics
+from ..operators import canonical, fraud, metrics
 from ..session import shared_folder
 from ..sources import readers, stores
 from . import bindings as b
 from .learning import CATEGORICAL, NUMERIC, _frame
-from .queries import query, rounded
+from .queries import _balances, _bureau, _payments, _previous, query, rounded
 
 
 @query
@@ -25,6 +25,34 @@ def csv_scan(spark, sf):
     return readers.read_csv(spark, path, [("c_custkey", T.LongType()), ("c_acctbal", T.DoubleType()), ("c_mktsegment", T.StringType())])
 
 
+@query
+def cache_refresh(spark, sf):
+    """The canonical table cached by parts. Every part is built once; after the POS balances changed only theirs is built again, and the
+    result is that of a build from scratch."""
+    root, kind = shared_folder(spark, "cache"), "parquet"
+    source, cache = root + "/source", root + "/cache"
+    c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("SK_ID_CURR"), F.lit(1).alias("TARGET"), F.col("c_acctbal").alias("AMT_INCOME_TOTAL"))
+    bureau, balance = _bureau(spark, sf)
+    tables = {"application": c, "bureau": bureau, "bureau_balance": balance, "previous_application": _previous(spark, sf),
+              "installments_payments": _payments(spark, sf), "POS_CASH_balance": _balances(spark, sf), "credit_card_balance": _balances(spark, sf)}
+    for name, df in tables.items():
+        df.select(*[(F.col(x) if x in df.columns else F.lit(None)).cast(t).alias(x) for x, t in readers.SOURCE_COLUMNS[name]]
+                  ).write.parquet(readers.table_path(source, name, kind))
+    state = lambda when: stores.cache_state(spark, source, cache, kind).withColumnRenamed("fresh", when)
+    before = state("before")
+    stores.cached_canonical(spark, source, cache, kind)
+    built = state("built")
+    more = spark.read.parquet(readers.table_path(source, "POS_CASH_balance", kind)).select("SK_ID_CURR", (F.col("SK_DPD") + 5).alias("SK_DPD"))
+    more.write.mode("append").parquet(readers.table_path(source, "POS_CASH_balance", kind))
+    changed = state("changed")
+    new = stores.cached_canonical(spark, source, cache, kind)
+    scratch = canonical.canonical_table(readers.read_sources(spark, source, kind))
+    # sums of doubles may differ in their last digits from run to run
+    shown = [(F.round(f.name, 6) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)).alias(f.name) for f in new.schema.fields]
+    same = readers.table_digest(new.select(*shown)).join(readers.table_digest(scratch.select(*shown)), ["n_rows", "content_hash"])
+    return before.join(built, "part").join(changed, "part").join(state("after"), "part").crossJoin(same.select(F.col("n_rows").alias("applicants")))
+
+
 @query
 def canonical_file(spark, sf):
     """Applications as a canonical Parquet file, read with the declared schema."""

@@ -86,3 +86,19 @@ def stream_outcomes(spark, sf):
     (counted.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(root + "/out"))
      .option("checkpointLocation", root + "/ckpt").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(counted.schema).parquet(root + "/out")
+
+
+@query
+def stream_late_rows(spark, sf):
+    """Events arrive in four parts; every fiftieth arrives with the last part. Per hour: rows counted in time and rows in the side table."""
+    e = b.table(spark, sf, "events").select("event_id", "ts").withColumn("part", F.when(F.col("event_id") % 50 == 7, F.lit(3)).otherwise(
+        F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))).cast("int"))
+    root = shared_folder(spark, "late")
+    schema = e.drop("part").schema
+    for part in range(4):  # each run of the stream finds one part more
+        e.filter(F.col("part") == part).drop("part").write.parquet(f"{root}/in/{part}")
+        jobs.keep_late(jobs.read_stream(spark, f"{root}/in/*", schema), "ts", root, f"{root}/ckpt").awaitTermination()
+    read = lambda name, flag: spark.read.schema("event_id long, ts timestamp").parquet(f"{root}/{name}").withColumn("late", F.lit(flag))
+    both = read("on_time", False).unionAll(read("late", True))
+    return both.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start")).agg(
+        F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"))

@@ -28,19 +28,37 @@ def load_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 # ---- derived-table cache --------------------------------------------------------
 
+def _part_paths(spark: SparkSession, source_dir: str, cache_dir: str, kind: str) -> dict[str, str]:
+    """Where each part of the canonical table belongs, given the source files as they are."""
+    prints = {t: readers.source_fingerprint(spark, readers.table_path(source_dir, t, kind)) for t in readers.SOURCE_COLUMNS}
+    return {part: f"{cache_dir.rstrip('/')}/canonical/{part}-" + hashlib.sha256("_".join(prints[t] for t in needed).encode()).hexdigest()[:24]
+            for part, (needed, _) in canonical.PARTS.items()}
+
+
+def cache_state(spark: SparkSession, source_dir: str, cache_dir: str, kind: str = "csv") -> DataFrame:
+    """(part, fresh): which parts the cache holds for the source files as they are; the others will be rebuilt."""
+    paths = _part_paths(spark, source_dir, cache_dir, kind)
+    return spark.createDataFrame([(p, readers._exists(spark, f"{at}/_SUCCESS")) for p, at in paths.items()], "part string, fresh boolean")
+
+
 def cached_canonical(spark: SparkSession, source_dir: str, cache_dir: str, kind: str = "csv",
                      use_cache: bool = True) -> DataFrame:
-    """The canonical table, rebuilt only when a source file changed.
+    """The canonical table; what is made of a source table is made again only when a file of that table changed.
 
-    Each build goes into a folder named by the digest of the sources (file name, size,
-    modification time), so a half-written or outdated build is never read, and readers
-    of an old build are not disturbed.
+    Every part (the applications, each satellite aggregated per person) and every build is a folder named by
+    the digest of the files it comes from (name, size, modification time), and counts when its write has
+    ended. So a half-written or outdated folder is never read, readers of an old build are not disturbed, and a
+    changed satellite costs its own aggregation and the join.
     """
     tables = readers.read_sources(spark, source_dir, kind)
-    digest = "_".join(readers.source_fingerprint(spark, readers.table_path(source_dir, name, kind)) for name in tables)
-    target = f"{cache_dir.rstrip('/')}/canonical-{hashlib.sha256(digest.encode()).hexdigest()[:24]}"
-    if not (use_cache and readers._exists(spark, target + "/_SUCCESS")):
-        canonical.canonical_table(tables).write.mode("overwrite").parquet(target)
+    paths = _part_paths(spark, source_dir, cache_dir, kind)
+    done = lambda path: use_cache and readers._exists(spark, path + "/_SUCCESS")
+    target = f"{cache_dir.rstrip('/')}/canonical/build-{hashlib.sha256('_'.join(paths.values()).encode()).hexdigest()[:24]}"
+    if not done(target):
+        for part, (needed, build) in canonical.PARTS.items():
+            if not done(paths[part]):
+                build(*[tables[t] for t in needed]).write.mode("overwrite").parquet(paths[part])
+        canonical.assembled({part: spark.read.parquet(path) for part, path in paths.items()}).write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
 

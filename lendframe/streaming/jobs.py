@@ -274,11 +274,35 @@ def outcome_backlog(outcomes: DataFrame, trained_at: Column, ts: str = "recorded
         F.count(F.lit(1)).alias("new_outcomes")).withColumn("retrain", F.col("new_outcomes") >= v.OUTCOME_BACKLOG)
 
 
-def split_late(batch: DataFrame, ts: str, watermark: Column) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) relative to a watermark kept by the caller; the late rows go to a
-    side table instead of being lost."""
-    is_late = F.coalesce(F.col(ts) < watermark, F.lit(False))
-    return batch.filter(~is_late), batch.filter(is_late)
+def split_late(batch: DataFrame, ts: str, watermark: Column, width: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(on time, late): a row is late when it lies behind the watermark, or with ``width`` when the watermark has
+    closed its window of that width. Rows without a time are on time."""
+    untimed = batch.filter(F.col(ts).isNull())  # a window would drop them
+    behind = F.col(ts) < watermark if width is None else F.window(ts, width)["end"] <= watermark
+    marked = batch.filter(F.col(ts).isNotNull()).withColumn("_late", F.coalesce(behind, F.lit(False)))
+    return marked.filter("NOT _late").drop("_late").unionByName(untimed), marked.filter("_late").drop("_late")
+
+
+def keep_late(stream: DataFrame, ts: str, sink: str, checkpoint: str, width: str = "1 hour", late: str = LATE) -> StreamingQuery:
+    """Process everything available: rows on time to ``sink/on_time``, late ones to the side table ``sink/late``.
+
+    The watermark of a batch is the latest event time of all earlier batches less ``late``. It is kept beside the
+    rows, one row per batch that a replay overwrites; a batch whose predecessor's is missing fails. A windowed stream over
+    ``sink/on_time`` with the same delay drops nothing: its watermark is never ahead of the one used here.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, mark = batch.sparkSession, "latest timestamp"
+        before = spark.read.schema(mark).parquet(f"{sink}/marks/{batch_id - 1}") if batch_id else spark.createDataFrame([], mark)
+        rows = event_time(batch, ts).persist()
+        try:
+            watermark = before.agg(F.max("latest") - F.expr(f"INTERVAL {late}")).scalar()
+            for name, part in zip(("on_time", "late"), split_late(rows, ts, watermark, width)):
+                part.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
+            rows.select(F.col(ts).alias("latest")).unionAll(before).agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(f"{sink}/marks/{batch_id}")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet",

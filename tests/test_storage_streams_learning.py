@@ -51,6 +51,42 @@ def test_sources_to_canonical_with_cache(spark, tmp_path):
     assert stores.cached_canonical(spark, str(src), str(cache)).count() == 3
 
 
+def test_a_changed_source_rebuilds_its_part_only(spark, tmp_path):
+    src, cache = tmp_path / "src", tmp_path / "cache"
+    src.mkdir()
+    write_sources(src)
+    fresh = lambda: {r["part"]: r["fresh"] for r in stores.cache_state(spark, str(src), str(cache)).collect()}
+    assert not any(fresh().values())
+    stores.cached_canonical(spark, str(src), str(cache))
+    assert all(fresh().values())
+    written = {p: p.stat().st_mtime_ns for p in (cache / "canonical").iterdir()}
+    assert len(written) == 7  # six parts and a build
+    (src / "bureau_balance.csv").write_text("SK_ID_BUREAU,STATUS\n10,0\n")
+    assert [p for p, ok in fresh().items() if not ok] == ["bureau"]
+    stores.cached_canonical(spark, str(src), str(cache))
+    now = {p: p.stat().st_mtime_ns for p in (cache / "canonical").iterdir()}
+    assert len(now) == 9 and all(now[p] == t for p, t in written.items())
+
+
+def test_rows_behind_the_watermark_go_to_the_side_table(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "id long, ts timestamp"
+    batches = [[(1, "2024-01-01 10:05:00"), (2, "2024-01-01 12:30:00")],
+               [(3, "2024-01-01 11:59:00"), (4, "2024-01-01 12:01:00"), (5, None)],  # watermark 12:20: hour 11 is closed
+               [(6, "2024-01-01 10:00:00"), (7, "2024-01-01 15:00:00")],
+               [(8, "2024-01-01 13:59:59"), (9, "2024-01-01 14:30:00")]]  # watermark 14:50
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, ts string").select("id", F.col("ts").cast("timestamp")).write.parquet(f"{root}/in/{i}")
+        jobs.keep_late(jobs.read_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema), "ts", root, f"{root}/ckpt").awaitTermination()
+    read = lambda name: sorted(r["id"] for r in spark.read.schema(schema).parquet(f"{root}/{name}").collect())
+    assert read("late") == [3, 6, 8] and read("on_time") == [1, 2, 4, 5, 7, 9]
+    # a windowed stream over the rows on time drops none of them
+    given = spark.createDataFrame([], schema).schema
+    counted = jobs.read_stream(spark, f"{root}/on_time/*", given, files_per_batch=1).withWatermark("ts", jobs.LATE).groupBy(
+        F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    assert sum(r["n"] for r in jobs.settle_windows(counted, f"{root}/windows", ["w"]).collect()) == 5
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path)
     df = spark.range(10).withColumn("Default", (F.col("id") % 2).cast("int"))
@@ -230,6 +266,52 @@ def test_nearest_is_exact(spark, monkeypatch, pivots, rows):
     assert got.groupby("id")["neighbour"].apply(list).tolist() == want
 
 
+def test_bands_find_nine_of_ten_neighbours(spark):
+    """Leaves of at most 128 of 3,000 clustered points in 12 dimensions, a tenth of them one point, against brute force."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.zeros((300, 12)), *[rng.normal(rng.normal(0, 3, 12), 1, (270, 12)) for _ in range(10)]])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    got = neighbours.nearest_by_bands(df, "id", "x", 5, probe=F.col("id") % 3 == 0, bands=24, leaf_rows=128).toPandas()
+    assert (got["id"] % 3 == 0).all()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.testing.assert_allclose(got["distance"], d[got["id"], got["neighbour"]], atol=1e-9)
+    np.fill_diagonal(d, np.inf)
+    radius = np.sort(d, axis=1)[:, 4]  # identical points: any of them is as near
+    probes = np.arange(0, len(x), 3)
+    hits = (got["distance"].to_numpy() <= radius[got["id"]] + 1e-9).sum()
+    assert hits / (5 * len(probes)) >= 0.9
+    whole = neighbours.nearest_by_bands(df, "id", "x", 3).toPandas().sort_values(["id", "rank"])
+    exact = neighbours.nearest(df, "id", "x", 3).toPandas().sort_values(["id", "rank"])
+    assert whole["neighbour"].tolist() == exact["neighbour"].tolist()  # one leaf
+
+
+def test_bands_of_small_and_empty_tables(spark):
+    empty = spark.createDataFrame([], "id long, x array<double>")
+    assert neighbours.nearest_by_bands(empty, "id", "x").count() == 0
+    assert neighbours.nearest_by_bands(spark.createDataFrame([(1, [0.0])], "id long, x array<double>"), "id", "x").count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(600)], "id long, x array<double>")
+    near = neighbours.nearest_by_bands(same, "id", "x", 2, leaf_rows=50)
+    assert near.groupBy("id").count().filter("count = 2").count() == 600 and near.filter("distance > 0").count() == 0
+
+
+@pytest.mark.parametrize("search", [neighbours.nearest, neighbours.nearest_by_bands])
+def test_tomek_links_against_brute_force(spark, search):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(0, 1, (300, 2)), (rng.random(300) < 0.3).astype(int)
+    df = spark.createDataFrame([(i, int(c), [float(a) for a in r]) for i, (r, c) in enumerate(zip(x, y))], "id long, y int, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    first = d.argmin(axis=1)
+    want = sorted((i, int(j)) for i, j in enumerate(first) if first[j] == i and y[i] != y[j] and i < j)
+    assert sorted(map(tuple, neighbours.tomek_links(df, "y", "id", "x", search).collect())) == want
+
+
+def test_smote_tomek_keeps_rows_without_links(spark):
+    rows = [(i, int(i < 5), [float(i < 5) * 100 + i * 0.01]) for i in range(40)]
+    out = neighbours.smote_tomek(spark.createDataFrame(rows, "id long, y int, x array<double>"), "y", "id", "x")
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {0: 35, 1: 35}
+
+
 def test_smote_balances_between_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(i < 12), [float(a) for a in rng.normal(5 if i < 12 else 0, 1, 2)]) for i in range(60)]
