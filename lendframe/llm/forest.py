@@ -192,6 +192,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vec"))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    if kind == "double":  # squares of finite doubles may over- or underflow: such vectors are scaled by their largest component
+        largest = F.array_max(F.transform("vec", F.abs))
+        extreme = ~norm.between(1e-200, 1e200) & (largest > 0) & (largest < F.lit(float("inf")))
+        given = given.withColumn("vec", F.when(extreme, F.transform("vec", lambda x: x / largest)).otherwise(F.col("vec")))
     sound = F.coalesce(~F.exists("vec", lambda x: x.isNull()) & (norm > 0) & (norm < F.lit(float("inf"))), F.lit(False)) & F.col("id").isNotNull()
     given = given.withColumn("sound", sound)
     classes = cut_lineage(given.filter("sound").groupBy("vec").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies"))

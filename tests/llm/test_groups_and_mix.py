@@ -176,6 +176,13 @@ def test_near_vectors_of_odd_rows(table):
     assert forest.near_vectors(table([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_vectors_of_extreme_length_link(table):
+    given = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1.0, 1.0]), (4, [1e-200, 1e-200]), (5, [5e-324, 5e-324]), (6, [0.0, 0.0]),
+             (7, [1e300, -1e300]), (8, [float("inf"), 1.0]), (9, [1e200, None])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_vectors(table(given, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, **{i: (0, i) for i in range(6, 10)}}
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
