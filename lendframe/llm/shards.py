@@ -44,16 +44,18 @@ def shuffled_shards(records: DataFrame, shards: int = 8, seed: int = 17, bytes_c
                                         F.monotonically_increasing_id().alias("_place"), rest.cast("long").alias("_bytes")))
     n, total = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
-    scattered = placed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(buckets)))
+    scattered = placed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_place"), F.lit(buckets)).cast("int"))
     # One row per bucket: their number is the bytes over ``bucket_bytes``.
     before = scattered.groupBy("_bucket").count().select(
         "_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))
-    gathered = (scattered.select("_bucket", F.struct("_place", "_record").alias("_row"))
-                .repartition(min(buckets, 20_000), "_bucket").groupBy("_bucket")
-                .agg(F.sort_array(F.collect_list("_row")).alias("_rows")))
-    mixed = gathered.sortWithinPartitions("_bucket").select("_bucket", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
+    # A task gathers one bucket, and the bucket's start travels with its records.
+    rows = scattered.select("_bucket", F.struct("_place", "_record").alias("_row"), F.lit(None).cast("long").alias("_before"))
+    starts = before.select("_bucket", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "_before")
+    gathered = (rows.unionAll(starts).repartitionById(buckets, "_bucket").groupBy("_bucket")
+                .agg(F.max("_before").alias("_before"), F.sort_array(F.collect_list("_row")).alias("_rows")))
+    mixed = gathered.select("_before", F.shuffle("_rows", F.lit(seed)).alias("_rows"))
     at = F.col("_before") + F.col("_at")
-    ordered = mixed.join(before, "_bucket").select("_before", F.posexplode("_rows").alias("_at", "_row"))
+    ordered = mixed.select("_before", F.posexplode("_rows").alias("_at", "_row"))
     shard = F.expr(f"(_before + _at) * {shards} div {max(n, 1)}")
     return ordered.select("_row._record.*", shard.cast("int").alias("shard"),
                           (at - F.expr(f"({shards - 1} + {n} * ((_before + _at) * {shards} div {max(n, 1)})) div {shards}"))
