@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 LEAST_WORDS, MOST_REPEATED = 50, 50  # words; percent of the words
 LEAST_BUCKETS = 1 << 12
-LABELLED_ROWS = 100_000
+BROADCAST_ROWS = 1 << 20  # more ids than these are joined by a shuffle
 CACHED_WORDS = 1 << 20
 CELL = 1.0 / 4096
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -98,29 +98,30 @@ class TextRatio:
         return float(self.ratios[buckets].mean(dtype=np.float64)) if len(buckets) and self.trusted else 0.0
 
 
-def labelled(labels: DataFrame, rows: int = LABELLED_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """``_of, good, learned`` of at most ``rows`` good and ``rows`` bad documents, in hash order of the id.
+def labelled(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``_of, good, learned`` of every good and every bad document.
 
     Good: quality 1 and never toxic. Bad: quality 0. Labels that contradict each other, and toxic
     documents of quality 1, are neither. Two thirds are for learning, the rest (crc32 of the id
-    leaves 1 by 3) sets the threshold. The number of rows is the bound of the fit.
+    leaves 1 by 3) sets the threshold.
     """
     per = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_of")).agg(
         F.min("quality").alias("lo"), F.max("quality").alias("hi"), F.max("toxic").alias("toxic"))
     judged = per.select("_of", F.when((F.col("lo") == 1) & (F.col("toxic") == 0), True).when(F.col("hi") == 0, False).alias("good"))
-    some = [judged.filter(F.col("good") == g).orderBy(F.xxhash64("_of"), "_of").limit(rows) for g in (True, False)]
-    return some[0].unionAll(some[1]).withColumn("learned", F.crc32(F.col("_of").cast("string")) % 3 != 1)
+    return judged.filter("good IS NOT NULL").withColumn("learned", F.crc32(F.col("_of").cast("string")) % 3 != 1)
 
 
 def learn(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextRatio:
     """Counts of all words and word pairs of every whole text, and of those of good documents to learn from.
 
     Tasks add up counts per bucket; the driver gets one row per bucket, whose number grows with the
-    root of the corpus. ``known`` (from ``labelled``) is bounded and broadcast, so no text is shuffled.
+    root of the corpus. Up to ``BROADCAST_ROWS`` ids of ``known`` (from ``labelled``; write it first) are broadcast and no
+    text is shuffled; more are joined by hash, which shuffles the texts once and sorts nothing.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_text IS NOT NULL")
     log2 = bucket_bits(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
-    learned = F.broadcast(known.filter("good AND learned").select("_of", F.lit(True).alias("_target")))
+    learned = known.filter("good AND learned").select("_of", F.lit(True).alias("_target"))
+    learned = learned.hint("broadcast" if learned.count() <= BROADCAST_ROWS else "shuffle_hash")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = Words(), np.zeros((2, 1 << log2), dtype=np.int64)
@@ -183,7 +184,7 @@ def threshold(scored: DataFrame, known: DataFrame, id_col: str = "doc_id") -> fl
     and bad dropped (as shares) the middle of the first run of them. Without bad documents it is the
     lowest good one's, without good ones nothing is dropped. Scores are counted in cells of 1/4096.
     """
-    held = F.broadcast(known.filter("NOT learned"))
+    held = known.filter("NOT learned")
     cells = (scored.filter("NOT base_failed").join(held, F.col(id_col) == F.col("_of"))
              .groupBy(F.floor(F.col("log_ratio") / F.lit(CELL)).alias("cell"))
              .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("cell").collect())

@@ -89,6 +89,16 @@ def test_ratio_against_plain_counts(table, spark):
     assert not blind.trusted and ratio.threshold(ratio.score(frame, blind), nobody) == -math.inf
 
 
+def test_every_label_counts(spark, table, monkeypatch):
+    labels = spark.range(210_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic")
+    known = ratio.labelled(labels)
+    assert {r["good"]: r["count"] for r in known.groupBy("good").count().collect()} == {True: 105_000, False: 105_000}
+    docs = table([(i, f"good{i % 7} text" if i % 2 else f"bad{i % 5}") for i in [*range(60), 3, 3]] + [(None, "x y")], "doc_id long, text string")
+    one = ratio.learn(docs, known)
+    monkeypatch.setattr(ratio, "BROADCAST_ROWS", 0)  # by a shuffle: the same counts
+    assert one.trusted and np.array_equal(ratio.learn(docs, known).ratios, one.ratios)
+
+
 def test_buckets_grow_with_the_corpus():
     assert ratio.bucket_bits(0) == 12 and ratio.bucket_bits(10**9) == 16 and ratio.bucket_bits(10**14) == 24
 
