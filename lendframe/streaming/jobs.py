@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -102,38 +103,37 @@ class LastSubmission(StatefulProcessor):
     """Per fingerprint: how many submissions there were, the last of them, and the batch that told so.
 
     Hands every batch's row of the fingerprint what came before it. A batch told before (a replay) changes
-    nothing. The last submission is the latest by time, in whatever order batches come. A fingerprint whose next
+    nothing. Rows are handed over many keys to a batch, not as one frame per key. The last submission is the latest by time, in whatever order batches come. A fingerprint whose next
     submission is more than ``keep`` later starts again; the state store itself forgets one that nobody touches for as long.
     """
 
     def __init__(self, keep: str) -> None:
-        self.keep = pd.Timedelta(keep)
+        self.keep = pd.Timedelta(keep).to_pytimedelta()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("seen", ", ".join(["n long", *[f"{n} {t}" for n, t in LAST], "batch long"]),
                                           ttlDurationMs=int(self.keep.total_seconds() * 1000))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        stamp = lambda t: None if pd.isna(t) else pd.Timestamp(t).tz_localize(None) if pd.Timestamp(t).tzinfo else pd.Timestamp(t)
-        place = lambda r: (r[1] is not None, r[1] or pd.Timestamp(0), r[0] if r[0] is not None else -1)
-        n, last, told = 0, None, -1
-        if self.state.exists():
-            n, *last, told = self.state.get()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        stamp = lambda t: t.replace(tzinfo=None) if t is not None and t.tzinfo else t
+        place = lambda r: (r[1] is not None, r[1] or datetime.min, r[0] if r[0] is not None else -1)
+        n, last, told, changed = 0, None, -1, False
+        if (seen := self.state.get()) is not None:
+            n, *last, told = seen
             last[1] = stamp(last[1])
-        out = []
-        for row in sorted((r for frame in rows for r in frame.to_dict("records")), key=lambda r: r["batch"]):
+        for row in sorted(rows, key=lambda r: r["batch"]):
             if row["batch"] <= told:
                 continue
             first = stamp(row["first"])
             if last is not None and first is not None and last[1] is not None and first - last[1] > self.keep:
                 n, last = 0, None
-            out.append({"fingerprint": key[0], "batch": row["batch"], "before": n, "last": dict(zip([c for c, _ in LAST], last)) if last else None})
+            yield Row(fingerprint=key[0], batch=row["batch"], before=n, last=Row(**dict(zip([c for c, _ in LAST], last))) if last else None)
             own = [row["last"][c] for c, _ in LAST]
             own[1] = stamp(own[1])
             n, last, told = n + row["n"], own if last is None or place(own) >= place(last) else last, row["batch"]
-        if out:
+            changed = True
+        if changed:
             self.state.update((n, *last, told))
-            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -155,7 +155,7 @@ def resubmissions(applications: DataFrame, sink: str, checkpoint: str, fields: S
         batch.write.mode("overwrite").parquet(f"{sink}/carry/{batch_id}")
 
     told = spark.readStream.schema(SUMMARY).option("ignoreMissingFiles", "true").parquet(f"{sink}/summary/*")
-    carried = told.groupBy("fingerprint").transformWithStateInPandas(LastSubmission(keep), CARRY, "Update", "processingTime")
+    carried = told.groupBy("fingerprint").transformWithState(LastSubmission(keep), CARRY, "Update", "processingTime")
     with rocksdb(spark):
         return (carried.writeStream.outputMode("update").foreachBatch(keep_carry).option("checkpointLocation", f"{checkpoint}/state")
                 .trigger(availableNow=True).start())

@@ -494,3 +494,28 @@ def test_retraining_promotes_only_a_better_version(spark, tmp_path):
     best = training.load(spark, root + "/bundles/v2").score(rows).agg(F.avg("probability")).first()[0]
     assert active() == best
     assert stores.rollback(spark, root, now="4") == "v1" and active() != best
+
+
+def test_state_takes_rows_not_a_frame_per_key():
+    from datetime import datetime
+
+    from pyspark.sql import Row
+
+    class State:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    at = lambda day: datetime(2024, 1, day)
+    told = lambda batch, n, first, last: Row(fingerprint="f", n=n, first=first, last=Row(id=batch, ts=last, Income=None, LoanAmount=2.0), batch=batch)
+    seen = jobs.LastSubmission("10 days")
+    seen.state = State()
+    rows = [told(1, 2, at(5), at(6)), told(0, 3, None, at(2)), told(2, 1, at(30), at(30))]
+    out = list(seen.handleInputRows(("f",), iter(rows), None))
+    assert [(r.batch, r.before, r.last and r.last.id) for r in out] == [(0, 0, None), (1, 3, 0), (2, 0, None)]
+    assert seen.state.value == (1, 2, at(30), None, 2.0, 2)
+    assert list(seen.handleInputRows(("f",), iter(rows[:1]), None)) == []  # told before
