@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from lendframe import vocabulary as v
@@ -344,6 +345,24 @@ def test_prepare_unknown_levels_and_empty_columns(spark, tmp_path):
     assert (pipeline.encode(again, new).first()["features"].toArray() == vec).all()
 
 
+def test_encoding_is_one_projection_with_the_stages_values(spark, monkeypatch):
+    rows = [(1.5, 2.0, "b", "\uffee"), (None, 2.0, None, "\U0001f600"), (-7.25, 2.0, "A", None), (30.0, None, "a", "\uffee"), (0.1, 2.0, "b", "x"), (0.2, 2.0, "c", "x")]
+    df = spark.createDataFrame(rows, "n double, same double, c string, d string")
+    fitted = pipeline.preprocessor(["n", "same"], ["c", "d"]).fit(df)
+    assert pipeline.encoded_names(fitted) == ["n", "same", "c_A", "c_a", "c_b", "c_c", "d_x", "d_\uffee", "d_\U0001f600"]
+    # the learned levels are those that MLlib finds in the prepared rows
+    found = StringIndexer(inputCols=["c", "d"], outputCols=["i", "j"], handleInvalid="keep", stringOrderType="alphabetAsc").fit(fitted.stages[0].transform(df))
+    assert [list(x) for x in found.labelsArray] == [list(x) for x in fitted.stages[4].labelsArray]
+    new = spark.createDataFrame([*rows, (None, None, None, None), (9e9, -9e9, "new", "X")], df.schema)
+    want, got = fitted.transform(new).select("n", "same", "c", "d", "features"), pipeline.encode(fitted, new)
+    plain = lambda t: [(*r[:4], r["features"].toArray().tolist()) for r in t.collect()]
+    assert got.columns == want.columns and plain(got) == plain(want)
+    assert got.schema["features"].metadata == want.schema["features"].metadata != {}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("UDF(") == 1
+    monkeypatch.setattr(pipeline, "WIDE", 0)
+    assert plain(pipeline.encode(fitted, new)) == plain(want)
+
+
 def test_model_ranks_and_calibrates(spark):
     df = spark.range(2000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("n"), F.lit("a").alias("c"))
     df = df.withColumn("Default", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) / 1000.0 < F.col("n") * 0.8).cast("int"))
