@@ -515,6 +515,19 @@ def test_retraining_promotes_only_a_better_version(spark, tmp_path):
     assert stores.rollback(spark, root, now="4") == "v1" and active() != best
 
 
+def test_stored_models_are_ranked_by_written_scores(spark, applicants, monkeypatch):
+    """A filter or a group by a score that is still an expression repeats the whole model in the plan."""
+    from lendframe.learn import search, training
+
+    done = training.train(applicants, pipeline.candidates("bad")[:1], "bad", "row", ["a", "b"], ["c"], draws=0)
+    bundle, seen, ranked = training.Bundle(done.model, {}, done.reference), [], training.metrics.rank_metrics
+    monkeypatch.setattr(training.metrics, "rank_metrics", lambda df, *rest: seen.append(df) or ranked(df, *rest))
+    got = {r["version"]: r["roc_auc"] for r in training.compare_on(applicants, {"v1": bundle, "v2": bundle}, "bad").collect()}
+    assert "UDF" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    y, p = np.array([(r["bad"], r["probability"]) for r in done.model.score(applicants).select("bad", "probability").collect()]).T
+    assert got == {"v1": pytest.approx(search.auc(y, p)), "v2": pytest.approx(search.auc(y, p))}
+
+
 def test_state_takes_rows_not_a_frame_per_key():
     from datetime import datetime
 
