@@ -515,12 +515,30 @@ def test_retraining_promotes_only_a_better_version(spark, tmp_path):
     assert stores.rollback(spark, root, now="4") == "v1" and active() != best
 
 
+def test_drift_and_background_come_from_all_training_rows(spark, applicants, tmp_path, monkeypatch):
+    """However few rows are stored as examples: the PSI is that against the whole split, the background its mean."""
+    from lendframe.learn import preprocess, training
+    from lendframe.operators import drift
+
+    monkeypatch.setattr(training, "REFERENCE_ROWS", 7)
+    done = training.train(applicants, pipeline.candidates("bad")[:1], "bad", "row", ["a", "b"], ["c"], draws=0)
+    training.save(done, str(tmp_path))
+    stored, current = training.load(spark, str(tmp_path)), applicants.withColumn("a", F.col("a") * 1.2)
+    placed = applicants.withColumn("position", training.hash_position("row", 42))
+    rows = preprocess.stratified_split(placed, "bad", "row", position="position").filter("split = 'train'")
+    psi = lambda df: {r["feature"]: r["psi_raw"] for r in df.collect()}
+    want = psi(drift.psi_rows(rows, current, drift.fit_edges(rows, ["a", "b"]), ["c"]))
+    assert stored.reference.count() == 7 and psi(stored.drift(current)) == pytest.approx(want) and want["a"] > 0.01
+    assert psi(stored.drift(current.drop("b"))) == pytest.approx({k: x for k, x in want.items() if k != "b"})
+    assert stored.model.background == pytest.approx(pipeline.background_mean(pipeline.encode(done.model.prepare, rows)), abs=1e-9)
+
+
 def test_stored_models_are_ranked_by_written_scores(spark, applicants, monkeypatch):
     """A filter or a group by a score that is still an expression repeats the whole model in the plan."""
     from lendframe.learn import search, training
 
     done = training.train(applicants, pipeline.candidates("bad")[:1], "bad", "row", ["a", "b"], ["c"], draws=0)
-    bundle, seen, ranked = training.Bundle(done.model, {}, done.reference), [], training.metrics.rank_metrics
+    bundle, seen, ranked = training.Bundle(done.model, {}, done.reference, done.counts), [], training.metrics.rank_metrics
     monkeypatch.setattr(training.metrics, "rank_metrics", lambda df, *rest: seen.append(df) or ranked(df, *rest))
     got = {r["version"]: r["roc_auc"] for r in training.compare_on(applicants, {"v1": bundle, "v2": bundle}, "bad").collect()}
     assert "UDF" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
