@@ -15,6 +15,8 @@ from . import readers, registry
 VERSION_SCHEMA = ("version string, created_at timestamp, source string, n_rows long, columns array<string>, "
                   "positive_rate double, content_hash string, findings long, errors long")
 
+FILE_ROWS = 100_000  # rows of a log file
+
 
 def has_table(spark: SparkSession, path: str) -> bool:
     return readers._exists(spark, path.rstrip("/") + "/*")
@@ -117,11 +119,15 @@ def prediction_rows(scored: DataFrame, version: str, event: str = "predict", now
 
 
 def _append(rows: DataFrame, path: str, keys: list[str], batch: str | None) -> None:
-    """Append JSON lines; rows of a named batch replace what an earlier run of that batch wrote, and nothing else."""
+    """Append JSON lines; rows of a named batch replace what an earlier run of that batch wrote, and nothing else.
+
+    The files are gzipped: the names in every line are most of its text, and a batch that replaces another needs room
+    for both. A gzipped file is read by one task, so ``FILE_ROWS`` bounds it.
+    """
     if batch is not None:
         rows, keys = rows.withColumn("batch", F.lit(batch)), [*keys, "batch"]
     out = rows.write.mode("append") if batch is None else rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (out.partitionBy(*keys) if keys else out).json(path)
+    (out.partitionBy(*keys) if keys else out).option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).json(path)
 
 
 def append_predictions(rows: DataFrame, path: str, batch: str | None = None) -> None:

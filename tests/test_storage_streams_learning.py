@@ -493,6 +493,33 @@ def test_a_batch_is_in_the_log_once(spark, tmp_path):
     assert stores.read_predictions(spark, log).count() == 9 and stores.read_predictions(spark, log, since="2024-01-02").count() == 3
 
 
+def test_log_files_are_small(spark, tmp_path, monkeypatch):
+    """Compressed, and in files of bounded rows, since a task reads a compressed file alone; older plain files are read beside them."""
+    monkeypatch.setattr(stores, "FILE_ROWS", 1000)
+    rows = stores.prediction_rows(spark.range(0, 4000, 1, 1).select(F.col("id").alias("application_id"), (F.col("id") / 4000).alias("probability")),
+                                  "v1", now=F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    path, plain = str(tmp_path / "log"), rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    for _ in range(2):
+        stores.append_predictions(rows, path, batch="1")
+    files = [f for f in (tmp_path / "log").rglob("part-*")]
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < plain.agg(F.sum(F.length("value"))).first()[0] / 5
+    plain.withColumn("date", F.lit("2024-01-01").cast("date")).withColumn("batch", F.lit("0")).write.mode("append").partitionBy("date", "batch").text(path)
+    got = readers.flat_predictions(stores.read_predictions(spark, path))
+    assert got.count() == 8000 and got.agg(F.sum("probability")).first()[0] == pytest.approx(2 * sum(range(4000)) / 4000)
+
+
+def test_training_leaves_only_its_rows_and_counts(spark, applicants, tmp_path, monkeypatch):
+    """The encoded rows and scores of a training are removed when the model stands."""
+    from lendframe import session
+    from lendframe.learn import training
+
+    monkeypatch.setattr(session, "shared_base", lambda spark: str(tmp_path))
+    done = training.train(applicants, pipeline.candidates("bad")[:1], "bad", "row", ["a", "b"], ["c"], draws=0)
+    left = [set(spark.read.parquet(str(d / "rows")).columns) for d in tmp_path.iterdir()]
+    assert left and not any("features" in x or "p" in x for x in left) and any("position" in x for x in left)
+    assert done.test.count() > 0 and done.reference.count() > 0
+
+
 def test_retraining_promotes_only_a_better_version(spark, tmp_path):
     from lendframe.learn import training
 
